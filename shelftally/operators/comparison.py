@@ -10,29 +10,27 @@ from shelftally.plans.matrix import matrix
 from shelftally.plans.suppress import fold_small
 from shelftally.sources.lake import Lake
 
-LANGUAGE_SQL = f"""\
-SELECT org, upper({x.stripped(x.piece(x.LANGUAGE))}) AS category, count(*) AS n
-FROM records
-WHERE tag = '008' AND length(value) >= 38 AND {x.stripped(x.piece(x.LANGUAGE))} <> ''
-GROUP BY ALL"""
-
-# Places are counted first and rolled up after, so the roll-up runs per distinct code.
-COUNTRY_SQL = f"""\
-SELECT org, {x.country('place')} AS category, sum(n) AS n
+def coded_sql(position: tuple[int, int], tag: str, length: int, category: str) -> str:
+    """
+    Records by a coded position. Raw codes are counted first, so that trimming and
+    rolling up run once per distinct code and not once per record.
+    """
+    return f"""\
+SELECT org, {category} AS category, sum(n) AS n
 FROM (
-  SELECT org, upper({x.stripped(x.piece(x.PLACE))}) AS place, count(*) AS n
+  SELECT org, {x.piece(position)} AS raw, count(*) AS n
   FROM records
-  WHERE tag = '008' AND length(value) >= 18
+  WHERE tag = '{tag}' AND length(value) >= {length}
   GROUP BY ALL
 )
-WHERE place <> ''
+WHERE {x.stripped('raw')} <> ''
 GROUP BY ALL"""
 
-RECORD_TYPE_SQL = f"""\
-SELECT org, {x.piece(x.RECORD_TYPE)} AS category, count(*) AS n
-FROM records
-WHERE tag = 'LDR' AND length(value) >= 7 AND {x.stripped(x.piece(x.RECORD_TYPE))} <> ''
-GROUP BY ALL"""
+
+CODE = f"upper({x.stripped('raw')})"
+LANGUAGE_SQL = coded_sql(x.LANGUAGE, "008", 38, CODE)
+COUNTRY_SQL = coded_sql(x.PLACE, "008", 18, x.country(CODE))
+RECORD_TYPE_SQL = coded_sql(x.RECORD_TYPE, "LDR", 7, "raw")
 
 
 def lc_class_sql(serials_only: bool = False) -> str:
@@ -47,13 +45,12 @@ def lc_class_sql(serials_only: bool = False) -> str:
             " USING (org, record_id)"
         )
     return f"""\
-SELECT org, first.class AS category, count(*) AS n
+SELECT org, chr(first & 255) AS category, count(*) AS n
 FROM (
-  SELECT org, record_id,
-         min(named_struct('priority', priority, 'field_seq', field_seq,
-                          'subfield_seq', subfield_seq, 'class', {x.lc_class()})) AS first
+  SELECT org, record_id, min({x.place_in_record(top='priority', payload='ascii(class)')}) AS first
   FROM (
-    SELECT org, record_id, field_seq, subfield_seq, value, {x.call_number_rank()} AS priority
+    SELECT org, record_id, field_seq, subfield_seq, {x.lc_class()} AS class,
+           {x.call_number_rank()} AS priority
     FROM {source}
     WHERE tag IN {x.CALL_NUMBER_TAGS} AND {x.is_lc_shaped()}
   )

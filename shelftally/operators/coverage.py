@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelftally.functions import exprs as x
 from shelftally.functions import vocab
@@ -12,22 +13,25 @@ FIELDS = (*vocab.COVERAGE_FIELDS, "lc_classification")
 
 def coverage_sql() -> str:
     """
-    Flags per record first, then one sum per org: no distinct count, and a record's rows,
-    which lie together in the lake, collapse before the shuffle.
+    One bit per field and record first, then one sum per org: no distinct count, and a
+    record's rows, which lie together in a lake, collapse before the shuffle.
     """
     tests = vocab.COVERAGE_FIELDS | {
         "lc_classification": f"({x.call_number_rank()}) IS NOT NULL AND {x.is_lc_shaped()}"
     }
-    flags = ",\n         ".join(f"bool_or({test}) AS {name}" for name, test in tests.items())
-    counts = ", ".join(f"count_if({name}) AS {name}" for name in tests)
+    bits = "\n            | ".join(f"if({test}, {1 << i}, 0)" for i, test in enumerate(tests.values()))
+    counts = ", ".join(f"count_if(bits & {1 << i} > 0) AS {name}" for i, name in enumerate(tests))
     picks = ", ".join(f"coalesce({name}, 0) AS {name}" for name in tests)
     tags = x.in_list(sorted({*vocab.COVERAGE_TAGS, *(t for t, _, _ in vocab.CALL_NUMBER_LOCATIONS)}))
     return f"""\
 WITH carried AS (
-  SELECT org, record_id,
-         {flags}
-  FROM records
-  WHERE startswith(tag, '6') OR tag IN {tags}
+  SELECT org, record_id, bit_or(bits) AS bits
+  FROM (
+    SELECT org, record_id,
+           (  {bits}) AS bits
+    FROM records
+    WHERE startswith(tag, '6') OR tag IN {tags}
+  )
   GROUP BY org, record_id
 ),
 counted AS (SELECT org, {counts} FROM carried GROUP BY org),
@@ -55,8 +59,6 @@ def coverage(lake: Lake) -> DataFrame:
 
 def field_order(lake: Lake) -> DataFrame:
     """Fields by mean share across orgs, most covered first."""
-    return (
-        coverage(lake)
-        .groupBy("field")
-        .agg(F.avg("share").alias("mean_share"))
-    )
+    means = coverage(lake).groupBy("field").agg(F.round(F.avg("share"), 6).alias("mean_share"))
+    place = F.row_number().over(Window.orderBy(F.desc("mean_share"), F.asc("field")))
+    return means.select("field", "mean_share", place.alias("place"))

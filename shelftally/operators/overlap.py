@@ -15,89 +15,131 @@ from shelftally.sources.lake import Lake
 WORD = 63
 
 
-def words(lake: Lake) -> list[str]:
-    return [f"mask_{w}" for w in range((lake.org_count + WORD - 1) // WORD or 1)]
+def masks(orgs: int) -> list[str]:
+    return [f"mask_{w}" for w in range(max(1, (orgs + WORD - 1) // WORD))]
 
 
-def pattern_sql(word_count: int) -> str:
-    """Holding pattern -> number of titles (and records), NULL title keys kept apart."""
+def pattern_sql(orgs: int) -> str:
+    """Holding pattern -> number of titles and records, the NULL title key kept apart."""
     bits = ",\n         ".join(
         f"coalesce(bit_or(CASE WHEN position div {WORD} = {w}"
-        f" THEN shiftleft(1L, CAST(position % {WORD} AS INT)) END), 0L) AS mask_{w}"
-        for w in range(word_count)
+        f" THEN shiftleft(1L, CAST(position % {WORD} AS INT)) END), 0L) AS {mask}"
+        for w, mask in enumerate(masks(orgs))
     )
-    masks = ", ".join(f"mask_{w}" for w in range(word_count))
+    key = ", ".join(masks(orgs))
     return f"""\
-WITH held AS (
-  SELECT title_key, count(*) AS records,
+SELECT {key}, keyed, count(*) AS titles, sum(records) AS records
+FROM (
+  SELECT title_key IS NOT NULL AS keyed, count(*) AS records,
          {bits}
   FROM record_meta LEFT JOIN roster USING (org)
   GROUP BY title_key
 )
-SELECT {masks}, title_key IS NOT NULL AS keyed, count(*) AS titles, sum(records) AS records
-FROM held
-GROUP BY {masks}, keyed"""
+GROUP BY {key}, keyed"""
 
 
-def patterns(lake: Lake) -> DataFrame:
-    return lake.keep(
-        "patterns", lambda: lake.sql(pattern_sql(len(words(lake))), roster=lake.roster)
+def holders(orgs: int) -> str:
+    """Number of orgs in a pattern."""
+    return "CAST(" + " + ".join(f"bit_count({m})" for m in masks(orgs)) + " AS BIGINT)"
+
+
+def holds(position: int) -> str:
+    """Whether the org at a position is in a pattern."""
+    return f"getbit(mask_{position // WORD}, {position % WORD}) = 1"
+
+
+def positions(orgs: int) -> str:
+    """Positions of the orgs in a pattern."""
+    words = ", ".join(masks(orgs))
+    return (
+        f"filter(sequence(0, {max(orgs - 1, 0)}),"
+        f" p -> getbit(element_at(array({words}), CAST(p div {WORD} AS INT) + 1), p % {WORD}) = 1)"
     )
 
 
-def _held_by(lake: Lake, position: int) -> F.Column:
-    """Whether the org at ``position`` holds the titles of a pattern."""
-    word = F.col(f"mask_{position // WORD}")
-    return F.getbit(word, F.lit(position % WORD)) == 1
+TOTALS_SQL = """\
+SELECT coalesce(sum(records), 0) AS records,
+       coalesce(sum(titles) FILTER (WHERE keyed), 0) AS titles,
+       (SELECT count(*) FROM roster) AS institutions
+FROM patterns"""
 
 
-def _holders(lake: Lake) -> F.Column:
-    """Number of orgs in a pattern."""
-    return sum((F.bit_count(w) for w in words(lake)), F.lit(0)).cast("long")
+def per_org_sql(orgs: int, measure: str, where: str) -> str:
+    """Titles of some patterns summed per org that holds them."""
+    return f"""\
+SELECT org, coalesce(n, 0) AS {measure}
+FROM roster LEFT JOIN (
+  SELECT position, sum(titles) AS n
+  FROM (SELECT explode({positions(orgs)}) AS position, titles FROM patterns WHERE {where})
+  GROUP BY position
+) USING (position)"""
 
 
-def _positions_held(lake: Lake) -> F.Column:
-    """Positions of the orgs in a pattern."""
-    masks = F.array(*words(lake))
-    return F.filter(
-        F.sequence(F.lit(0), F.lit(max(lake.org_count - 1, 0))),
-        lambda p: F.getbit(F.element_at(masks, F.floor(p / WORD).cast("int") + 1), p % WORD)
-        == 1,
-    )
+def org_titles_sql(orgs: int) -> str:
+    return per_org_sql(orgs, "titles", "keyed")
+
+
+def uniqueness_sql(orgs: int) -> str:
+    alone = per_org_sql(orgs, "unique_titles", f"{holders(orgs)} = 1")
+    return f"SELECT org, unique_titles FROM (\n{alone}\n)\nWHERE unique_titles > 0"
+
+
+def histogram_sql(orgs: int) -> str:
+    return f"""\
+SELECT {holders(orgs)} AS institutions, sum(titles) AS titles
+FROM patterns
+GROUP BY ALL"""
 
 
-def _per_org(lake: Lake, rows: DataFrame) -> DataFrame:
-    """Titles of the given patterns summed per org that holds them."""
-    counts = (
-        rows.select(F.explode(_positions_held(lake)).alias("position"), "titles")
-        .groupBy("position")
-        .agg(F.sum("titles").alias("n"))
+def pairwise_sql(orgs: int) -> str:
+    """
+    Each pattern is read once per org that holds it and feeds one sum per partner, so
+    no row is ever emitted per pair of holders.
+    """
+    orgs = max(orgs, 1)
+    sums = ",\n         ".join(
+        f"sum(titles) FILTER (WHERE {holds(p)}) AS n_{p}" for p in range(orgs)
     )
-    return lake.roster.join(counts, "position", "left").select(
-        "org", F.coalesce("n", F.lit(0)).alias("n")
+    cells = ", ".join(f"{p}, n_{p}" for p in range(orgs))
+    return f"""\
+SELECT first.org AS a, second.org AS b, shared
+FROM (SELECT a, stack({orgs}, {cells}) AS (b, shared) FROM (
+  SELECT a,
+         {sums}
+  FROM (SELECT explode({positions(orgs)}) AS a, * FROM patterns WHERE keyed)
+  GROUP BY a
+)) AS pair
+JOIN roster AS first ON pair.a = first.position
+JOIN roster AS second ON pair.b = second.position
+WHERE pair.a < pair.b AND shared > 0"""
+
+
+def patterns(lake: Lake) -> DataFrame:
+    return lake.table(
+        "patterns", lambda: lake.sql(pattern_sql(lake.org_count), roster=lake.roster)
     )
 
 
+def _over_patterns(lake: Lake, text: str) -> DataFrame:
+    return lake.sql(text, patterns=patterns(lake), roster=lake.roster)
+
+
 def corpus_totals(lake: Lake) -> DataFrame:
     """Records, distinct titles and orgs of the whole lake."""
-    return patterns(lake).agg(
-        F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
-        F.coalesce(F.sum(F.when(F.col("keyed"), F.col("titles"))), F.lit(0)).alias("titles"),
-        F.lit(lake.org_count).cast("long").alias("institutions"),
-    )
+    return _over_patterns(lake, TOTALS_SQL)
 
 
 def org_titles(lake: Lake) -> DataFrame:
     """Distinct titles each org holds."""
-    return _per_org(lake, patterns(lake).where("keyed")).withColumnRenamed("n", "titles")
+    return _over_patterns(lake, org_titles_sql(lake.org_count))
 
 
-ORG_RECORDS = "SELECT org, count(*) AS records FROM record_meta GROUP BY org"
+ORG_RECORDS_SQL = "SELECT org, count(*) AS records FROM record_meta GROUP BY org"
 
 
 def org_totals(lake: Lake) -> DataFrame:
     """Records and titles per org, with the last sync where the lake tracks it."""
-    out = lake.sql(ORG_RECORDS).join(org_titles(lake), "org", "left")
+    out = lake.sql(ORG_RECORDS_SQL).join(org_titles(lake), "org", "left")
     if lake.harvest_state is None:
         last = F.lit(None).cast("timestamp")
     else:
@@ -108,56 +150,20 @@ def org_totals(lake: Lake) -> DataFrame:
 
 def overlap_histogram(lake: Lake) -> DataFrame:
     """The rarity curve: titles held by exactly N orgs."""
-    return (
-        patterns(lake)
-        .groupBy(_holders(lake).alias("institutions"))
-        .agg(F.sum("titles").alias("titles"))
-    )
+    return _over_patterns(lake, histogram_sql(lake.org_count))
 
 
 def uniqueness(lake: Lake) -> DataFrame:
     """Titles each org holds alone."""
-    alone = patterns(lake).where(_holders(lake) == 1)
-    return _per_org(lake, alone).where("n > 0").withColumnRenamed("n", "unique_titles")
+    return _over_patterns(lake, uniqueness_sql(lake.org_count))
 
 
 def overlap_pairwise(lake: Lake) -> DataFrame:
-    """
-    Titles both orgs of a pair hold, once per unordered pair that shares any.
-
-    Each pattern is read once per org that holds it and feeds one sum per partner, so
-    no row is ever emitted per pair of holders.
-    """
-    positions = range(lake.org_count)
-    sums = (
-        patterns(lake)
-        .where("keyed")
-        .withColumn("a", F.explode(_positions_held(lake)))
-        .groupBy("a")
-        .agg(
-            *[
-                F.sum(F.when(_held_by(lake, p), F.col("titles"))).alias(f"n_{p}")
-                for p in positions
-            ]
-        )
-    )
-    cells = [F.struct(F.lit(p).alias("b"), F.col(f"n_{p}").alias("shared")) for p in positions]
-    pairs = (
-        sums.select("a", F.explode(F.array(*cells)).alias("cell"))
-        .select("a", "cell.*")
-        .where("a < b AND shared > 0")
-    )
-    return _name_pairs(lake, pairs)
+    """Titles both orgs of a pair hold, once per unordered pair that shares any."""
+    return _over_patterns(lake, pairwise_sql(lake.org_count))
 
 
-def _name_pairs(lake: Lake, pairs: DataFrame) -> DataFrame:
-    first = lake.roster.select(F.col("position").alias("a"), F.col("org").alias("name_a"))
-    second = lake.roster.select(F.col("position").alias("b"), F.col("org").alias("name_b"))
-    return (
-        pairs.join(first, "a")
-        .join(second, "b")
-        .select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "shared")
-    )
+# --- holding patterns --------------------------------------------------------
 
 
 def holding_patterns(lake: Lake, *, fold_rare: bool = False) -> DataFrame:
@@ -167,42 +173,44 @@ def holding_patterns(lake: Lake, *, fold_rare: bool = False) -> DataFrame:
     With ``fold_rare`` a pattern under the threshold is published only as part of its
     "held by N" group, which keeps the rarity curve and hides the set of holders.
     """
-    roster = lake.roster.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("position", "org"))), lambda r: r["org"]
-        )
+    names = lake.roster.agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "org"))), lambda r: r["org"])
     )
     rows = (
         patterns(lake)
-        .groupBy(*words(lake))
+        .groupBy(*masks(lake.org_count))
         .agg(F.sum("titles").alias("titles"))
-        .withColumn("n_holders", _holders(lake))
-        .withColumn("roster", roster.scalar())
-        .withColumn(
-            "holders",
-            F.transform(_positions_held(lake), lambda p: F.element_at("roster", p + 1)),
+        .withColumn("names", names.scalar())
+        .select(
+            F.expr(f"transform({positions(lake.org_count)}, p -> element_at(names, p + 1))").alias("holders"),
+            F.expr(holders(lake.org_count)).alias("n_holders"),
+            "titles",
         )
     )
     if not fold_rare:
-        return rows.select("holders", "n_holders", "titles")
-    rare = F.col("titles") < lake.params.threshold
-    return (
-        rows.groupBy(F.when(~rare, F.col("holders")).alias("holders"), "n_holders")
-        .agg(F.sum("titles").alias("titles"))
-        .select("holders", "n_holders", "titles")
-    )
+        return rows
+    shown = F.when(F.col("titles") >= lake.params.threshold, F.col("holders"))
+    return rows.groupBy(shown.alias("holders"), "n_holders").agg(F.sum("titles").alias("titles"))
+
+
+def _within(lake: Lake, group: list[str]) -> F.Column:
+    """How many orgs of the group are in a pattern."""
+    rows = lake.roster.where(F.col("org").isin(list(group))).collect()
+    missing = sorted(set(group) - {r["org"] for r in rows})
+    if missing:
+        raise ValueError("not in the lake: " + ", ".join(missing))
+    return sum((F.expr(holds(r["position"])).cast("long") for r in rows), F.lit(0)).cast("long")
 
 
 def group_overlap(lake: Lake, group: list[str]) -> DataFrame:
     """
-    How a chosen group of orgs holds its titles together: one row per number of holders
-    within the group, with how many titles that is, for titles the group holds at all.
+    The rarity curve of a chosen group of orgs: for titles the group holds at all, how
+    many are held by exactly k of its orgs.
     """
-    within = _within(lake, group)
     return (
         patterns(lake)
         .where("keyed")
-        .groupBy(within.alias("held_by"))
+        .groupBy(_within(lake, group).alias("held_by"))
         .agg(F.sum("titles").alias("titles"))
         .where("held_by > 0")
     )
@@ -210,36 +218,18 @@ def group_overlap(lake: Lake, group: list[str]) -> DataFrame:
 
 def group_shared(lake: Lake, group: list[str]) -> DataFrame:
     """Titles every org of the group holds."""
+    everywhere = F.col("keyed") & (_within(lake, group) == len(set(group)))
     return patterns(lake).agg(
-        F.coalesce(
-            F.sum(F.when(F.col("keyed") & (_within(lake, group) == len(set(group))), F.col("titles"))),
-            F.lit(0),
-        ).alias("titles")
+        F.coalesce(F.sum(F.when(everywhere, F.col("titles"))), F.lit(0)).alias("titles")
     )
 
 
 def group_unique(lake: Lake, group: list[str]) -> DataFrame:
     """Per org of the group, the titles no other org of the group holds."""
     alone = patterns(lake).where(F.col("keyed") & (_within(lake, group) == 1))
-    return (
-        _per_org(lake, alone)
-        .where(F.col("org").isin(list(group)))
-        .withColumnRenamed("n", "titles")
-    )
-
-
-def _positions(lake: Lake, group: list[str]) -> dict[str, int]:
-    rows = lake.roster.where(F.col("org").isin(list(group))).collect()
-    found = {r["org"]: r["position"] for r in rows}
-    missing = sorted(set(group) - set(found))
-    if missing:
-        raise ValueError("not in the lake: " + ", ".join(missing))
-    return dict(sorted(found.items()))
-
-
-def _within(lake: Lake, group: list[str]) -> F.Column:
-    positions = _positions(lake, group).values()
-    return sum((_held_by(lake, p).cast("long") for p in positions), F.lit(0)).cast("long")
+    text = per_org_sql(lake.org_count, "titles", "true")
+    rows = lake.sql(text, patterns=alone, roster=lake.roster)
+    return rows.where(F.col("org").isin(list(group)))
 
 
 # --- similarity --------------------------------------------------------------

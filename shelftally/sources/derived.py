@@ -1,10 +1,12 @@
 """A catalogue lake derived from the generic order tables, for tests and benchmarks."""
 
-from pyspark.sql import SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 from shelftally.params import Params
 from shelftally.sources.binding import bind
-from shelftally.sources.lake import Lake
+from shelftally.sources.lake import Lake, shared_folder
 
 # One text for both engines: it runs unchanged in Spark SQL and in the SQL engine the
 # results are checked against. An org is a nation, a record an order, a title a price
@@ -117,16 +119,51 @@ def with_clause() -> str:
 SOURCES = ("nation", "customer", "orders", "lineitem", "pages", "events")
 
 
-def derived_lake(spark: SparkSession, sf_dir: str, params: Params | None = None) -> Lake:
-    """The derived lake over the Parquet tables in ``sf_dir``, still lazy."""
+def derived_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived tables over the Parquet tables in ``sf_dir``, still lazy."""
     known = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
     for name, body in TABLES.items():
         known[name] = bind(spark, body, **known)
+    return {name: known[name] for name in TABLES if name != "base"}
+
+
+def write_derived(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """
+    Write the derived tables as a Parquet lake. Each branch of ``records`` holds one tag,
+    so its files do too, and a filter on the tag skips whole files.
+    """
+    for name, df in derived_tables(spark, sf_dir).items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def stored_lake(spark: SparkSession, out: str, params: Params | None = None) -> Lake:
+    """The lake ``write_derived`` left in a folder."""
+    return Lake.read(
+        spark,
+        f"{out}/records",
+        f"{out}/record_meta",
+        code_map=spark.read.parquet(f"{out}/code_map"),
+        harvest_state_path=f"{out}/harvest_state",
+        params=params,
+    )
+
+
+def derived_lake(spark: SparkSession, sf_dir: str, params: Params | None = None) -> Lake:
+    """
+    The derived lake. Where the cluster names a shared folder it is written there once,
+    so that queries read Parquet and not the joins behind it; else it stays lazy.
+    """
+    folder = shared_folder(spark)
+    if folder is not None:
+        out = f"{folder}/derived-{uuid4().hex}"
+        write_derived(spark, sf_dir, out)
+        return stored_lake(spark, out, params)
+    tables = derived_tables(spark, sf_dir)
     return Lake(
         spark,
-        known["records"],
-        known["record_meta"],
-        known["code_map"],
-        known["harvest_state"],
+        tables["records"],
+        tables["record_meta"],
+        tables["code_map"],
+        tables["harvest_state"],
         params,
     )

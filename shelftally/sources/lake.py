@@ -2,17 +2,28 @@
 
 from collections.abc import Callable, Mapping
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 from shelftally import schema
 from shelftally.params import Params
 from shelftally.sources.binding import bind
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """This application's part of the folder every executor can reach, if one is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}" if root else None
+
+
+# One row per org, so the single ordered partition of the numbering stays small.
+ROSTER_SQL = """\
+SELECT org, row_number() OVER (ORDER BY org) - 1 AS position
+FROM (SELECT DISTINCT org FROM record_meta WHERE org IS NOT NULL)"""
+
 
 class Lake:
     """
@@ -101,6 +112,21 @@ class Lake:
             self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
         return self._kept[name]
 
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """
+        ``keep`` for the roll-ups that cost a pass over the lake. Where the cluster names
+        a shared folder in ``spark.checkpoint.dir`` they are written there and read back,
+        so that a lost executor does not cost the pass again; else they are held in memory.
+        """
+        folder = shared_folder(self.spark)
+        if folder is None:
+            return self.keep(name, build)
+        if name not in self._kept:
+            path = f"{folder}/{name}-{uuid4().hex}"
+            build().write.parquet(path)
+            self._kept[name] = self.spark.read.parquet(path)
+        return self._kept[name]
+
     def counts(self, name: str, text: str, **extra: DataFrame) -> DataFrame:
         """
         The small ``(org, category, n)`` result of a query, held because a matrix reads it
@@ -130,14 +156,7 @@ class Lake:
     @property
     def roster(self) -> DataFrame:
         """Every org in the lake with a dense position from 0, in name order."""
-
-        def build() -> DataFrame:
-            orgs = self.record_meta.select("org").where("org IS NOT NULL").distinct()
-            # one row per org, so a single ordered partition stays small
-            position = F.row_number().over(Window.orderBy("org")) - 1
-            return orgs.select("org", position.alias("position"))
-
-        return self.measured("roster", build)
+        return self.measured("roster", lambda: self.sql(ROSTER_SQL))
 
     @cached_property
     def org_count(self) -> int:
