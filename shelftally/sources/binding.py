@@ -1,25 +1,54 @@
-"""Run Spark SQL text against DataFrames by name, without touching the session catalog."""
+"""Run Spark SQL text against DataFrames by name, without claiming names in the session."""
 
 import re
+from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Views over persisted frames. Spark drops the cached data of a frame with the view over
+# it, so these stay until their frame is released; all other views go once they are read.
+_standing: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _view(df: DataFrame) -> str:
+    if df in _standing:
+        return _standing[df]
+    name = f"bound_{uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    if df.is_cached:
+        _standing[df] = name
+    return name
+
+
+def release(df: DataFrame) -> None:
+    """Unpersist a frame and drop the view over it."""
+    df.unpersist()
+    name = _standing.pop(df, None)
+    if name is not None:
+        df.sparkSession.catalog.dropTempView(name)
+
 
 def bind(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
     """
     Run ``text`` with each table name after FROM or JOIN standing for the DataFrame.
 
-    The text stays runnable as it is wherever tables of those names exist; here nothing
-    is registered under the names, so concurrent lakes never share a view.
+    The text stays runnable as it is wherever tables of those names exist; here they are
+    replaced by views of unique names, so concurrent lakes never meet.
     """
-    body = text.replace("{", "{{").replace("}", "}}")
-    used = {}
+    passing = []
     for name, df in tables.items():
-        reference = re.compile(rf"\b(FROM|JOIN)(\s+){name}\b(?!\s+AS\b)", re.IGNORECASE)
-        renamed = re.compile(rf"\b(FROM|JOIN)(\s+){name}(?=\s+AS\b)", re.IGNORECASE)
-        found = reference.search(body) or renamed.search(body)
-        body = reference.sub(rf"\1\2{{{name}}} AS {name}", body)
-        body = renamed.sub(rf"\1\2{{{name}}}", body)
-        if found:
-            used[name] = df
-    return spark.sql(body, **used) if used else spark.sql(text)
+        reference = re.compile(rf"\b(FROM|JOIN)(\s+){name}\b(\s+AS\b)?", re.IGNORECASE)
+        if not reference.search(text):
+            continue
+        view = _view(df)
+        if df not in _standing:
+            passing.append(view)
+        text = reference.sub(
+            lambda m: f"{m[1]}{m[2]}{view}{m[3] if m[3] else f' AS {name}'}", text
+        )
+    try:
+        return spark.sql(text)
+    finally:
+        for view in passing:
+            spark.catalog.dropTempView(view)

@@ -11,7 +11,7 @@ from pyspark.storagelevel import StorageLevel
 
 from shelftally import schema
 from shelftally.params import Params
-from shelftally.sources.binding import bind
+from shelftally.sources.binding import bind, release
 
 def shared_folder(spark: SparkSession) -> str | None:
     """This application's part of the folder every executor can reach, if one is set."""
@@ -149,8 +149,9 @@ class Lake:
     def release(self) -> None:
         """Drop every roll-up this lake holds."""
         for df in self._kept.values():
-            df.unpersist()
+            release(df)
         self._kept.clear()
+        self.checked.clear()
         self.__dict__.pop("org_count", None)
 
     @property

@@ -27,6 +27,26 @@ def test_no_python_and_no_product_in_any_query(spark, name):
         assert banned not in text, f"{name}: {banned}"
 
 
+def test_kept_results_are_read_from_the_cache(spark, stored):
+    for text, extra in (
+        (overlap.pattern_sql(25), {"roster": stored.roster}),
+        (provenance.FLOW_SQL, {"cataloging_source": provenance.cataloging_source(stored)}),
+    ):
+        assert "InMemoryTableScan" in plan(stored.sql(text, **extra))
+        assert "InMemoryTableScan" in plan(stored.sql(text, **extra))
+
+
+def test_release_leaves_nothing_behind(spark, tmp_path):
+    write_derived(spark, SF, str(tmp_path))
+    before = {t.name for t in spark.catalog.listTables()}
+    lake = stored_lake(spark, str(tmp_path))
+    overlap.overlap_histogram(lake).count()
+    provenance.cat_mix(lake).count()
+    lake.release()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert overlap.overlap_histogram(lake).count() > 1
+
+
 def test_tag_filter_reaches_the_scan(stored):
     text = plan(stored.sql(comparison.LANGUAGE_SQL))
     assert "EqualTo(tag,008)" in text
