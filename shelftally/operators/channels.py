@@ -18,20 +18,24 @@ PREFIX_SQL = f"SELECT DISTINCT prefix AS code FROM ({NUMBERS}) WHERE prefix <> '
 def coverage_sql() -> str:
     """Flags per record, then sums per org; channels overlap and are no partition."""
     tests = x.channel_tests("prefix", "owner", "org")
-    flags = ",\n         ".join(f"bool_or({test}) AS {name}" for name, test in tests.items())
-    counts = ", ".join(f"count_if({name}) AS {name}" for name in tests)
-    picks = ", ".join(f"coalesce({name}, 0) AS {name}" for name in tests)
+    bits = "\n            | ".join(f"if({test}, {1 << i}, 0)" for i, test in enumerate(tests.values()))
+    counts = ",\n       ".join(f"count_if(bits & {1 << i} > 0) AS {name}" for i, name in enumerate(tests))
     return f"""\
-WITH flagged AS (
-  SELECT org, record_id,
-         {flags}
-  FROM ({NUMBERS}) LEFT JOIN prefix_owner ON prefix = prefix_owner.code
+SELECT org, sum(held) AS records,
+       {counts}
+FROM (
+  SELECT org, 1L AS held, 0 AS bits FROM record_meta
+  UNION ALL
+  SELECT org, 0L, bit_or(bits)
+  FROM (
+    SELECT org, record_id,
+           (  {bits}) AS bits
+    FROM ({NUMBERS}) LEFT JOIN prefix_owner ON prefix = prefix_owner.code
+  )
   GROUP BY org, record_id
-),
-counted AS (SELECT org, {counts} FROM flagged GROUP BY org),
-held AS (SELECT org, count(*) AS records FROM record_meta GROUP BY org)
-SELECT org, records, {picks}
-FROM held LEFT JOIN counted USING (org)"""
+)
+GROUP BY org
+HAVING records > 0"""
 
 
 def steps() -> list[tuple[str, str]]:
@@ -40,7 +44,11 @@ def steps() -> list[tuple[str, str]]:
             "Owner of each namespace",
             "CREATE OR REPLACE TEMP VIEW prefix_owner AS\n"
             + OWNER_SQL.replace("FROM codes", f"FROM ({PREFIX_SQL})"),
-        )
+        ),
+        (
+            "Records per namespace",
+            f"CREATE OR REPLACE TEMP VIEW namespaces AS\n{USED_SQL}",
+        ),
     ]
 
 
@@ -89,24 +97,24 @@ def channel_coverage(lake: Lake) -> DataFrame:
     )
 
 
+USED_SQL = f"""\
+SELECT org, prefix AS category, count(DISTINCT record_id) AS n
+FROM ({NUMBERS})
+WHERE prefix <> ''
+GROUP BY org, prefix"""
+
+
 def namespace_sql(p: Params) -> str:
     """
     Counts of every org for the namespaces that reach a share of some org's records and
-    are among that org's own most common.
+    are among that org's own most common. Reads the counts of all namespaces twice.
     """
     return f"""\
-WITH used AS (
-  SELECT org, prefix AS category, count(DISTINCT record_id) AS n
-  FROM ({NUMBERS})
-  WHERE prefix <> ''
-  GROUP BY org, prefix
-),
-held AS (SELECT org, count(*) AS records FROM record_meta GROUP BY org)
 SELECT org, category, n
-FROM used LEFT SEMI JOIN (
+FROM namespaces LEFT SEMI JOIN (
   SELECT category FROM (
     SELECT category, row_number() OVER (PARTITION BY org ORDER BY n DESC, category) AS place
-    FROM used JOIN held USING (org)
+    FROM namespaces JOIN (SELECT org, count(*) AS records FROM record_meta GROUP BY org) USING (org)
     WHERE n >= records * {p.namespace_min_share:f}D
   )
   WHERE place <= {p.namespaces_per_org}
@@ -124,7 +132,8 @@ def namespace_totals(lake: Lake) -> DataFrame:
 def channel_namespace(lake: Lake) -> DataFrame:
     """Raw namespaces as shares of all records of each org."""
     _mapped(lake)
-    counts = lake.counts("channel_namespace", namespace_sql(lake.params))
+    used = lake.counts("namespaces", USED_SQL)
+    counts = lake.counts("channel_namespace", namespace_sql(lake.params), namespaces=used)
     totals = (
         namespace_totals(lake)
         .withColumnRenamed("n", "total")

@@ -14,18 +14,22 @@ FIELDS = (*vocab.COVERAGE_FIELDS, "lc_classification")
 def coverage_sql() -> str:
     """
     One bit per field and record first, then one sum per org: no distinct count, and a
-    record's rows, which lie together in a lake, collapse before the shuffle.
+    record's rows, which lie together in a lake, collapse before the shuffle. The records
+    held, the denominator, join the same sum instead of a join of their own.
     """
     tests = vocab.COVERAGE_FIELDS | {
         "lc_classification": f"({x.call_number_rank()}) IS NOT NULL AND {x.is_lc_shaped()}"
     }
     bits = "\n            | ".join(f"if({test}, {1 << i}, 0)" for i, test in enumerate(tests.values()))
-    counts = ", ".join(f"count_if(bits & {1 << i} > 0) AS {name}" for i, name in enumerate(tests))
-    picks = ", ".join(f"coalesce({name}, 0) AS {name}" for name in tests)
+    counts = ",\n       ".join(f"count_if(bits & {1 << i} > 0) AS {name}" for i, name in enumerate(tests))
     tags = x.in_list(sorted({*vocab.COVERAGE_TAGS, *(t for t, _, _ in vocab.CALL_NUMBER_LOCATIONS)}))
     return f"""\
-WITH carried AS (
-  SELECT org, record_id, bit_or(bits) AS bits
+SELECT org, sum(held) AS records,
+       {counts}
+FROM (
+  SELECT org, 1L AS held, 0 AS bits FROM record_meta
+  UNION ALL
+  SELECT org, 0L, bit_or(bits)
   FROM (
     SELECT org, record_id,
            (  {bits}) AS bits
@@ -33,11 +37,9 @@ WITH carried AS (
     WHERE startswith(tag, '6') OR tag IN {tags}
   )
   GROUP BY org, record_id
-),
-counted AS (SELECT org, {counts} FROM carried GROUP BY org),
-held AS (SELECT org, count(*) AS records FROM record_meta GROUP BY org)
-SELECT org, records, {picks}
-FROM held LEFT JOIN counted USING (org)"""
+)
+GROUP BY org
+HAVING records > 0"""
 
 
 def field_counts(lake: Lake) -> DataFrame:
