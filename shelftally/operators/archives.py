@@ -10,31 +10,28 @@ from shelftally.params import Params
 from shelftally.plans.matrix import fixed_axis, matrix
 from shelftally.sources.lake import Lake
 
-# Leader rows of archival records: a manuscript type of record or a collection level.
-IS_ARCHIVAL = (
-    f"tag = 'LDR' AND length(value) >= 8"
-    f" AND ({x.piece(x.RECORD_TYPE)} IN {x.in_list(vocab.ARCHIVE_TYPES)}"
-    f" OR {x.piece(x.BIB_LEVEL)} IN {x.in_list(vocab.ARCHIVE_LEVELS)})"
-)
-ARCHIVAL = f"(SELECT org, record_id FROM records WHERE {IS_ARCHIVAL})"
+# The subset every measure here starts from: a manuscript type of record or a collection
+# level. One row per leader, so a record with two leaders counts twice throughout.
+SUBSET_SQL = f"""\
+SELECT org, record_id, {x.piece(x.RECORD_TYPE)} AS kind
+FROM records
+WHERE tag = 'LDR' AND length(value) >= 8
+  AND ({x.piece(x.RECORD_TYPE)} IN {x.in_list(vocab.ARCHIVE_TYPES)}
+       OR {x.piece(x.BIB_LEVEL)} IN {x.in_list(vocab.ARCHIVE_LEVELS)})"""
 
-TOTAL_SQL = f"SELECT org, count(*) AS n FROM records WHERE {IS_ARCHIVAL} GROUP BY org"
+TOTAL_SQL = "SELECT org, count(*) AS n FROM archival_records GROUP BY org"
 
-TYPE_SQL = f"""\
-SELECT org, {x.piece(x.RECORD_TYPE)} AS category, count(*) AS n
-FROM records
-WHERE {IS_ARCHIVAL}
-GROUP BY ALL"""
+TYPE_SQL = "SELECT org, kind AS category, count(*) AS n FROM archival_records GROUP BY ALL"
 
 GENRE_SQL = f"""\
 SELECT org, {x.genre_term()} AS category, count(DISTINCT record_id) AS n
-FROM records LEFT SEMI JOIN {ARCHIVAL} USING (org, record_id)
+FROM records LEFT SEMI JOIN archival_records USING (org, record_id)
 WHERE tag = '655' AND code = 'a' AND {x.stripped('value')} <> ''
 GROUP BY ALL"""
 
-LINK_SQL = f"""\
+LINK_SQL = """\
 SELECT org, count(*) AS n
-FROM {ARCHIVAL} AS archival
+FROM archival_records
 LEFT SEMI JOIN (SELECT org, record_id FROM records WHERE tag = '856' AND code = 'u')
   USING (org, record_id)
 GROUP BY org"""
@@ -43,7 +40,7 @@ DESTINATION_SQL = f"""\
 SELECT org, {x.destination('host')} AS category, count(DISTINCT record_id) AS n
 FROM (
   SELECT org, record_id, {x.link_host()} AS host
-  FROM records LEFT SEMI JOIN {ARCHIVAL} USING (org, record_id)
+  FROM records LEFT SEMI JOIN archival_records USING (org, record_id)
   WHERE tag = '856' AND code = 'u' AND {x.is_link()}
 )
 GROUP BY ALL"""
@@ -56,14 +53,32 @@ SELECT org, {x.decade('began')} AS decade, count(*) AS n
 FROM (
   SELECT org, {x.year(x.piece(x.DATE_1))} AS began
   FROM (SELECT org, record_id, value FROM records WHERE tag = '008' AND length(value) >= 11)
-  JOIN {ARCHIVAL} USING (org, record_id)
+  JOIN archival_records USING (org, record_id)
 )
 WHERE began BETWEEN {low} AND {high}
 GROUP BY ALL"""
 
 
+def archival_records(lake: Lake) -> DataFrame:
+    return lake.table("archival_records", lambda: lake.sql(SUBSET_SQL))
+
+
+def steps() -> list[tuple[str, str]]:
+    return [
+        ("All archival records", f"CREATE OR REPLACE TEMP VIEW archival_records AS\n{SUBSET_SQL}")
+    ]
+
+
+def _sql(lake: Lake, text: str) -> DataFrame:
+    return lake.sql(text, archival_records=archival_records(lake))
+
+
+def _counts(lake: Lake, name: str, text: str) -> DataFrame:
+    return lake.counts(name, text, archival_records=archival_records(lake))
+
+
 def archive_totals(lake: Lake) -> DataFrame:
-    return lake.counts("archive_totals", TOTAL_SQL)
+    return _counts(lake, "archive_totals", TOTAL_SQL)
 
 
 def _totals(lake: Lake) -> DataFrame:
@@ -74,7 +89,7 @@ def archive_type(lake: Lake) -> DataFrame:
     """Archival records by type of record."""
     p = lake.params
     return matrix(
-        lake.counts("archive_type", TYPE_SQL), p.threshold, top_k=p.material_types, totals=_totals(lake)
+        _counts(lake, "archive_type", TYPE_SQL), p.threshold, top_k=p.material_types, totals=_totals(lake)
     )
 
 
@@ -85,7 +100,7 @@ def archive_genre(lake: Lake) -> DataFrame:
     """
     order = [F.desc("n"), F.asc("term")]
     top = (
-        lake.sql(GENRE_SQL)
+        _sql(lake, GENRE_SQL)
         .withColumnRenamed("category", "term")
         .where(F.col("n") >= lake.params.threshold)
         .withColumn("term_rank", F.row_number().over(Window.partitionBy("org").orderBy(*order)))
@@ -95,12 +110,12 @@ def archive_genre(lake: Lake) -> DataFrame:
 
 
 def archive_decade(lake: Lake) -> DataFrame:
-    return lake.sql(decade_sql(lake.params))
+    return _sql(lake, decade_sql(lake.params))
 
 
 def archive_link(lake: Lake) -> DataFrame:
     """Archival records with an online link, over all archival records, for every org."""
-    linked = lake.sql(LINK_SQL)
+    linked = _sql(lake, LINK_SQL)
     return (
         _totals(lake)
         .join(linked, "org", "left")
@@ -112,5 +127,5 @@ def archive_destination(lake: Lake) -> DataFrame:
     """Archival records by kind of link destination; all six kinds, used or not."""
     axis = fixed_axis(lake.spark, vocab.DESTINATION_ORDER)
     return matrix(
-        lake.counts("archive_destination", DESTINATION_SQL), lake.params.threshold, axis=axis, totals=_totals(lake)
+        _counts(lake, "archive_destination", DESTINATION_SQL), lake.params.threshold, axis=axis, totals=_totals(lake)
     )

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelftally.functions import exprs as x
-from shelftally.operators.serials import IS_SERIAL
+from shelftally.operators.serials import serial_records
 from shelftally.params import Params
 from shelftally.plans.matrix import matrix
 from shelftally.plans.suppress import fold_small
@@ -38,12 +38,7 @@ def lc_class_sql(serials_only: bool = False) -> str:
     One class letter per record, from its first well-formed call number by location
     priority, then by position in the record.
     """
-    source = "records"
-    if serials_only:
-        source = (
-            f"records LEFT SEMI JOIN (SELECT org, record_id FROM records WHERE {IS_SERIAL})"
-            " USING (org, record_id)"
-        )
+    only = " LEFT SEMI JOIN serial_records USING (org, record_id)" if serials_only else ""
     return f"""\
 SELECT org, chr(first & 255) AS category, count(*) AS n
 FROM (
@@ -51,7 +46,7 @@ FROM (
   FROM (
     SELECT org, record_id, field_seq, subfield_seq, {x.lc_class()} AS class,
            {x.call_number_rank()} AS priority
-    FROM {source}
+    FROM records{only}
     WHERE tag IN {x.CALL_NUMBER_TAGS} AND {x.is_lc_shaped()}
   )
   WHERE priority IS NOT NULL
@@ -78,7 +73,9 @@ def lc_class(lake: Lake) -> DataFrame:
 
 
 def lc_class_serial(lake: Lake) -> DataFrame:
-    return matrix(lake.counts("lc_class_serial", lc_class_sql(serials_only=True)), lake.params.threshold)
+    text = lc_class_sql(serials_only=True)
+    counts = lake.counts("lc_class_serial", text, serial_records=serial_records(lake))
+    return matrix(counts, lake.params.threshold)
 
 
 def _top(lake: Lake, name: str, text: str) -> DataFrame:

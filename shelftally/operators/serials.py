@@ -8,16 +8,24 @@ from shelftally.params import Params
 from shelftally.plans.matrix import fixed_axis, matrix, org_totals
 from shelftally.sources.lake import Lake
 
-# Rows of the tall table that say "this record is a serial".
-IS_SERIAL = f"tag = 'LDR' AND {x.piece(x.BIB_LEVEL)} = 's'"
+# The subset every measure here starts from, kept because there are several.
+SUBSET_SQL = f"""\
+SELECT DISTINCT org, record_id
+FROM records
+WHERE tag = 'LDR' AND {x.piece(x.BIB_LEVEL)} = 's'"""
 
 
 def of_serials(where: str) -> str:
     """Rows of ``records`` that meet a condition and belong to a serial."""
-    return f"""\
-records LEFT SEMI JOIN (SELECT org, record_id FROM records WHERE {IS_SERIAL})
-  USING (org, record_id)
-WHERE {where}"""
+    return f"records LEFT SEMI JOIN serial_records USING (org, record_id)\n  WHERE {where}"
+
+
+def serial_records(lake: Lake) -> DataFrame:
+    return lake.table("serial_records", lambda: lake.sql(SUBSET_SQL))
+
+
+def steps() -> list[tuple[str, str]]:
+    return [("All serials", f"CREATE OR REPLACE TEMP VIEW serial_records AS\n{SUBSET_SQL}")]
 
 
 def active_sql(p: Params) -> str:
@@ -57,11 +65,7 @@ WHERE began BETWEEN {low} AND {high}
 GROUP BY ALL"""
 
 
-TOTAL_SQL = f"""\
-SELECT org, count(DISTINCT record_id) AS n
-FROM records
-WHERE {IS_SERIAL}
-GROUP BY org"""
+TOTAL_SQL = "SELECT org, count(*) AS n FROM serial_records GROUP BY org"
 
 
 def link_sql() -> str:
@@ -88,17 +92,25 @@ FROM {of_serials(f"tag = '008' AND {status} IN {x.in_list(vocab.SERIAL_STATUSES)
 GROUP BY ALL"""
 
 
+def _sql(lake: Lake, text: str) -> DataFrame:
+    return lake.sql(text, serial_records=serial_records(lake))
+
+
+def _counts(lake: Lake, name: str, text: str) -> DataFrame:
+    return lake.counts(name, text, serial_records=serial_records(lake))
+
+
 def serials_active(lake: Lake) -> DataFrame:
-    return lake.sql(active_sql(lake.params))
+    return _sql(lake, active_sql(lake.params))
 
 
 def serials_start_decade(lake: Lake) -> DataFrame:
-    return lake.sql(start_decade_sql(lake.params))
+    return _sql(lake, start_decade_sql(lake.params))
 
 
 def serials_total(lake: Lake) -> DataFrame:
     """Serial records per org: the denominator of both succession measures."""
-    return lake.counts("serials_total", TOTAL_SQL)
+    return _counts(lake, "serials_total", TOTAL_SQL)
 
 
 def _of_all_serials(lake: Lake, counts: DataFrame, axis: DataFrame | None) -> DataFrame:
@@ -109,22 +121,22 @@ def _of_all_serials(lake: Lake, counts: DataFrame, axis: DataFrame | None) -> Da
 def succession_link(lake: Lake) -> DataFrame:
     """Serials that name an earlier or a later title, as shares of all serials."""
     axis = fixed_axis(lake.spark, vocab.SUCCESSION_LINKS)
-    return _of_all_serials(lake, lake.counts("succession_link", link_sql()), axis)
+    return _of_all_serials(lake, _counts(lake, "succession_link", link_sql()), axis)
 
 
 def succession_type(lake: Lake) -> DataFrame:
     """Serials by kind of later title, present kinds only, most common first."""
-    return _of_all_serials(lake, lake.counts("succession_type", type_sql()), None)
+    return _of_all_serials(lake, _counts(lake, "succession_type", type_sql()), None)
 
 
 def serial_status(lake: Lake) -> DataFrame:
     """Still published, ceased or unknown, ranked by consortium total."""
-    return matrix(lake.counts("serial_status", status_sql()), lake.params.threshold, top_k=lake.params.compare_top_k)
+    return matrix(_counts(lake, "serial_status", status_sql()), lake.params.threshold, top_k=lake.params.compare_top_k)
 
 
 def serial_status_ordered(lake: Lake) -> DataFrame:
     """The same cells in the fixed order still published, ceased, unknown."""
-    counts = lake.counts("serial_status", status_sql())
+    counts = _counts(lake, "serial_status", status_sql())
     axis = fixed_axis(lake.spark, vocab.SERIAL_STATUSES).join(
         counts.select("category").distinct(), "category", "left_semi"
     )

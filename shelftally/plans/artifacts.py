@@ -120,6 +120,7 @@ ARTIFACTS = (
         "Serials of each org published in each year, and by starting decade.",
         {"active": serials.serials_active, "start_decade": serials.serials_start_decade},
         lambda lake: [
+            *serials.steps(),
             ("Serials active per year", serials.active_sql(lake.params)),
             ("Serials by starting decade", serials.start_decade_sql(lake.params)),
         ],
@@ -132,7 +133,8 @@ ARTIFACTS = (
             "succession_type": serials.succession_type,
         },
         lambda lake: [
-            ("All serials", serials.TOTAL_SQL),
+            *serials.steps(),
+            ("Serials per org", serials.TOTAL_SQL),
             ("Serials with an earlier or later title", serials.link_sql()),
             ("Serials by kind of later title", serials.type_sql()),
         ],
@@ -148,7 +150,8 @@ ARTIFACTS = (
             "link_destination": archives.archive_destination,
         },
         lambda lake: [
-            ("All archival records", archives.TOTAL_SQL),
+            *archives.steps(),
+            ("Archival records per org", archives.TOTAL_SQL),
             ("Archival records by material", archives.TYPE_SQL),
             ("Archival records by genre term", archives.GENRE_SQL),
             ("Archival records by decade", archives.decade_sql(lake.params)),
@@ -213,6 +216,7 @@ ARTIFACTS = (
             ("Place of publication", comparison.COUNTRY_SQL),
             ("Type of record", comparison.RECORD_TYPE_SQL),
             ("Subject class", comparison.lc_class_sql()),
+            *serials.steps(),
             ("Subject class of serials", comparison.lc_class_sql(serials_only=True)),
             ("Status of serials", serials.status_sql()),
         ],
