@@ -55,10 +55,6 @@ def _masks(lake: Lake, **options) -> DataFrame:
     return rows.withColumn("holders", F.array_join("holders", ","))
 
 
-def _hosts(lake: Lake) -> DataFrame:
-    return lake.sql(links.HOST_SQL)
-
-
 def _nation(lake: Lake, sf_dir: str) -> DataFrame:
     return lake.spark.read.parquet(f"{sf_dir}/nation.parquet")
 
@@ -98,7 +94,7 @@ code_map_agency = provenance.x.agency_code()
 
 def _top_hosts(lake: Lake) -> DataFrame:
     return suppress.bucket_top_n(
-        _hosts(lake).withColumnRenamed("host", "category"),
+        links.host_counts(lake).withColumnRenamed("host", "category"),
         n=5,
         threshold=lake.params.threshold,
         by=["org"],
@@ -211,7 +207,7 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     # suppression, diff, labels
     "suppress_top_n": _top_hosts,
     "small_cells": lambda lake: suppress.small_cells(
-        _hosts(lake), threshold=lake.params.threshold, label="host"
+        links.host_counts(lake), threshold=lake.params.threshold, label="host"
     ),
     "snapshot_diff": _diff,
     "labelled_matrix": lambda lake: _names(

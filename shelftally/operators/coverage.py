@@ -34,7 +34,7 @@ FROM (
     SELECT org, record_id,
            (  {bits}) AS bits
     FROM records
-    WHERE startswith(tag, '6') OR tag IN {tags}
+    WHERE (startswith(tag, '6') OR tag IN {tags}) AND record_id IS NOT NULL
   )
   GROUP BY org, record_id
 )

@@ -14,12 +14,17 @@ WHERE tag = '856' AND code = 'u' AND {x.is_link()}
 GROUP BY ALL"""
 
 
+def host_counts(lake: Lake) -> DataFrame:
+    """Links of each org per host, the whole tail."""
+    return lake.counts("link_hosts", HOST_SQL)
+
+
 def link_hosts(lake: Lake) -> DataFrame:
     """
     Each org's own most common link hosts. ``total`` counts all of its links, also those
     whose host is empty or too rare to list; an org with none listed keeps one row.
     """
-    hosts = lake.sql(HOST_SQL)
+    hosts = host_counts(lake)
     totals = hosts.groupBy("org").agg(F.sum("n").alias("total"))
     order = [F.desc("n"), F.asc("host")]
     top = (

@@ -23,11 +23,11 @@ from shelftally.sources.lake import Lake
 def counts_sql(p: Params) -> str:
     """
     Per-record facts in one exchange and no join: the rows of ``record_meta`` and the two
-    field slices meet in a single grouping by record. ``copies`` weighs a record by its
-    rows in ``record_meta`` and drops field rows of records that have none there. The
-    original agency is the first non-blank $a, the entry date the first 008. The hash of
-    the record leads the grouping key: string aggregates are sorted, and eight bytes of
-    hash order rows without comparing the long common prefixes of record ids.
+    field slices meet in a single grouping by record, combined map-side. ``copies`` weighs
+    a record by its rows in ``record_meta`` and drops field rows of records that have none
+    there. The original agency is the first non-blank $a, the entry date the first 008.
+    The hash of the record leads the grouping key: string aggregates are sorted, and eight
+    bytes of hash order rows without comparing the long common prefixes of record ids.
     """
     return f"""\
 WITH slice AS (
@@ -43,18 +43,18 @@ WITH slice AS (
          CASE WHEN code = 'd' AND agency <> '' THEN agency END,
          NULL
   FROM (SELECT org, record_id, code, field_seq, subfield_seq, {x.agency_code()} AS agency
-        FROM records WHERE tag = '040')
+        FROM records WHERE tag = '040' AND record_id IS NOT NULL)
   UNION ALL
   SELECT org, record_id, 0L, false, NULL, NULL,
          named_struct('field_seq', field_seq, 'stamp', {x.piece(x.ENTERED)})
-  FROM records WHERE tag = '008'
+  FROM records WHERE tag = '008' AND record_id IS NOT NULL
 ),
 per_record AS (
   SELECT org, record_id, sum(copies) AS copies, bool_or(is_040) AS has_040,
-         min(origin).agency AS source_code, count(DISTINCT modifier) AS agencies,
+         min(origin).agency AS source_code, size(collect_set(modifier)) AS agencies,
          min(entered).stamp AS stamp
-  FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM slice))
-  GROUP BY h, org, record_id
+  FROM slice
+  GROUP BY xxhash64(org, record_id), org, record_id
 )
 SELECT org, {x.entered_year('stamp', p.now_year)} AS entered_year, source_code,
        {x.modification_depth('has_040', 'agencies')} AS mod_depth,

@@ -7,6 +7,7 @@ tables are reports, bounded by orgs and published axes, so each is written as on
 """
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -271,13 +272,21 @@ def write_artifacts(
     fmt: str = "json",
     generated_at: str | None = None,
     artifacts=ARTIFACTS,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Write every section of every artifact under ``out``, then the manifest; return it."""
+    """
+    Write every section of every artifact under ``out``, then the manifest; return it.
+    A few artifacts are written at once: their last stages are too small to fill a cluster.
+    """
     stamp = generated_at or datetime.now(UTC).isoformat()
-    for artifact in artifacts:
+
+    def write(artifact: Artifact) -> None:
         for section, build in artifact.sections.items():
             table = build(lake).withColumn("generated_at", F.lit(stamp))
             _write(table, f"{out}/{artifact.name}/{section}", fmt)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(write, artifacts))
     listing = manifest(lake, stamp, artifacts)
     _write(listing, f"{out}/manifest", fmt)
     return listing

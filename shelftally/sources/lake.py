@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Mapping
 from functools import cached_property
+from threading import RLock
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,8 @@ class Lake:
             else schema.conform(harvest_state, schema.HARVEST_STATE, "harvest_state")
         )
         self._kept: dict[str, DataFrame] = {}
+        # one builder at a time, so that reports run side by side share what they keep
+        self._building = RLock()
         # guards that have passed for this lake
         self.checked: set[str] = set()
 
@@ -108,9 +111,10 @@ class Lake:
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Build a roll-up once and hold it for every operator that reads it."""
-        if name not in self._kept:
-            self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
-        return self._kept[name]
+        with self._building:
+            if name not in self._kept:
+                self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            return self._kept[name]
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """
@@ -121,11 +125,12 @@ class Lake:
         folder = shared_folder(self.spark)
         if folder is None:
             return self.keep(name, build)
-        if name not in self._kept:
-            path = f"{folder}/{name}-{uuid4().hex}"
-            build().write.parquet(path)
-            self._kept[name] = self.spark.read.parquet(path)
-        return self._kept[name]
+        with self._building:
+            if name not in self._kept:
+                path = f"{folder}/{name}-{uuid4().hex}"
+                build().write.parquet(path)
+                self._kept[name] = self.spark.read.parquet(path)
+            return self._kept[name]
 
     def counts(self, name: str, text: str, **extra: DataFrame) -> DataFrame:
         """
@@ -140,11 +145,12 @@ class Lake:
         with it: broadcast under ``spark.sql.autoBroadcastJoinThreshold``, and a
         shuffled join with adaptive skew handling above it.
         """
-        fresh = name not in self._kept
-        df = self.keep(name, build)
-        if fresh:
-            df.count()
-        return df
+        with self._building:
+            fresh = name not in self._kept
+            df = self.keep(name, build)
+            if fresh:
+                df.count()
+            return df
 
     def release(self) -> None:
         """Drop every roll-up this lake holds."""
