@@ -140,7 +140,9 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "containment": overlap.containment,
     "closest_pairs": overlap.closest_pairs,
     "closest_containment": lambda lake: overlap.closest_pairs(lake, "containment"),
+    "closest_shared": lambda lake: overlap.closest_pairs(lake, "shared"),
     "similarity_matrix": overlap.similarity_matrix,
+    "containment_matrix": lambda lake: overlap.similarity_matrix(lake, "containment"),
     # dates
     "publication_decade": comparison.publication_decade,
     "numeric_decades": comparison.numeric_decades,

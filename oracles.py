@@ -386,6 +386,20 @@ CASE WHEN count(s.code) = 0 THEN any_value(tag) || '      ' || coalesce(any_valu
             SHARED,
             PAIRS,
         ),
+        "closest_shared": q(
+            "SELECT a, b, shared, shared::DOUBLE AS measure FROM pairs ORDER BY measure DESC, a, b LIMIT 15",
+            HOLDINGS,
+            SIZES,
+            SHARED,
+            PAIRS,
+        ),
+        "containment_matrix": q(
+            f"SELECT a, b, {ratio('shared', 'own')} AS value FROM {ORDERED} UNION ALL SELECT org, org, NULL FROM sizes",
+            HOLDINGS,
+            SIZES,
+            SHARED,
+            PAIRS,
+        ),
         "similarity_matrix": q(
             f"SELECT a, b, {JACCARD} AS value FROM pairs UNION ALL SELECT b, a, {JACCARD} FROM pairs"
             " UNION ALL SELECT org, org, NULL FROM sizes",

@@ -2,53 +2,52 @@
 
 import re
 from uuid import uuid4
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Views over persisted frames. Spark drops the cached data of a frame with the view over
-# it, so these stay until their frame is released; all other views go once they are read.
-_standing: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
+class Views:
+    """
+    Temporary views of unique names over DataFrames, dropped together.
+
+    Dropping a view makes Spark drop what is cached for its frame and rebuild what is
+    still loading from it, so views stand for as long as results built on them are held.
+    """
 
-def _view(df: DataFrame) -> str:
-    if df in _standing:
-        return _standing[df]
-    name = f"bound_{uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    if df.is_cached:
-        _standing[df] = name
-    return name
+    def __init__(self):
+        self._names: dict[DataFrame, str] = {}
 
+    def name(self, df: DataFrame) -> str:
+        if df not in self._names:
+            name = f"bound_{uuid4().hex}"
+            df.createOrReplaceTempView(name)
+            self._names[df] = name
+        return self._names[df]
 
-def release(df: DataFrame) -> None:
-    """Unpersist a frame and drop the view over it."""
-    df.unpersist()
-    name = _standing.pop(df, None)
-    if name is not None:
-        df.sparkSession.catalog.dropTempView(name)
+    def drop(self) -> None:
+        while self._names:
+            df, name = self._names.popitem()
+            df.sparkSession.catalog.dropTempView(name)
 
 
-def bind(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+def bind(spark: SparkSession, text: str, views: Views | None = None, /, **tables: DataFrame) -> DataFrame:
     """
     Run ``text`` with each table name after FROM or JOIN standing for the DataFrame.
 
     The text stays runnable as it is wherever tables of those names exist; here they are
-    replaced by views of unique names, so concurrent lakes never meet.
+    replaced by views of unique names, so concurrent lakes never meet. Views of the
+    caller's stay; without any, those made here go once the text is analysed.
     """
-    passing = []
+    standing = views or Views()
     for name, df in tables.items():
         reference = re.compile(rf"\b(FROM|JOIN)(\s+){name}\b(\s+AS\b)?", re.IGNORECASE)
-        if not reference.search(text):
-            continue
-        view = _view(df)
-        if df not in _standing:
-            passing.append(view)
-        text = reference.sub(
-            lambda m: f"{m[1]}{m[2]}{view}{m[3] if m[3] else f' AS {name}'}", text
-        )
+        if reference.search(text):
+            view = standing.name(df)
+            text = reference.sub(
+                lambda m: f"{m[1]}{m[2]}{view}{m[3] if m[3] else f' AS {name}'}", text
+            )
     try:
         return spark.sql(text)
     finally:
-        for view in passing:
-            spark.catalog.dropTempView(view)
+        if views is None:
+            standing.drop()

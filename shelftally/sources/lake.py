@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from shelftally import schema
 from shelftally.params import Params
-from shelftally.sources.binding import bind, release
+from shelftally.sources.binding import Views, bind
 
 def shared_folder(spark: SparkSession) -> str | None:
     """This application's part of the folder every executor can reach, if one is set."""
@@ -54,6 +54,7 @@ class Lake:
             else schema.conform(harvest_state, schema.HARVEST_STATE, "harvest_state")
         )
         self._kept: dict[str, DataFrame] = {}
+        self._views = Views()
         # one builder at a time, so that reports run side by side share what they keep
         self._building = RLock()
         # guards that have passed for this lake
@@ -105,7 +106,7 @@ class Lake:
         tables = {"records": self.records, "record_meta": self.record_meta}
         if self.code_map is not None:
             tables["code_map"] = self.code_map
-        return bind(self.spark, text, **(tables | extra))
+        return bind(self.spark, text, self._views, **(tables | extra))
 
     # --- shared roll-ups ---------------------------------------------------
 
@@ -155,8 +156,9 @@ class Lake:
     def release(self) -> None:
         """Drop every roll-up this lake holds."""
         for df in self._kept.values():
-            release(df)
+            df.unpersist()
         self._kept.clear()
+        self._views.drop()
         self.checked.clear()
         self.__dict__.pop("org_count", None)
 

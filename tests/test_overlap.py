@@ -80,6 +80,15 @@ def test_equals_brute_force(spark, held):
     lake.release()
 
 
+def test_hot_title_and_hot_org(spark):
+    orgs = ["big"] * 5 + ["b", "c", "d", "e"]
+    meta = [
+        (orgs[i % 9], f"{i}", "hot" if i % 3 == 0 else None if i % 7 == 0 else f"t{i % 400}")
+        for i in range(3000)
+    ]
+    assert measured(lake_of(spark, meta)) == brute(meta)
+
+
 def test_more_orgs_than_one_word_holds(spark):
     orgs = [f"org{i:03d}" for i in range(70)]
     meta = [(o, f"{o}:{t}", f"t{t}") for i, o in enumerate(orgs) for t in range(6) if (i * 7 + t) % 5 < 2]

@@ -85,6 +85,20 @@ def test_blank_first_code_is_skipped(shelf):
     assert got == {("NJP", "pod", "0", 1), (None, "none", "2", 1)}
 
 
+def test_rows_without_a_record_id_belong_to_no_record(shelf):
+    from shelftally.operators import coverage
+
+    shelf.add("stanford", "s1", marked("CSt"), ("650", "a", "Music"))
+    for i in range(20):
+        shelf.rows.append(("stanford", None, "040", i, " ", " ", "a", 0, "DLC"))
+        shelf.rows.append(("stanford", None, "650", i, " ", " ", "a", 0, "Stray"))
+    shelf.meta.append(("stanford", None, "loose"))
+    lake = shelf.lake(threshold=1)
+    assert mix(lake, "stanford") == {"lc": 0, "self": 1, "pod": 0, "other": 0, "none": 1}
+    fields = as_dict(coverage.coverage(lake), "field", "n")
+    assert fields["subjects"] == 1
+
+
 def test_every_org_keeps_its_agency(shelf):
     for i in range(15):
         for j in range(12):
