@@ -22,12 +22,15 @@ from shelftally.sources.lake import Lake
 
 def counts_sql(p: Params) -> str:
     """
-    Per-record facts in one exchange and no join: the rows of ``record_meta`` and the two
-    field slices meet in a single grouping by record, combined map-side. ``copies`` weighs
-    a record by its rows in ``record_meta`` and drops field rows of records that have none
-    there. The original agency is the first non-blank $a, the entry date the first 008.
-    The hash of the record leads the grouping key: string aggregates are sorted, and eight
-    bytes of hash order rows without comparing the long common prefixes of record ids.
+    Per-record facts in one exchange of the field slices and no join: ``record_meta`` and
+    the two slices meet in a single grouping by record. ``copies`` weighs a record by its
+    rows in ``record_meta`` and drops field rows of records that have none there. The
+    original agency is the first non-blank $a, the entry date the first 008.
+
+    String aggregates are sorted, so rows are spread and led by a hash of the record: one
+    sort serves every aggregate, and eight bytes order rows without comparing the long
+    common prefixes of record ids. Rows without a record id, of which there may be many,
+    belong to no record and are counted apart.
     """
     return f"""\
 WITH slice AS (
@@ -35,7 +38,10 @@ WITH slice AS (
          CAST(NULL AS STRUCT<field_seq: INT, subfield_seq: INT, agency: STRING>) AS origin,
          CAST(NULL AS STRING) AS modifier,
          CAST(NULL AS STRUCT<field_seq: INT, stamp: STRING>) AS entered
-  FROM record_meta
+  FROM record_meta WHERE record_id IS NOT NULL
+  UNION ALL
+  SELECT org, NULL, count(*), false, NULL, NULL, NULL
+  FROM record_meta WHERE record_id IS NULL GROUP BY org
   UNION ALL
   SELECT org, record_id, 0L, true,
          CASE WHEN code = 'a' AND agency <> ''
@@ -51,10 +57,10 @@ WITH slice AS (
 ),
 per_record AS (
   SELECT org, record_id, sum(copies) AS copies, bool_or(is_040) AS has_040,
-         min(origin).agency AS source_code, size(collect_set(modifier)) AS agencies,
+         min(origin).agency AS source_code, count(DISTINCT modifier) AS agencies,
          min(entered).stamp AS stamp
-  FROM slice
-  GROUP BY xxhash64(org, record_id), org, record_id
+  FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM slice))
+  GROUP BY h, org, record_id
 )
 SELECT org, {x.entered_year('stamp', p.now_year)} AS entered_year, source_code,
        {x.modification_depth('has_040', 'agencies')} AS mod_depth,

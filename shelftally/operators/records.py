@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelftally.sources.lake import Lake
 
+# Both groupings use one exchange by a hash of the record, which also leads the sort keys.
 # A row without a subfield code is a leader or control field and carries the value.
 NESTED_SQL = """\
 SELECT org, record_id,
@@ -13,13 +14,13 @@ SELECT org, record_id,
          x -> x.f
        ) AS fields
 FROM (
-  SELECT org, record_id, field_seq,
+  SELECT h, org, record_id, field_seq,
          named_struct(
            'tag', head.tag, 'ind1', head.ind1, 'ind2', head.ind2, 'value', control.value,
            'subfields', transform(subfields, s -> named_struct('code', s.code, 'value', s.value))
          ) AS f
   FROM (
-    SELECT org, record_id, field_seq,
+    SELECT h, org, record_id, field_seq,
            min(named_struct('late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
                             'tag', tag, 'ind1', ind1, 'ind2', ind2)) AS head,
            max(CASE WHEN code IS NULL
@@ -29,11 +30,11 @@ FROM (
              CASE WHEN code IS NOT NULL
                   THEN named_struct('late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
                                     'code', code, 'value', value) END)) AS subfields
-    FROM (SELECT /*+ REPARTITION(org, record_id) */ * FROM records)
-    GROUP BY org, record_id, field_seq
+    FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM records))
+    GROUP BY h, org, record_id, field_seq
   )
 )
-GROUP BY org, record_id"""
+GROUP BY h, org, record_id"""
 
 
 def reconstitute(lake: Lake, org: str | None = None, record_id: str | None = None) -> DataFrame:
