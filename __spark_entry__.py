@@ -31,6 +31,19 @@ from shelftally.sources import code_map
 from shelftally.sources.derived import derived_lake
 from shelftally.sources.lake import Lake
 
+try:  # the training-data operators may be left out
+    import corpus_pipeline
+    from shelftally.llm import queries as llm_queries
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "shelftally.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = dict(llm_queries.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 _lakes: dict[tuple[str, str], Lake] = {}
 
 
@@ -241,9 +254,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {name: plain(op) for name, op in OPERATORS.items()} | {
         name: planted(op) for name, op in PLANTED.items()
-    }
+    } | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL over the driver tables."""
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | LLM_SQL
