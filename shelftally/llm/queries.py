@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, simhash
+from . import chat, exact_dedup, mixing, perplexity, pieces, simhash
 from .common import read
 
 
@@ -19,6 +19,21 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_targets(rows.unionByName(planted)))
 
 
+def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(read(spark, sf_dir, "documents"))
+
+
+def model_path() -> str:
+    """The vocabulary file, where the tokenizers are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_digests(read(spark, sf_dir, "documents"), model_path())
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -32,7 +47,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op6_simhash_near_dedup, op9_mix_sources, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_chat_prefix_targets,
+        op2_perplexity_rules,
+        op5_sentencepiece,
+        op6_simhash_near_dedup,
+        op9_mix_sources,
+        op10_exact_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
