@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, perplexity, pieces, simhash
+from . import chat, exact_dedup, language, mixing, perplexity, pieces, quality_classifier, simhash
 from .common import read
 
 
@@ -23,6 +23,14 @@ def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def model_path() -> str:
     """The vocabulary file, where the tokenizers are installed on every machine."""
     import public_tokenizers
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_prefix_targets,
         op2_perplexity_rules,
+        op3_quality_classifier,
+        op4_language_id,
         op5_sentencepiece,
         op6_simhash_near_dedup,
         op9_mix_sources,
