@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, mixing, perplexity, pieces, quality_classifier, simhash
+from . import chat, exact_dedup, language, main_text, mixing, perplexity, pieces, quality_classifier, simhash
 from .common import read
 
 
@@ -46,6 +46,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_language_id,
         op5_sentencepiece,
         op6_simhash_near_dedup,
+        op8_main_text,
         op9_mix_sources,
         op10_exact_dedup,
     )
