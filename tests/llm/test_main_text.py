@@ -58,7 +58,7 @@ def test_siblings_and_parts_of_an_article():
 def test_markup_that_is_not_well_formed():
     assert main_text("<p>a &amp; b &lt;c&gt; &eacute;&#33;<p>x\n\t y <b>z<br>w") == "a & b <c> é!\nx y z w"
     assert main_text("<body><p>one</b></p></i>two</div></span><p>1 < 2") == "one\ntwo\n1 < 2"
-    assert main_text('<p title="a > b">text</p><p title="open>rest') == 'text'
+    assert main_text('<p title="a > b">text</p><p title="open>rest') == "text\nrest"
     assert main_text("<script>never closed <p>x</p>") == ""
     deep = "<div>" * 3000 + PROSE + "</div>" * 3000
     assert main_text(deep) == PROSE
