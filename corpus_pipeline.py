@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelftally.llm import exact_dedup, simhash
-from shelftally.llm.common import read
+from shelftally.llm import exact_dedup, language, mixing, pieces, simhash
+from shelftally.llm.common import read, remainder
+from shelftally.llm.queries import model_path
+
+#: Documents whose most likely language is less likely than this are rejected.
+LEAST_SURE = 0.5
+
+
+def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter whose language is fairly sure; learned outside the held-out fold, as the query is."""
+    network = language.train(docs.where(remainder("doc_id", 5) != 0))
+    found = language.with_language(docs, network, "__lang_pred", "__score")
+    sure = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= LEAST_SURE)
+    return found.where(sure).drop("__lang_pred", "__score")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +31,22 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return simhash.drop_near_duplicates(docs)
 
 
+def in_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix of sources takes it."""
+    return mixing.take(docs)
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, and a digest of the text that they decode to."""
+    return pieces.tokens(docs, model_path()).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES = [
+    ("language_id", in_known_languages),
     ("exact_dedup", without_copies),
     ("simhash_near_dedup", without_near_copies),
+    ("mix_sources", in_mixture),
+    ("sentencepiece", as_tokens),
 ]
 
 #: Hashing, training and random rounding have no counterpart in SQL; the tests use brute force.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, main_text, mixing, perplexity, pieces, quality_classifier, simhash
+from . import chat, exact_dedup, language, main_text, mixing, perplexity, pieces, quality_classifier, simhash, warc
 from .common import read
 
 
@@ -46,6 +46,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(read(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_language_id,
         op5_sentencepiece,
         op6_simhash_near_dedup,
+        op7_warc,
         op8_main_text,
         op9_mix_sources,
         op10_exact_dedup,
@@ -95,6 +100,16 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(so_far) FILTER (role = 'assistant' OR from_end = 1) AS BIGINT) AS formatted_chars
 FROM w GROUP BY conv_id""",
+    "op7_warc": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""",
     "op10_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
