@@ -172,6 +172,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Network:
     """A network for the languages of ``docs`` (``doc_id``, ``text``, ``lang``); null ids, texts or languages are left out."""
     common.ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text", "lang")
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     ids = known.select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("label"), F.xxhash64("doc_id").alias("place"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "__id"))
@@ -205,7 +206,7 @@ def predict(network: Compiled, part: common.Texts) -> tuple[list[str], np.ndarra
     plain = np.diff(np.r_[0, np.cumsum(_ASCII_LETTERS[part.data])][part.offsets]) > 0
     best, score = mean.argmax(axis=1), mean.max(axis=1)
     lettered = [bool(p) or has_letter(part.text(i)) for i, p in enumerate(plain)]
-    return [names[b] if ok and names else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+    return [names[b] if ok and names else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score if names else 0.0, 0.0)
 
 
 _ASCII_LETTERS = common.table(tuple(range(65, 91)) + tuple(range(97, 123)))

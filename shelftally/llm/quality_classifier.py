@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     labelled = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL")
     sample = labelled.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
     sample = sample.orderBy("place", "__id", "label").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("place", "label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("place", "label", "text")
     found = rows.mapInArrow(_sampled_features, "place long, label int, at array<int>, value array<float>")
     return common.unpacked(found.repartition(1).mapInArrow(_fit, "weights binary").first()[0])
 
