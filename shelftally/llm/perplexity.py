@@ -12,6 +12,7 @@ share a hash share the mean of their values.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import log
 
@@ -73,35 +74,96 @@ def _tally(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
 HELD = 4_000_000
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _tally(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _folded(tallies: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tallies added up; more than one comes out only where one would outgrow a task."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for part in common.slices(batches, "text"):
-        keys, row = grams(part)
-        # a document counts towards the model of the other half
-        other = 1 - part.rows.column(1).to_numpy()
-        held.append(_tally(keys << np.uint64(1) | other[row].astype(np.uint64), None))
-        size += len(held[-1][0])
+    for tally in tallies:
+        held.append(tally)
+        size += len(tally[0])
         if size > HELD:
-            held = [_tally(*map(np.concatenate, zip(*held, strict=True)))]
+            held = [_sum(held)]
             size = len(held[0][0])
             if size > HELD // 2:
-                yield _counted(*held[0])
+                yield held[0]
                 held, size = [], 0
     if held:
-        yield _counted(*_tally(*map(np.concatenate, zip(*held, strict=True))))
+        yield _sum(held)
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted tally in few bytes: differences and counts, byte place by byte place, compressed."""
+    both = np.stack([np.diff(keys, prepend=np.uint64(0)), counts.astype(np.uint64)])
+    return zlib.compress(both.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 8, -1)
+    both = np.ascontiguousarray(places.transpose(0, 2, 1)).view(np.uint64)[..., 0]
+    return np.cumsum(both[0], dtype=np.uint64), both[1].astype(np.int64)
+
+
+def _count(shards: int):
+    """The n-grams of a task's documents, counted before the shuffle: one block for each shard."""
+
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in common.slices(batches, "text"):
+            keys, row = grams(part)
+            # a document counts towards the model of the other half
+            other = 1 - part.rows.column(1).to_numpy()
+            yield _tally(keys << np.uint64(1) | other[row].astype(np.uint64), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _folded(tallies(batches)):
+            # n-grams that begin alike go together, which keeps their differences small
+            shard = (common.mix(keys >> np.uint64(17)) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            found, begin = np.unique(shard[order], return_index=True)
+            blocks = [_pack(keys[at], counts[at]) for at in np.split(order, begin[1:])] if len(keys) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in the order of their shards, added up for each shard."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now, size = None, 0
+    for batch in batches:
+        for shard, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if shard != now and held:
+                yield _counted(*_sum(held))
+                held, size = [], 0
+            now = shard
+            held.append(_unpack(block))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_sum(held)]
+                size = len(held[0][0]) // 2
+    if held:
+        yield _counted(*_sum(held))
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     model = (keys & np.uint64(1)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(model), pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array(counts)], ["model", "gram", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(model), pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array(counts)], ["model", "gram", "c"])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """``model``, ``gram``, ``c`` over all of ``docs`` (``text``, ``half``)."""
-    common.ship(docs.sparkSession)
-    counted = docs.select("text", "half").mapInArrow(_count, "model int, gram long, n long")
-    return counted.groupBy("model", "gram").agg(F.sum("n").alias("c"))
+    """``model``, ``gram``, ``c`` over all of ``docs`` (``text``, ``half``).
+
+    Tasks hand on sorted blocks of counts by shard, a fraction of the size of a row for each
+    n-gram. The counts of one n-gram lie in one shard, so the last sum needs no other shuffle.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = docs.select("text", "half").mapInArrow(_count(shards), "shard int, block binary").repartition("shard").sortWithinPartitions("shard")
+    return blocks.mapInArrow(_add, "model int, gram long, c long")
 
 
 # -- the model --------------------------------------------------------------------------
