@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import uuid
+import warnings
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -29,7 +32,7 @@ from shelftally.plans import derive, matrix, suppress
 from shelftally.plans.artifacts import snapshot_diff
 from shelftally.sources import code_map
 from shelftally.sources.derived import derived_lake
-from shelftally.sources.lake import Lake
+from shelftally.sources.lake import Lake, shared_folder
 
 try:  # the training-data operators may be left out
     import corpus_pipeline
@@ -115,14 +118,31 @@ def _top_hosts(lake: Lake) -> DataFrame:
 
 
 def _diff(lake: Lake) -> DataFrame:
-    old = serials.serials_start_decade(lake).withColumnRenamed("records", "n")
-    new = archives.archive_decade(lake)
+    """One report of the lake and of the lake before a correction of first years."""
+    misread = F.expr("tag = '008' AND substring(value, 36, 3) = 'fre' AND substring(value, 8, 2) = '19'")
+    earlier = F.expr("concat(substring(value, 1, 7), '18', substring(value, 10))")
+    records = lake.records.withColumn("value", F.when(misread, earlier).otherwise(F.col("value")))
+    before = Lake(lake.spark, records, lake.record_meta, lake.code_map, params=lake.params)
     return snapshot_diff(
-        old.withColumn("generated_at", F.lit("earlier")),
-        new.withColumn("generated_at", F.lit("later")),
+        serials.serials_start_decade(before).withColumn("generated_at", F.lit("earlier")),
+        serials.serials_start_decade(lake).withColumn("generated_at", F.lit("later")),
     )
 
 
+def _code_map_read(lake: Lake) -> DataFrame:
+    """The map written as the CSV that people edit, and read back with its checks."""
+    folder = f"{shared_folder(lake.spark) or tempfile.mkdtemp()}/code-map-{uuid.uuid4().hex}"
+    lake.own(folder)
+    marc = F.when(F.col("is_marc"), F.col("code"))
+    oclc = F.when(~F.col("is_marc"), F.concat(F.lit(" "), F.lower("code"), F.lit("\u00a0")))
+    rows = lake.code_map.repartition(1).sortWithinPartitions("seq", "code", "org")
+    rows = rows.select(F.col("org").alias("institution"), marc.alias("marc_code"), oclc.alias("oclc_code"), "registry_name")
+    rows.write.option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder, header=True)
+    with warnings.catch_warnings():  # the map shares codes between its two namespaces on purpose
+        warnings.simplefilter("ignore", UserWarning)
+        return code_map.read_code_map(lake.spark, folder)
+
+
 def _names(counts: DataFrame, name: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return name(counts.select("category").distinct()).select("category", "label")
 
@@ -206,6 +226,7 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "cat_self_codes": provenance.cat_self_codes,
     "code_map_listed": provenance.code_map_listed,
     "code_map_via_family": provenance.code_map_via_family,
+    "code_map_read": _code_map_read,
     "code_probe": probe.code_probe,
     "code_owners": _code_owners,
     # channels

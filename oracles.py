@@ -83,7 +83,7 @@ JACCARD = ratio("shared", "ta + tb - shared")
 ORDERED = """(
   SELECT a, b, shared, ta AS own FROM pairs UNION ALL SELECT b, a, shared, tb FROM pairs)"""
 GROUP = "('nation_1', 'nation_2', 'nation_3')"
-IN_GROUP = f"chosen AS (SELECT title_key, count(*) AS k, min(org) AS one FROM holdings WHERE org IN {GROUP} GROUP BY title_key)"
+IN_GROUP = f"chosen AS (SELECT title_key, count(*) AS k, min(org) AS one FROM holdings WHERE org IN {GROUP} AND title_key IS NOT NULL GROUP BY title_key)"
 
 # --- provenance --------------------------------------------------------------
 
@@ -237,6 +237,12 @@ START = f"""\
 SELECT org, (y // 10) * 10 AS decade, count(*) AS records
 FROM (SELECT org, {year(DATE1)} AS y FROM {SERIAL_008} WHERE length(value) >= 11)
 WHERE y BETWEEN 1700 AND 2025 GROUP BY ALL"""
+# The same serials before the first years of French ones were corrected from 18.. to 19..
+EARLIER = f"""\
+SELECT org, (y // 10) * 10 AS decade, count(*) AS records
+FROM (SELECT org, {year(DATE1)} - CASE WHEN substr(value, 36, 3) = 'fre' AND substr(value, 8, 2) = '19' THEN 100 ELSE 0 END AS y
+      FROM {SERIAL_008} WHERE length(value) >= 11)
+WHERE y BETWEEN 1700 AND 2025 GROUP BY ALL"""
 ARCHIVE_TOTAL = f"(SELECT org, count(*) AS total FROM {ARCHIVE} GROUP BY org)"
 ARCHIVE_START = f"""\
 SELECT org, (y // 10) * 10 AS decade, count(*) AS n
@@ -262,10 +268,10 @@ FROM (SELECT org, record_id, {DESTINATION} AS category
             WHERE r.tag = '856' AND r.code = 'u' AND r.value LIKE 'http%'))
 GROUP BY ALL"""
 LINKED = f"""(
-  SELECT t.org, count(DISTINCT r.record_id) AS n, t.total FROM {ARCHIVE_TOTAL} t
-  LEFT JOIN (SELECT r.org, r.record_id FROM records r JOIN {ARCHIVE} a USING (org, record_id)
-             WHERE r.tag = '856' AND r.code = 'u') r USING (org)
-  GROUP BY t.org, t.total)"""
+  SELECT t.org, coalesce(r.n, 0) AS n, t.total FROM {ARCHIVE_TOTAL} t
+  LEFT JOIN (SELECT org, count(*) AS n FROM {ARCHIVE}
+             WHERE (org, record_id) IN (SELECT (org, record_id) FROM records WHERE tag = '856' AND code = 'u')
+             GROUP BY org) r USING (org))"""
 
 # --- comparison --------------------------------------------------------------
 
@@ -620,7 +626,7 @@ FROM ({CHANNEL_ROWS})""",
             f"""\
 SELECT org, record_id, string_agg(line, chr(10) ORDER BY field_seq) AS text
 FROM (SELECT org, record_id, field_seq, {field_text.replace('s.code', 'code')} AS line
-      FROM records GROUP BY org, record_id, field_seq)
+      FROM records WHERE record_id IS NOT NULL GROUP BY org, record_id, field_seq)
 GROUP BY org, record_id"""
         ),
         "field_pivot": q(
@@ -646,9 +652,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, host) AS pl
         "small_cells": q(f"SELECT org, host, n FROM hosts WHERE n > 0 AND n < {THRESHOLD}", HOSTS),
         "snapshot_diff": q(
             f"""\
-SELECT '-' AS change, * FROM (SELECT org, decade, records AS n FROM ({START}) EXCEPT ALL SELECT org, decade, n FROM ({ARCHIVE_START}))
+SELECT '-' AS change, * FROM (({EARLIER}) EXCEPT ALL ({START}))
 UNION ALL
-SELECT '+', * FROM (SELECT org, decade, n FROM ({ARCHIVE_START}) EXCEPT ALL SELECT org, decade, records FROM ({START}))"""
+SELECT '+', * FROM (({START}) EXCEPT ALL ({EARLIER}))"""
+        ),
+        "code_map_read": q(
+            "SELECT org, code, is_marc, registry_name, row_number() OVER (ORDER BY seq, code, org) - 1 AS seq FROM code_map"
         ),
         "labelled_matrix": q(named(LANGUAGE, "category", labels.LANGUAGE, False)),
         "labelled_place": q(named(COUNTRY, "category", labels.PLACE, False)),

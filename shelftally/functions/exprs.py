@@ -22,6 +22,8 @@ def in_list(values) -> str:
 
 # Unicode space separators, which a bare trim in the checked results also removes.
 SPACES = "\u0020\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+# White space of every kind, as around hand-edited values.
+WHITE = SPACES + "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u2028\u2029"
 # What surrounds an agency code in real records.
 CODE_NOISE = " *.,;:\t\n\r\u00a0"
 
@@ -145,13 +147,22 @@ def lc_class(column: str = "value") -> str:
 def place_in_record(*, top: str = "0", payload: str = "0") -> str:
     """
     One number that orders rows by ``top``, then field, then subfield, and carries a byte
-    along. A minimum over it needs no sort. Positions take 24 bits each, far above what
-    one record can hold.
+    along. A minimum over it needs no sort, since a decimal has a fixed width. Every INT
+    has room in it, negative ones too; rows without a position come last.
     """
-    return (
-        f"(shiftleft(CAST({top} AS BIGINT), 56) | shiftleft(CAST(field_seq AS BIGINT), 32)"
-        f" | shiftleft(CAST(coalesce(subfield_seq, 0) AS BIGINT), 8) | {payload})"
-    )
+
+    def place(column: str) -> str:
+        return f"coalesce(CAST({column} AS DECIMAL(38, 0)) + 2147483648, 4294967296)"
+
+    whole = f"CAST({top} AS DECIMAL(38, 0))"
+    for column in ("field_seq", "subfield_seq"):
+        whole = f"({whole} * 8589934592 + {place(column)})"
+    return f"({whole} * 256 + {payload})"
+
+
+def sequence(column: str) -> str:
+    """A position to order by, where rows without one come last."""
+    return f"coalesce({column}, 2147483647)"
 
 
 # --- provenance --------------------------------------------------------------

@@ -40,7 +40,7 @@ def lc_class_sql(serials_only: bool = False) -> str:
     """
     only = " LEFT SEMI JOIN serial_records USING (org, record_id)" if serials_only else ""
     return f"""\
-SELECT org, chr(first & 255) AS category, count(*) AS n
+SELECT org, chr(CAST(first % 256 AS INT)) AS category, count(*) AS n
 FROM (
   SELECT org, record_id, min({x.place_in_record(top='priority', payload='ascii(class)')}) AS first
   FROM (

@@ -30,7 +30,8 @@ FROM (
              CASE WHEN code IS NOT NULL
                   THEN named_struct('late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
                                     'code', code, 'value', value) END)) AS subfields
-    FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM records))
+    FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM records
+                                            WHERE org IS NOT NULL AND record_id IS NOT NULL))
     GROUP BY h, org, record_id, field_seq
   )
 )
@@ -41,6 +42,7 @@ def reconstitute(lake: Lake, org: str | None = None, record_id: str | None = Non
     """
     Records as ordered fields with ordered subfields, one row per record; an unknown id
     gives no row. Without arguments the whole lake is rebuilt, each record on its own.
+    Rows without an org or an id belong to no record.
     """
     rows = lake.records
     if org is not None:
@@ -69,18 +71,22 @@ def to_text(nested: DataFrame) -> DataFrame:
 def field_pivot(lake: Lake, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """
     Chosen fields as columns, one row per record that has any of them.
-    ``fields`` maps a column name to a tag and a subfield code.
+    ``fields`` maps a column name to a tag and a subfield code. String maxima are sorted,
+    so rows are dealt and led by a hash of the record, as above: one exchange, one sort.
     """
     tags = sorted({tag for tag, _ in fields.values()})
     return (
-        lake.records.where(F.col("tag").isin(tags))
-        .groupBy("record_id")
+        lake.records.where(F.col("tag").isin(tags) & F.col("org").isNotNull() & F.col("record_id").isNotNull())
+        .withColumn("h", F.xxhash64("org", "record_id"))
+        .repartition("h")
+        .groupBy("h", "org", "record_id")
         .agg(
             *[
                 F.max(F.when((F.col("tag") == tag) & (F.col("code") == code), F.col("value"))).alias(name)
                 for name, (tag, code) in fields.items()
             ]
         )
+        .drop("h", "org")
     )
 
 

@@ -69,13 +69,7 @@ def _pairwise_sql(lake: Lake) -> Steps:
 def _provenance_sql(lake: Lake) -> Steps:
     return [
         *provenance.steps(lake.params),
-        ("Mix by origin", provenance.MIX_SQL),
-        ("Agencies: each org's own top codes, united", provenance.agency_sql(lake.params)),
-        ("Agency denominator: records that name one", provenance.AGENCY_TOTAL_SQL),
-        ("Credited member by holder", provenance.FLOW_SQL),
-        ("Modifying agencies per record", provenance.DEPTH_SQL),
-        ("Mix by year entered", provenance.TIMELINE_SQL),
-        ("Own codes as used", provenance.SELF_CODES_SQL),
+        ("By year and origin, by agency and its owner, and by depth, in one pass", provenance.CELLS_SQL),
     ]
 
 

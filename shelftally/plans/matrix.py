@@ -7,7 +7,7 @@ axis. ``n`` is NULL where the count is too small to publish and 0 where there is
 ``total`` is taken before both the axis cut and the suppression.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,6 +78,36 @@ def matrix(
     )
 
 
+def matrix_of_cells(counts: DataFrame, threshold: int, *, axis: Column | None = None) -> DataFrame:
+    """
+    The same shape from counts that lie in one partition, ``(org, category, n)`` with or
+    without ``total``: an org's cells become a map and the axis an array beside it, so one
+    explode makes the grid. ``axis`` is an array of categories, the same in every row;
+    without it, categories by total, largest first, ties by code.
+    """
+    everywhere = Window.partitionBy()
+    if "total" not in counts.columns:
+        counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("org")))
+    if axis is None:
+        sized = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("category")))
+        ranks = F.array_sort(F.collect_set(F.struct(-F.col("_all"), F.col("category"))).over(everywhere))
+        counts = sized.withColumn("_axis", F.transform(ranks, lambda r: r["category"]))
+    else:
+        counts = counts.withColumn("_axis", axis)
+    by_org = counts.groupBy("org").agg(
+        F.first("total").cast("long").alias("total"),
+        F.first("_axis").alias("_axis"),
+        F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("_cells"),
+    )
+    cells = by_org.select("org", "total", "_cells", F.posexplode("_axis").alias("_place", "category"))
+    shown = F.expr(exprs.published("n", threshold))
+    return (
+        cells.withColumn("n", F.coalesce(F.col("_cells")[F.col("category")], F.lit(0)))
+        .withColumn("share", F.when(F.col("total") > 0, shown / F.col("total").cast("double")))
+        .select("org", "category", (F.col("_place") + 1).alias("cat_rank"), shown.alias("n"), "total", "share")
+    )
+
+
 def without_totals(cells: DataFrame) -> DataFrame:
     """
     Withhold denominators where the categories exhaust them: beside the other cells

@@ -86,6 +86,16 @@ def fold_into(
     return counts.groupBy(*by, name.alias(label)).agg(F.sum(count).alias(count))
 
 
+def fold_columns(wide: DataFrame, buckets, *, threshold: int, other: str = "other") -> DataFrame:
+    """``fold_into`` where the buckets are columns of one row."""
+    small = {b: (F.col(b) > 0) & (F.col(b) < threshold) for b in buckets if b != other}
+    moved = F.col(other)
+    for bucket, is_small in small.items():
+        moved = moved + F.when(is_small, F.col(bucket)).otherwise(0)
+    kept = {b: F.when(is_small, F.lit(0)).otherwise(F.col(b)) for b, is_small in small.items()}
+    return wide.withColumns(kept | {other: moved})
+
+
 def small_cells(
     counts: DataFrame,
     *,
@@ -107,7 +117,6 @@ def require_reconciled(parts: DataFrame, whole: DataFrame, *, by: str, what: str
         .join(whole.select(by, F.col("n").alias("held")), by, "full")
         .where(~F.coalesce("covered", F.lit(0)).eqNullSafe(F.coalesce("held", F.lit(0))))
         .orderBy(by)
-        .limit(20)
         .collect()
     )
     if wrong:

@@ -1,6 +1,7 @@
 """Run Spark SQL text against DataFrames by name, without claiming names in the session."""
 
 import re
+from threading import Lock
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,18 @@ class Views:
 
     def __init__(self):
         self._names: dict[DataFrame, str] = {}
+        self._lock = Lock()
+
+    def __len__(self) -> int:
+        return len(self._names)
 
     def name(self, df: DataFrame) -> str:
-        if df not in self._names:
-            name = f"bound_{uuid4().hex}"
-            df.createOrReplaceTempView(name)
-            self._names[df] = name
-        return self._names[df]
+        with self._lock:
+            if df not in self._names:
+                name = f"bound_{uuid4().hex}"
+                df.createOrReplaceTempView(name)
+                self._names[df] = name
+            return self._names[df]
 
     def drop(self) -> None:
         while self._names:
@@ -30,24 +36,47 @@ class Views:
             df.sparkSession.catalog.dropTempView(name)
 
 
-def bind(spark: SparkSession, text: str, views: Views | None = None, /, **tables: DataFrame) -> DataFrame:
+def bind(
+    spark: SparkSession,
+    text: str,
+    views: Views | None = None,
+    standing: dict[str, DataFrame] | None = None,
+    passing: dict[str, DataFrame] | None = None,
+    /,
+    **tables: DataFrame,
+) -> DataFrame:
     """
     Run ``text`` with each table name after FROM or JOIN standing for the DataFrame.
 
     The text stays runnable as it is wherever tables of those names exist; here they are
-    replaced by views of unique names, so concurrent lakes never meet. Views of the
-    caller's stay; without any, those made here go once the text is analysed.
+    replaced by views of unique names, so concurrent lakes never meet. Views of
+    ``standing`` frames stay in ``views``; all others go once the text is analysed. Table
+    names are rewritten outside string literals and comments, with or without an alias;
+    tables in a comma list are not found.
     """
-    standing = views or Views()
-    for name, df in tables.items():
-        reference = re.compile(rf"\b(FROM|JOIN)(\s+){name}\b(\s+AS\b)?", re.IGNORECASE)
-        if reference.search(text):
-            view = standing.name(df)
-            text = reference.sub(
-                lambda m: f"{m[1]}{m[2]}{view}{m[3] if m[3] else f' AS {name}'}", text
-            )
+    brief = Views()
+    named = [(name, df, views) for name, df in (standing or {}).items()]
+    named += [(name, df, brief) for name, df in ((passing or {}) | tables).items()]
+    parts = _QUOTED.split(text)
     try:
-        return spark.sql(text)
+        for name, df, holder in named:
+            reference = re.compile(
+                rf"\b(FROM|JOIN)(\s+){name}\b(?!\s*\.)(?=(\s+AS\b|\s+(?!{_AFTER}\b)[A-Za-z_]\w*)?)", re.IGNORECASE
+            )
+
+            def view(m: re.Match, df=df, holder=holder, name=name) -> str:
+                return f"{m[1]}{m[2]}{holder.name(df)}" + ("" if m[3] else f" AS {name}")
+
+            parts[::2] = [reference.sub(view, part) for part in parts[::2]]
+        return spark.sql("".join(parts))
     finally:
-        if views is None:
-            standing.drop()
+        brief.drop()
+
+
+# String literals, quoted names and comments: nothing inside them is a table.
+_QUOTED = re.compile(r"""((?:\br)?'(?:[^'\\]|\\.)*'|`[^`]*`|"[^"]*"|--[^\n]*)""")
+# What may follow a table name without being its alias.
+_AFTER = (
+    "(?:WHERE|GROUP|ORDER|HAVING|LIMIT|JOIN|LEFT|RIGHT|FULL|INNER|CROSS|SEMI|ANTI|NATURAL|ON|USING|UNION|EXCEPT"
+    "|INTERSECT|LATERAL|WINDOW|PIVOT|SORT|CLUSTER|DISTRIBUTE|TABLESAMPLE|QUALIFY)"
+)

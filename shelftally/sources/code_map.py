@@ -6,10 +6,13 @@ its hyphenated children (``CtY`` covers ``CtY-BR``, never ``CtYX``); OCLC symbol
 opaque and match exactly.
 """
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelftally import schema
+from shelftally.functions import exprs
 from shelftally.sources.binding import bind
 from shelftally.sources.lake import Lake
 
@@ -33,16 +36,18 @@ def read_code_map(
     """
     Read the map from a CSV with a header: the org, ``marc_code``, ``oclc_code`` and
     optionally ``registry_name``, exactly one of the two code columns filled per row.
-    The file is hand-curated, a few hundred rows; ``seq`` keeps its order.
+    The file is hand-curated, a few hundred rows; ``seq`` keeps its order. White space of
+    any kind around a value is dropped. Messages name every finding. A code that is MARC
+    for one org and OCLC for another is legal and gives a warning.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     missing = [c for c in (org_column, *REQUIRED) if c not in raw.columns]
     if missing:
-        raise CodeMapError(f"{path} is missing column(s): {missing}")
+        raise CodeMapError(f"no column {', '.join(missing)} in {path}; it has {', '.join(raw.columns)}")
 
     def text(name: str):
         column = F.col(name) if name in raw.columns else F.lit(None).cast("string")
-        return F.trim(F.coalesce(column, F.lit("")))
+        return F.btrim(F.coalesce(column, F.lit("")), F.lit(exprs.WHITE))
 
     marc, oclc = text("marc_code"), text("oclc_code")
     # one file read by one task, so the generated id counts lines in file order
@@ -62,27 +67,27 @@ def read_code_map(
     )
     if check:
         bad = rows.where((F.col("org") == "") | (marc_given() == (F.col("oclc") != "")))
-        lines = bad.orderBy("seq").limit(20).collect()
-        if lines:
-            raise CodeMapError(
-                f"{path}: "
-                + "; ".join(
-                    f"line {r['seq'] + 2}: "
-                    + (
-                        "no institution"
-                        if not r["org"]
-                        else "fill exactly one of marc_code / oclc_code"
-                        f" (got {r['marc']!r} and {r['oclc']!r})"
-                    )
-                    for r in lines
-                )
-            )
+        findings = [f"row {r['seq'] + 1} {_fault(r)}" for r in bad.orderBy("seq").collect()]
+        if findings:
+            raise CodeMapError(f"{path}: " + "; ".join(findings))
         if rows.isEmpty():
-            raise CodeMapError(f"{path} has no rows")
+            raise CodeMapError(f"{path} holds a header and nothing else")
         require_valid(code_map)
+        shared = ambiguous_codes(spark, code_map).orderBy("code").collect()
+        if shared:
+            listed = ", ".join(f"{r['code']} ({', '.join(r['orgs'])})" for r in shared)
+            warnings.warn(f"{path}: codes used in both namespaces, credited to the org listed first: {listed}", stacklevel=2)
     return code_map
 
 
+def _fault(row) -> str:
+    if not row["org"]:
+        return "names no org"
+    if row["marc"]:
+        return f"gives both a MARC code ({row['marc']}) and an OCLC symbol ({row['oclc']}); split it into two rows"
+    return f"gives no code for {row['org']}"
+
+
 def marc_given():
     return F.col("marc") != ""
 
@@ -124,17 +129,16 @@ def violations(spark: SparkSession, code_map: DataFrame) -> DataFrame:
 
 
 def require_valid(code_map: DataFrame) -> None:
-    found = violations(code_map.sparkSession, code_map).orderBy("problem", "code").limit(20).collect()
-    if not found:
-        return
     parts = []
-    for r in found:
+    for r in violations(code_map.sparkSession, code_map).orderBy("problem", "code", "orgs").collect():
         if r["problem"] == "contested":
-            kind = "MARC" if r["is_marc"] else "OCLC"
-            parts.append(f"{kind} {r['code']} cannot belong to two institutions: {sorted(r['orgs'])}")
+            kind = "MARC code" if r["is_marc"] else "OCLC symbol"
+            parts.append(f"{kind} {r['code']} is claimed by {' and '.join(r['orgs'])}")
         else:
-            parts.append(f"{r['orgs'][0]}'s MARC family would also match {r['orgs'][1]}'s {r['code']}")
-    raise CodeMapError("; ".join(parts))
+            base, child = r["orgs"]
+            parts.append(f"{r['code']} of {child} lies in the MARC family of {base}")
+    if parts:
+        raise CodeMapError("records would be credited to the wrong org: " + "; ".join(parts))
 
 
 def ambiguous_codes(spark: SparkSession, code_map: DataFrame) -> DataFrame:
@@ -181,11 +185,9 @@ def require_mapped(lake: Lake) -> None:
 
     if lake.code_map is None:
         raise UnmappedOrgError("the lake has no code map")
-    missing = [r["org"] for r in unmapped_orgs(lake).orderBy("org").limit(100).collect()]
+    missing = [r["org"] for r in unmapped_orgs(lake).orderBy("org").collect()]
     if missing:
         raise UnmappedOrgError(
-            "no agency codes are mapped for: "
-            + ", ".join(missing)
-            + ". Add rows for them to the code map. The codes each org uses, and how"
-            " concentrated each is there, come from:\n\n" + probe_sql(lake.params)
+            f"the code map lists no code of {', '.join(missing)}. This query shows the codes"
+            " that each org uses and how many of their records lie there:\n\n" + probe_sql(lake.params)
         )

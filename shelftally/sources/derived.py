@@ -15,7 +15,7 @@ TABLES = {
     "base": """\
 SELECT lower(n_name) AS org, n_nationkey AS nk, o_orderkey AS k, o_orderdate AS od,
        concat(lower(n_name), ':', o_orderkey) AS record_id,
-       concat('t', CAST(floor(o_totalprice / 50) AS BIGINT)) AS title_key
+       CASE WHEN o_orderkey % 211 <> 0 THEN concat('t', CAST(floor(o_totalprice / 50) AS BIGINT)) END AS title_key
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "record_meta": """\
 SELECT org, record_id, title_key FROM base""",
@@ -26,7 +26,13 @@ FROM nation
 UNION ALL
 SELECT lower(n_name), concat('X', n_nationkey, '#'), FALSE,
        concat(n_name, ' Library'), CAST(n_nationkey * 2 + 1 AS BIGINT)
-FROM nation""",
+FROM nation
+UNION ALL
+SELECT lower(n_name), concat('N', n_nationkey, '-A'), TRUE, concat(n_name, ' Annex'), CAST(100 + n_nationkey AS BIGINT)
+FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL
+SELECT lower(n_name), concat('VEN', n_nationkey % 5), n_nationkey < 5, concat(n_name, ' Shared'), CAST(200 + n_nationkey AS BIGINT)
+FROM nation WHERE n_nationkey < 10""",
     "records": """\
 SELECT org, record_id, 'LDR' AS tag, 0 AS field_seq, CAST(NULL AS STRING) AS ind1,
        CAST(NULL AS STRING) AS ind2, CAST(NULL AS STRING) AS code,
@@ -73,6 +79,23 @@ FROM base WHERE k % 13 <> 0
 UNION ALL
 SELECT org, record_id, '040', 5, ' ', ' ', 'a', 1, 'cDLC' FROM base WHERE k % 29 = 0 AND k % 13 <> 0
 UNION ALL
+SELECT org, record_id, 'LDR', 24, NULL, NULL, NULL, NULL, '00000npm a2200000 a 4500' FROM base WHERE k % 43 = 0
+UNION ALL
+SELECT org, record_id, '008', 20, NULL, NULL, NULL, NULL,
+       concat('010203', 'd', CAST(1900 + k % 90 AS STRING), CAST(1910 + k % 90 AS STRING), 'stk',
+              '                 ', 'spa', '  ')
+FROM base WHERE k % 31 = 0
+UNION ALL
+SELECT org, record_id, '040', 21, ' ', ' ', 'a', 0, concat('N', nk, '-A-B') FROM base WHERE k % 13 = 0 AND k % 2 = 0
+UNION ALL
+SELECT org, record_id, '040', 22, ' ', ' ', 'a', 0, concat(chr(160), 'N', (nk + 1) % 25, chr(160)) FROM base WHERE k % 13 <> 5
+UNION ALL
+SELECT org, record_id, '856', 23, '4', '0', 'u', 0, concat('http://host', k % 9, '.example.org/', k) FROM base WHERE k % 10 = 3
+UNION ALL
+SELECT org, CAST(NULL AS STRING), '040', 5, ' ', ' ', 'a', 0, 'STRAY' FROM base WHERE k % 71 = 0
+UNION ALL
+SELECT org, CAST(NULL AS STRING), '650', 10, ' ', '0', 'a', 0, 'Stray' FROM base WHERE k % 73 = 0
+UNION ALL
 SELECT org, record_id, '040', 5, ' ', ' ', 'd', CAST(10 + l_linenumber AS INT),
        concat('M', CASE WHEN l_suppkey % 2 = 0 THEN 'od' ELSE 'OD' END, l_suppkey % 9)
 FROM base JOIN lineitem ON l_orderkey = k WHERE k % 13 <> 0
@@ -84,7 +107,7 @@ UNION ALL
 SELECT org, record_id, CASE WHEN k % 3 = 0 THEN '100' ELSE '110' END, 7, '1', ' ', 'a', 0, concat('Name ', k % 500)
 FROM base WHERE k % 4 <> 1
 UNION ALL
-SELECT org, record_id, '245', 8, '1', '0', 'a', 0, concat('Title ', title_key) FROM base
+SELECT org, record_id, '245', 8, '1', '0', 'a', 0, concat('Title ', coalesce(title_key, 'without a key')) FROM base
 UNION ALL
 SELECT org, record_id, '300', 9, ' ', ' ', 'a', 0, '1 v.' FROM base WHERE k % 20 <> 0
 UNION ALL
@@ -157,7 +180,9 @@ def derived_lake(spark: SparkSession, sf_dir: str, params: Params | None = None)
     if folder is not None:
         out = f"{folder}/derived-{uuid4().hex}"
         write_derived(spark, sf_dir, out)
-        return stored_lake(spark, out, params)
+        lake = stored_lake(spark, out, params)
+        lake.own(out)
+        return lake
     tables = derived_tables(spark, sf_dir)
     return Lake(
         spark,

@@ -55,8 +55,11 @@ class Lake:
         )
         self._kept: dict[str, DataFrame] = {}
         self._views = Views()
-        # one builder at a time, so that reports run side by side share what they keep
-        self._building = RLock()
+        # one builder of a name at a time, so that reports run side by side share what they keep
+        self._locks: dict[str, RLock] = {}
+        self._naming = RLock()
+        # folders this lake wrote, deleted on release
+        self._written: list[str] = []
         # guards that have passed for this lake
         self.checked: set[str] = set()
 
@@ -74,21 +77,22 @@ class Lake:
     ) -> "Lake":
         """
         Read a Parquet lake from any path Spark can open. ``rename`` maps the lake's
-        own column names onto the declared ones. Nothing is ever written back.
+        own column names onto the declared ones. Nothing is ever written back. A column
+        that the files lack is an error, never a column of NULLs.
         """
 
         def load(path: str, declared: T.StructType) -> DataFrame:
-            back = {new: old for old, new in (rename or {}).items()}
-            on_disk = T.StructType(
-                [
-                    T.StructField(back.get(f.name, f.name), f.dataType, f.nullable)
-                    for f in declared.fields
-                ]
-            )
-            df = spark.read.schema(on_disk).parquet(path)
-            return df.select(
-                *[F.col(back.get(f.name, f.name)).alias(f.name) for f in declared.fields]
-            )
+            own = {new: old for old, new in (rename or {}).items()}
+            df = spark.read.parquet(path)
+            names = {f.name: own.get(f.name, f.name) for f in declared.fields}
+            missing = {wanted: name for wanted, name in names.items() if name not in df.columns}
+            if missing:
+                raise schema.SchemaError(
+                    f"{path} has no column {', '.join(missing.values())}; its columns are"
+                    f" {', '.join(df.columns)}. Map its own names with rename="
+                    + "{" + ", ".join(f"'<its name>': '{wanted}'" for wanted in missing) + "}"
+                )
+            return df.select(*[F.col(f"`{name}`").alias(wanted) for wanted, name in names.items()])
 
         return cls(
             spark,
@@ -106,13 +110,20 @@ class Lake:
         tables = {"records": self.records, "record_meta": self.record_meta}
         if self.code_map is not None:
             tables["code_map"] = self.code_map
-        return bind(self.spark, text, self._views, **(tables | extra))
+        kept = {id(df) for df in [*self._kept.values(), *tables.values()]}
+        standing = {name: df for name, df in (tables | extra).items() if id(df) in kept}
+        passing = {name: df for name, df in (tables | extra).items() if id(df) not in kept}
+        return bind(self.spark, text, self._views, standing, passing)
 
     # --- shared roll-ups ---------------------------------------------------
 
+    def _lock(self, name: str) -> RLock:
+        with self._naming:
+            return self._locks.setdefault(name, RLock())
+
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Build a roll-up once and hold it for every operator that reads it."""
-        with self._building:
+        with self._lock(name):
             if name not in self._kept:
                 self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
             return self._kept[name]
@@ -126,9 +137,10 @@ class Lake:
         folder = shared_folder(self.spark)
         if folder is None:
             return self.keep(name, build)
-        with self._building:
+        with self._lock(name):
             if name not in self._kept:
                 path = f"{folder}/{name}-{uuid4().hex}"
+                self.own(path)
                 build().write.parquet(path)
                 self._kept[name] = self.spark.read.parquet(path)
             return self._kept[name]
@@ -146,19 +158,27 @@ class Lake:
         with it: broadcast under ``spark.sql.autoBroadcastJoinThreshold``, and a
         shuffled join with adaptive skew handling above it.
         """
-        with self._building:
+        with self._lock(name):
             fresh = name not in self._kept
             df = self.keep(name, build)
             if fresh:
                 df.count()
             return df
 
+    def own(self, folder: str) -> None:
+        """Delete a folder when the lake is released."""
+        self._written.append(folder)
+
     def release(self) -> None:
-        """Drop every roll-up this lake holds."""
-        for df in self._kept.values():
+        """Drop every roll-up this lake holds, and delete what it wrote for them."""
+        for df in list(self._kept.values()):
             df.unpersist()
         self._kept.clear()
         self._views.drop()
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self._written:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._written.pop())
+            path.getFileSystem(hadoop).delete(path, True)
         self.checked.clear()
         self.__dict__.pop("org_count", None)
 
