@@ -69,6 +69,17 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salts: int = 32) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for each ``key``.
+
+    A key may hold most of the rows: they are dealt over ``salts`` places by ``spread``, and
+    every fact is there in all of them.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"]).drop("__salt")
+
+
 def words(text: Column) -> Column:
     """Number of runs of characters other than white space (null: 0)."""
     blank = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)

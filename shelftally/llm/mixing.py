@@ -115,8 +115,8 @@ def pivotal(units: DataFrame, most: int, fan_in: int = FAN_IN) -> DataFrame:
     key. Groups are dealt by hash, about ``fan_in`` units in each whatever the number of
     units, so a key with many units is spread over as many groups.
     """
-    number = units.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "__key")
-    level = units.select("key", F.col("unit").alias("at"), "p", "words").join(number, F.col("key") == F.col("__key"))
+    number = units.groupBy("key").agg(F.count("*").alias("n"))
+    level = common.with_facts(units.select("key", F.col("unit").alias("at"), "p", "words"), number, "key", F.col("at"))
     decided, depth = [], 0
     while True:  # one round for each level of the tree
         groups = F.greatest(F.lit(1), F.ceil(F.col("n") / fan_in)).cast("long")
@@ -131,8 +131,7 @@ def pivotal(units: DataFrame, most: int, fan_in: int = FAN_IN) -> DataFrame:
         most = -(-most // fan_in)
         if most <= 1:
             break
-        number = left.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "__key")
-        level = left.join(number, F.col("key") == F.col("__key"))
+        level = common.with_facts(left, left.groupBy("key").agg(F.count("*").alias("n")), "key", F.col("at"))
     # one group per key was left: its residual meets a coin
     coin = F.when(_draw(F.lit(-1), "key", "at") < F.col("p"), 1).otherwise(0).cast("int")
     out = left.select("key", F.col("at").alias("unit"), coin.alias("copy"))
@@ -152,9 +151,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.words(F.col("text")).alias("size"))
     rows = common.cut(rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows")).withColumn("key", _source_key()))
     totals = rows.groupBy("key").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    due = common.cut(targets(totals, weights, most)).withColumnRenamed("key", "__key")
+    due = common.cut(targets(totals, weights, most))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    rows = rows.join(due, F.col("key") == F.col("__key")).drop("__key").withColumn("rate", rate)
+    rows = common.with_facts(rows, due, "key", F.col("doc_id")).withColumn("rate", rate)
     # documents whose numbers should ever be equal are one unit, as repeated rows are
     rows = rows.withColumn("unit", F.xxhash64("doc_id", "size", F.col("doc_id").isNull()))
     fraction = F.col("rate") - F.floor("rate")
