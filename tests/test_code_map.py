@@ -1,3 +1,7 @@
+"""The code map: what a hand-edited file may hold, what it may not, and who owns a code."""
+
+import warnings
+
 import pytest
 from conftest import as_dict
 from hypothesis import HealthCheck, given, settings
@@ -6,55 +10,75 @@ from hypothesis import strategies as st
 from shelftally import Lake, schema
 from shelftally.sources import code_map as cm
 
-HEADER = "institution,marc_code,oclc_code,registry_name\n"
-
 
 @pytest.fixture
-def write(tmp_path):
-    def to_file(*rows, header=HEADER):
-        path = tmp_path / "codes.csv"
-        path.write_text(header + "".join(r + "\n" for r in rows))
+def edited(tmp_path):
+    def save(text):
+        path = tmp_path / "map.csv"
+        path.write_text(text, encoding="utf-8")
         return str(path)
 
-    return to_file
+    return save
+
+
+def table(*rows):
+    return "institution,marc_code,oclc_code,registry_name\n" + "\n".join(rows) + "\n"
 
 
-def test_reads_in_file_order(spark, write):
-    path = write("yale,CtY,,Yale", ' penn , PU ,,"Penn, main"', "brown,,rbn,")
+def test_values_are_trimmed_of_any_white_space(spark, edited):
+    path = edited(table(' oak\t, Oa-K ,,"Oak, Great"', "pine,, pn1 ,", '"pine",\tPiN　,,"Pine ""P"""'))
     rows = cm.read_code_map(spark, path).orderBy("seq").collect()
-    assert [tuple(r)[:4] for r in rows] == [
-        ("yale", "CTY", True, "Yale"),
-        ("penn", "PU", True, "Penn, main"),
-        ("brown", "RBN", False, ""),
+    assert [tuple(r) for r in rows] == [
+        ("oak", "OA-K", True, "Oak, Great", 0),
+        ("pine", "PN1", False, "", 1),
+        ("pine", "PIN", True, 'Pine "P"', 2),
     ]
-    assert cm.read_code_map(spark, path).schema.names == schema.CODE_MAP.names
+
+
+def test_another_org_column_and_no_names(spark, edited):
+    path = edited("member,oclc_code,marc_code\noak,,OaK\n")
+    assert tuple(cm.read_code_map(spark, path, org_column="member").first()) == ("oak", "OAK", True, "", 0)
+    with pytest.raises(cm.CodeMapError, match="no column institution"):
+        cm.read_code_map(spark, path)
 
 
 @pytest.mark.parametrize(
-    "rows, message",
+    "rows, said",
     [
-        (["brown,,ABC,Brown", "duke,,abc,Duke"], "two institutions"),
-        (["brown,RPB,RBN,Brown"], "exactly one of"),
-        (["brown,,,Brown"], "exactly one of"),
-        ([",RPB,,Brown"], "no institution"),
-        (["penn,PU,,Penn", "princeton,PU-L,,Princeton"], "would also match"),
-        (["penn,PU,,Penn", "princeton,,PU-L,Princeton"], "would also match"),
-        ([], "no rows"),
+        (["oak,,Q1,", "elm,,q1,"], "OCLC symbol Q1 is claimed by elm and oak"),
+        (["oak,Qa,,", "elm,QA,,"], "MARC code QA is claimed by"),
+        (["oak,Oa,Q1,"], "row 1 gives both"),
+        (["oak,Oa,,", "elm, , ,Elm"], "row 2 gives no code for elm"),
+        ([" ,Oa,,"], "row 1 names no org"),
+        (["oak,Oa,,", "elm,oa-b,,"], "OA-B of elm lies in the MARC family of oak"),
+        (["oak,Oa,,", "elm,,OA-B-C,"], "OA-B-C of elm lies in the MARC family of oak"),
+        ([], "nothing else"),
     ],
 )
-def test_rejects_what_would_miscredit(spark, write, rows, message):
-    with pytest.raises(cm.CodeMapError, match=message):
-        cm.read_code_map(spark, write(*rows))
+def test_faults(spark, edited, rows, said):
+    with pytest.raises(cm.CodeMapError, match=said):
+        cm.read_code_map(spark, edited(table(*rows)))
+
+
+def test_all_faults_are_named(spark, edited):
+    with pytest.raises(cm.CodeMapError) as refused:
+        cm.read_code_map(spark, edited(table(*[f"org{i},,," for i in range(60)])))
+    assert all(f"row {i + 1} gives no code for org{i}" in str(refused.value) for i in range(60))
+    with pytest.raises(cm.CodeMapError) as refused:
+        cm.read_code_map(spark, edited(table(*[f"{o},M{i},," for i in range(45) for o in ("oak", "elm")])))
+    assert all(f"MARC code M{i} is" in str(refused.value) for i in range(45))
 
 
-def test_rejects_missing_column(spark, write):
-    with pytest.raises(cm.CodeMapError, match="missing column"):
-        cm.read_code_map(spark, write("a,b,c", header="institution,marc_code,name\n"))
+def test_neighbours_that_only_look_alike(spark, edited):
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = cm.read_code_map(spark, edited(table("oak,Oa,,", "elm,,OaB,", "ash,OaC,,", "oak,Oa-X,,")))
+    assert got.count() == 4
 
 
-def test_accepts_look_alikes(spark, write):
-    got = cm.read_code_map(spark, write("penn,PU,,Penn", "princeton,,PUL,Princeton"))
-    assert {r["org"] for r in got.collect()} == {"penn", "princeton"}
+def test_a_code_in_both_namespaces_gives_a_warning(spark, edited):
+    with pytest.warns(UserWarning, match=r"Q1 \(elm, oak\)"):
+        cm.read_code_map(spark, edited(table("oak,Q1,,", "elm,,Q1,")))
 
 
 def resolve(spark, claims, codes):
@@ -67,31 +91,27 @@ def resolve(spark, claims, codes):
     return as_dict(cm.owners(lake, spark.createDataFrame([(c,) for c in codes], "code string")), "code", "owner")
 
 
-def test_families_and_symbols(spark):
-    claims = [("yale", "CtY", True), ("penn", "PU", True), ("brown", "RBN", False)]
-    got = resolve(spark, claims, ["CTY", "CTY-BR", "CTYX", "PU", "PUL", "PU-", "RBN", "RBN-X", "-PU", ""])
-    assert got == {"CTY": "yale", "CTY-BR": "yale", "PU": "penn", "PU-": "penn", "RBN": "brown"}
+def test_a_family_reaches_over_hyphens_only(spark):
+    claims = [("oak", "Oa", True), ("elm", "Q1", False), ("ash", "As-h", True)]
+    got = resolve(spark, claims, ["OA", "OA-", "OA-B-C", "OAB", "Q1", "Q1-X", "AS", "AS-H-1", "AS-HA", "-OA", ""])
+    assert got == {"OA": "oak", "OA-": "oak", "OA-B-C": "oak", "Q1": "elm", "AS-H-1": "ash"}
 
 
-def test_first_listed_org_wins_across_namespaces(spark):
-    claims = [("b", "ONE", True), ("a", "X", True), ("b", "X", False)]
-    assert resolve(spark, claims, ["X", "X-1"]) == {"X": "b", "X-1": "a"}
-    found = cm.ambiguous_codes(spark, cm.code_map_from_rows(spark, claims)).collect()
-    assert [(r["code"], r["orgs"]) for r in found] == [("X", ["a", "b"])]
+def test_the_org_listed_first_wins(spark):
+    claims = [("elm", "E", True), ("oak", "Z", True), ("elm", "Z", False)]
+    assert resolve(spark, claims, ["Z", "Z-9"]) == {"Z": "elm", "Z-9": "oak"}
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
-    st.lists(st.tuples(st.sampled_from("pqr"), st.text("AB-", min_size=1, max_size=4), st.booleans()), min_size=1, max_size=8),
-    st.sets(st.text("AB-", min_size=1, max_size=6), min_size=1, max_size=12),
+    st.lists(st.tuples(st.sampled_from("uvw"), st.text("XY-", min_size=1, max_size=4), st.booleans()), min_size=1, max_size=8),
+    st.sets(st.text("XY-", min_size=1, max_size=6), min_size=1, max_size=12),
 )
 def test_owner_equals_prefix_comparison(spark, claims, codes):
-    first = {}
-    for i, (org, *_) in enumerate(claims):
-        first.setdefault(org, i)
+    place = {org: i for i, (org, *_) in reversed(list(enumerate(claims)))}
     want = {}
     for code in codes:
-        hits = [o for o, c, marc in claims if code == c or (marc and code.startswith(c + "-"))]
-        if hits:
-            want[code] = min(hits, key=first.get)
+        able = [org for org, claim, marc in claims if claim == code or (marc and code.startswith(f"{claim}-"))]
+        if able:
+            want[code] = min(able, key=place.get)
     assert resolve(spark, claims, codes) == want
