@@ -11,13 +11,13 @@ def counts(spark, rows):
     return spark.createDataFrame(rows, "org string, category string, n long")
 
 
-def test_top_n_folds_tail_and_small_cells(spark):
-    df = counts(spark, [("o", "a", 100), ("o", "b", 50), ("o", "c", 5), ("o", "d", 3), ("p", "a", 7)])
-    out = suppress.bucket_top_n(df, n=2, threshold=10, by=["org"])
+def test_top_n_keeps_large_rows_and_sums_the_rest(spark):
+    df = counts(spark, [("x", "ginkgo", 40), ("x", "yew", 40), ("x", "larch", 12), ("x", "fir", 11), ("x", "rowan", 2), ("y", "yew", 6), ("y", "fir", 6), ("z", "fir", 60)])
+    out = suppress.bucket_top_n(df, n=3, threshold=12, by=["org"])
     assert as_set(out, "org", "category", "n", "cat_rank") == {
-        ("o", "a", 100, 1), ("o", "b", 50, 2), ("o", "Other", 8, 3), ("p", "Other", 7, 3),
-    }
-    assert suppress.small_cells(out, threshold=10).isEmpty()
+        ("x", "ginkgo", 40, 1), ("x", "yew", 40, 2), ("x", "larch", 12, 3), ("x", "Other", 13, 4), ("y", "Other", 12, 4), ("z", "fir", 60, 1),
+    }
+    assert suppress.small_cells(out, threshold=12).isEmpty()
 
 
 def test_top_n_without_groups(spark):
@@ -27,9 +27,16 @@ def test_top_n_without_groups(spark):
     assert as_dict(suppress.bucket_top_n(df, n=5, threshold=500), "category", "n") == {"Other": 170}
 
 
-def test_fold_small(spark):
-    df = counts(spark, [("o", "a", 30), ("o", "b", 20), ("o", "c", 1)])
-    assert as_dict(suppress.fold_small(df, threshold=10), "category", "n") == {"a": 30, "b": 20, "Other": 1}
+def test_fold_small_ranks_nothing(spark):
+    df = counts(spark, [("x", "a", 5), ("x", "b", 4), ("x", "c", 6), ("x", "d", 0)])
+    assert as_dict(suppress.fold_small(df, threshold=5), "category", "n") == {"a": 5, "c": 6, "Other": 4}
+    assert as_dict(suppress.fold_small(df, threshold=7), "category", "n") == {"Other": 15}
+
+
+def test_fold_columns_equals_fold_into(spark):
+    wide = spark.createDataFrame([(30, 2, 0, 9), (1, 1, 1, 0), (0, 0, 0, 0)], "lc long, pod long, none long, other long")
+    got = suppress.fold_columns(wide, ["lc", "pod", "none", "other"], threshold=10).collect()
+    assert [tuple(r) for r in got] == [(30, 0, 0, 11), (0, 0, 0, 3), (0, 0, 0, 0)]
 
 
 def test_fold_into_keeps_the_total(spark):
