@@ -2,13 +2,14 @@
 The published artifacts: which tables each holds, the query text behind it, and writing.
 
 An artifact is a folder with one table per section, every row stamped with the time of
-the run; the manifest lists the artifacts with their description, threshold and SQL. The
-tables are reports, bounded by orgs and published axes, so each is written as one file.
+the run; the manifest lists the artifacts with their description, the parameters of the run
+and their SQL, which runs as it stands on the lake that was read. The tables are reports,
+bounded by orgs and published axes, so each is written as one file in its reading order.
 """
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -69,6 +70,7 @@ def _pairwise_sql(lake: Lake) -> Steps:
 def _provenance_sql(lake: Lake) -> Steps:
     return [
         *provenance.steps(lake.params),
+        ("Kept, since what follows reads it more than once", "CACHE LAZY TABLE cataloging_source"),
         ("By year and origin, by agency and its owner, and by depth, in one pass", provenance.CELLS_SQL),
     ]
 
@@ -223,6 +225,7 @@ MANIFEST = T.StructType(
         T.StructField("artifact", T.StringType()),
         T.StructField("description", T.StringType()),
         T.StructField("threshold", T.IntegerType()),
+        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
         T.StructField("generated_at", T.StringType()),
         T.StructField("sections", T.ArrayType(T.StringType())),
         T.StructField(
@@ -238,18 +241,44 @@ MANIFEST = T.StructType(
 
 
 def manifest(lake: Lake, generated_at: str, artifacts=ARTIFACTS) -> DataFrame:
+    params = {name: str(value) for name, value in asdict(lake.params).items()}
     rows = [
-        (a.name, a.description, lake.params.threshold, generated_at, list(a.sections), a.sql(lake))
+        (
+            a.name,
+            a.description,
+            lake.params.threshold,
+            params,
+            generated_at,
+            list(a.sections),
+            lake.steps() + a.sql(lake),
+        )
         for a in artifacts
     ]
     return lake.spark.createDataFrame(rows, MANIFEST)
 
 
-def _write(df: DataFrame, path: str, fmt: str) -> None:
+# Sections that are read largest first.
+LARGEST_FIRST = {"overlap_pairwise/pairs": "shared", "uniqueness/per_org": "unique_titles"}
+
+
+def reading_order(df: DataFrame, section: str = "") -> list:
+    """By org, then by date, then in published order; what is left breaks ties."""
+    simple = (T.ArrayType, T.StructType, T.MapType)
+    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, simple)]
+
+    def place(name: str) -> tuple:
+        date, rank = name in ("year", "decade"), name.endswith("_rank") or name == "place"
+        return (name != "org", not date, not rank, name)
+
+    order = [F.col(name) for name in sorted(names, key=place)]
+    first = LARGEST_FIRST.get(section)
+    return [F.desc(first), *order] if first else order
+
+
+def _write(df: DataFrame, path: str, fmt: str, section: str = "") -> None:
     """One ordered file with its columns in name order; NULL stays visible as suppressed."""
-    columns = sorted(df.columns)
-    flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
-    out = df.select(*columns).repartition(1).sortWithinPartitions(*sorted(flat))
+    order = reading_order(df, section)
+    out = df.select(*sorted(df.columns)).repartition(1).sortWithinPartitions(*order)
     writer = out.write.mode("overwrite")
     if fmt == "json":
         writer.option("ignoreNullFields", "false").json(path)
@@ -277,7 +306,7 @@ def write_artifacts(
     def write(artifact: Artifact) -> None:
         for section, build in artifact.sections.items():
             table = build(lake).withColumn("generated_at", F.lit(stamp))
-            _write(table, f"{out}/{artifact.name}/{section}", fmt)
+            _write(table, f"{out}/{artifact.name}/{section}", fmt, f"{artifact.name}/{section}")
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(write, artifacts))

@@ -60,6 +60,8 @@ class Lake:
         self._naming = RLock()
         # folders this lake wrote, deleted on release
         self._written: list[str] = []
+        # statements that make this lake's tables available under the declared names
+        self._steps: list[tuple[str, str]] = []
         # guards that have passed for this lake
         self.checked: set[str] = set()
 
@@ -81,7 +83,9 @@ class Lake:
         that the files lack is an error, never a column of NULLs.
         """
 
-        def load(path: str, declared: T.StructType) -> DataFrame:
+        steps = []
+
+        def load(path: str, declared: T.StructType, table: str) -> DataFrame:
             own = {new: old for old, new in (rename or {}).items()}
             df = spark.read.parquet(path)
             names = {f.name: own.get(f.name, f.name) for f in declared.fields}
@@ -92,16 +96,25 @@ class Lake:
                     f" {', '.join(df.columns)}. Map its own names with rename="
                     + "{" + ", ".join(f"'<its name>': '{wanted}'" for wanted in missing) + "}"
                 )
+            columns = ", ".join(f"`{name}` AS {wanted}" for wanted, name in names.items())
+            text = f"CREATE OR REPLACE TEMP VIEW {table} AS\nSELECT {columns}\nFROM parquet.`{path}`"
+            steps.append((f"The lake's {table} under the names used here", text))
             return df.select(*[F.col(f"`{name}`").alias(wanted) for wanted, name in names.items()])
 
-        return cls(
+        lake = cls(
             spark,
-            load(records_path, schema.RECORDS),
-            load(record_meta_path, schema.RECORD_META),
+            load(records_path, schema.RECORDS, "records"),
+            load(record_meta_path, schema.RECORD_META, "record_meta"),
             code_map,
-            load(harvest_state_path, schema.HARVEST_STATE) if harvest_state_path else None,
+            load(harvest_state_path, schema.HARVEST_STATE, "harvest_state") if harvest_state_path else None,
             params,
         )
+        lake._steps = steps
+        return lake
+
+    def steps(self) -> list[tuple[str, str]]:
+        """What published queries need first: none where the tables were given as DataFrames."""
+        return list(self._steps)
 
     # --- running text ------------------------------------------------------
 

@@ -20,7 +20,7 @@ def stored(spark, tmp_path_factory):
     return stored_lake(spark, out)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.OPERATORS | entry.PLANTED))
 def test_no_python_and_no_product_in_any_query(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for banned in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -30,7 +30,7 @@ def test_no_python_and_no_product_in_any_query(spark, name):
 def test_kept_results_are_read_from_the_cache(spark, stored):
     for text, extra in (
         (overlap.pattern_sql(25), {"roster": stored.roster}),
-        (provenance.FLOW_SQL, {"cataloging_source": provenance.cataloging_source(stored)}),
+        (provenance.CELLS_SQL, {"cataloging_source": provenance.cataloging_source(stored)}),
     ):
         assert "InMemoryTableScan" in plan(stored.sql(text, **extra))
         assert "InMemoryTableScan" in plan(stored.sql(text, **extra))
