@@ -153,7 +153,7 @@ def _agencies(lake: Lake) -> DataFrame:
 
 
 def _namespaces(lake: Lake) -> DataFrame:
-    return _names(lake.sql(channels.PREFIX_SQL).withColumnRenamed("code", "category"), labels.label_namespace)
+    return _names(channels.prefixes(lake).withColumnRenamed("code", "category"), labels.label_namespace)
 
 
 OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {

@@ -1,4 +1,10 @@
-"""How records reached each org, from the namespaces of field 035 control numbers."""
+"""
+How records reached each org, from the namespaces of field 035 control numbers.
+
+The field is read once into namespace patterns: for each org, the set of namespaces that a
+record carries, and how many records carry just that set. Owners, channels and namespace
+counts follow from the patterns, of which there are few.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,29 +16,42 @@ from shelftally.plans.matrix import matrix
 from shelftally.sources.code_map import OWNER_SQL, owners, require_mapped
 from shelftally.sources.lake import Lake
 
-NUMBERS = f"SELECT org, record_id, {x.namespace()} AS prefix FROM records WHERE tag = '035' AND code = 'a'"
+PATTERNS_SQL = f"""\
+SELECT org, prefixes, count(*) AS n
+FROM (
+  SELECT org, record_id, array_sort(collect_set(prefix)) AS prefixes
+  FROM (
+    SELECT org, record_id, {x.namespace()} AS prefix
+    FROM records
+    WHERE tag = '035' AND code = 'a' AND record_id IS NOT NULL
+  )
+  WHERE prefix <> ''
+  GROUP BY org, record_id
+)
+GROUP BY org, prefixes"""
 
-PREFIX_SQL = f"SELECT DISTINCT prefix AS code FROM ({NUMBERS}) WHERE prefix <> ''"
+PREFIX_SQL = "SELECT DISTINCT code FROM (SELECT explode(prefixes) AS code FROM namespace_patterns)"
 
 
 def coverage_sql() -> str:
-    """Flags per record, then sums per org; channels overlap and are no partition."""
+    """Flags per pattern, then sums per org; channels overlap and are no partition."""
     tests = x.channel_tests("prefix", "owner", "org")
     bits = "\n            | ".join(f"if({test}, {1 << i}, 0)" for i, test in enumerate(tests.values()))
-    counts = ",\n       ".join(f"count_if(bits & {1 << i} > 0) AS {name}" for i, name in enumerate(tests))
+    counts = ",\n       ".join(f"sum(if(bits & {1 << i} > 0, n, 0)) AS {name}" for i, name in enumerate(tests))
     return f"""\
 SELECT org, sum(held) AS records,
        {counts}
 FROM (
-  SELECT org, 1L AS held, 0 AS bits FROM record_meta
+  SELECT org, 1L AS held, 0 AS bits, 0L AS n FROM record_meta
   UNION ALL
-  SELECT org, 0L, bit_or(bits)
+  SELECT org, 0L, bit_or(bits), any_value(n)
   FROM (
-    SELECT org, record_id,
+    SELECT org, prefixes, n,
            (  {bits}) AS bits
-    FROM ({NUMBERS}) LEFT JOIN prefix_owner ON prefix = prefix_owner.code
+    FROM (SELECT org, prefixes, n, explode(prefixes) AS prefix FROM namespace_patterns)
+      LEFT JOIN prefix_owner ON prefix = prefix_owner.code
   )
-  GROUP BY org, record_id
+  GROUP BY org, prefixes
 )
 GROUP BY org
 HAVING records > 0"""
@@ -40,6 +59,11 @@ HAVING records > 0"""
 
 def steps() -> list[tuple[str, str]]:
     return [
+        (
+            "Records by the set of namespaces they carry",
+            f"CREATE OR REPLACE TEMP VIEW namespace_patterns AS\n{PATTERNS_SQL}",
+        ),
+        ("Kept, since all that follows reads it", "CACHE LAZY TABLE namespace_patterns"),
         (
             "Owner of each namespace",
             "CREATE OR REPLACE TEMP VIEW prefix_owner AS\n"
@@ -52,13 +76,22 @@ def steps() -> list[tuple[str, str]]:
     ]
 
 
+def patterns(lake: Lake) -> DataFrame:
+    return lake.table("namespace_patterns", lambda: lake.sql(PATTERNS_SQL))
+
+
+def prefixes(lake: Lake) -> DataFrame:
+    """Every namespace in use, once."""
+    return lake.sql(PREFIX_SQL, namespace_patterns=patterns(lake))
+
+
 def prefix_owners(lake: Lake) -> DataFrame:
     """
     Owners of the distinct namespaces some org claims. Computed and measured first: the
     namespace column is very skewed, and the true size of this side decides whether its
     join with the record rows is a broadcast.
     """
-    return lake.measured("prefix_owner", lambda: owners(lake, lake.sql(PREFIX_SQL)))
+    return lake.measured("prefix_owner", lambda: owners(lake, prefixes(lake)))
 
 
 def _mapped(lake: Lake) -> None:
@@ -70,7 +103,7 @@ def _mapped(lake: Lake) -> None:
 def channel_counts(lake: Lake) -> DataFrame:
     """Per org, records carrying each channel's number, unsuppressed and wide."""
     _mapped(lake)
-    return lake.sql(coverage_sql(), prefix_owner=prefix_owners(lake))
+    return lake.sql(coverage_sql(), namespace_patterns=patterns(lake), prefix_owner=prefix_owners(lake))
 
 
 def channel_coverage(lake: Lake) -> DataFrame:
@@ -97,10 +130,9 @@ def channel_coverage(lake: Lake) -> DataFrame:
     )
 
 
-USED_SQL = f"""\
-SELECT org, prefix AS category, count(DISTINCT record_id) AS n
-FROM ({NUMBERS})
-WHERE prefix <> ''
+USED_SQL = """\
+SELECT org, prefix AS category, sum(n) AS n
+FROM (SELECT org, n, explode(prefixes) AS prefix FROM namespace_patterns)
 GROUP BY org, prefix"""
 
 
@@ -132,7 +164,7 @@ def namespace_totals(lake: Lake) -> DataFrame:
 def channel_namespace(lake: Lake) -> DataFrame:
     """Raw namespaces as shares of all records of each org."""
     _mapped(lake)
-    used = lake.counts("namespaces", USED_SQL)
+    used = lake.counts("namespaces", USED_SQL, namespace_patterns=patterns(lake))
     counts = lake.counts("channel_namespace", namespace_sql(lake.params), namespaces=used)
     totals = (
         namespace_totals(lake)

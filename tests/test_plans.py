@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from shelftally.operators import comparison, coverage, overlap, provenance, serials
+from shelftally.operators import channels, comparison, coverage, overlap, provenance, serials
 from shelftally.sources.derived import stored_lake, write_derived
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +50,7 @@ def test_release_leaves_nothing_behind(spark, tmp_path):
 def test_tag_filter_reaches_the_scan(stored):
     text = plan(stored.sql(comparison.LANGUAGE_SQL))
     assert "EqualTo(tag,008)" in text
-    assert "ReadSchema: struct<org:string,tag:string,value:string>" in text
+    assert "ReadSchema: struct<tag:string,value:string>" in text
 
 
 def test_overlap_never_reads_subfields(stored):
@@ -83,3 +83,17 @@ def test_top_lists_limit_before_the_shuffle(stored):
 
     for df in (links.link_hosts(stored), archives.archive_genre(stored)):
         assert plan(df).count("WindowGroupLimit") == 2
+
+
+def test_org_and_tag_reach_the_scan(stored):
+    from shelftally.operators import records
+
+    text = plan(records.org_field_count(stored, "856", "u", org="nation_3"))
+    assert "PartitionFilters: [isnotnull(org" in text and "= nation_3" in text
+    assert "EqualTo(tag,856)" in text
+
+
+def test_control_numbers_are_read_once(stored):
+    channels.patterns(stored).count()
+    for report in (channels.channel_coverage, channels.channel_namespace):
+        assert "035" not in plan(report(stored))
