@@ -247,10 +247,10 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     ),
     "snapshot_diff": _diff,
     "labelled_matrix": lambda lake: _names(
-        lake.sql(comparison.LANGUAGE_SQL), lambda df: labels.label(df, "category", labels.LANGUAGE)
+        comparison.language_counts(lake), lambda df: labels.label(df, "category", labels.LANGUAGE)
     ),
     "labelled_place": lambda lake: _names(
-        lake.sql(comparison.COUNTRY_SQL), lambda df: labels.label(df, "category", labels.PLACE)
+        comparison.country_counts(lake), lambda df: labels.label(df, "category", labels.PLACE)
     ),
     "labelled_agency": _agencies,
     "labelled_namespace": _namespaces,

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from shelftally.functions import exprs as x
 from shelftally.functions import vocab
+from shelftally.operators.fixed_fields import fixed_fields
 from shelftally.params import Params
 from shelftally.plans.matrix import fixed_axis, matrix
 from shelftally.sources.lake import Lake
@@ -49,11 +50,11 @@ GROUP BY ALL"""
 def decade_sql(p: Params) -> str:
     low, high = p.archive_years
     return f"""\
-SELECT org, {x.decade('began')} AS decade, count(*) AS n
+SELECT org, {x.decade('began')} AS decade, sum(n) AS n
 FROM (
-  SELECT org, {x.year(x.piece(x.DATE_1))} AS began
-  FROM (SELECT org, record_id, value FROM records WHERE tag = '008' AND length(value) >= 11)
-  JOIN archival_records USING (org, record_id)
+  SELECT org, {x.year('date1')} AS began, n * archival AS n
+  FROM fixed_fields
+  WHERE archival > 0 AND chars >= 11
 )
 WHERE began BETWEEN {low} AND {high}
 GROUP BY ALL"""
@@ -110,7 +111,7 @@ def archive_genre(lake: Lake) -> DataFrame:
 
 
 def archive_decade(lake: Lake) -> DataFrame:
-    return _sql(lake, decade_sql(lake.params))
+    return lake.sql(decade_sql(lake.params), fixed_fields=fixed_fields(lake))
 
 
 def archive_link(lake: Lake) -> DataFrame:

@@ -4,33 +4,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelftally.functions import exprs as x
+from shelftally.operators.fixed_fields import fixed_fields
 from shelftally.operators.serials import serial_records
 from shelftally.params import Params
 from shelftally.plans.matrix import matrix
 from shelftally.plans.suppress import fold_small
 from shelftally.sources.lake import Lake
 
-def coded_sql(position: tuple[int, int], tag: str, length: int, category: str) -> str:
+def coded_sql(raw: str, category: str) -> str:
     """
-    Records by a coded position. Raw codes are counted first, so that trimming and
-    rolling up run once per distinct code and not once per record.
+    Records by a code. Raw codes are counted first, so that trimming and rolling up run
+    once per distinct code and not once per record.
     """
     return f"""\
 SELECT org, {category} AS category, sum(n) AS n
-FROM (
-  SELECT org, {x.piece(position)} AS raw, count(*) AS n
-  FROM records
-  WHERE tag = '{tag}' AND length(value) >= {length}
-  GROUP BY ALL
-)
+FROM ({raw})
 WHERE {x.stripped('raw')} <> ''
 GROUP BY ALL"""
 
 
 CODE = f"upper({x.stripped('raw')})"
-LANGUAGE_SQL = coded_sql(x.LANGUAGE, "008", 38, CODE)
-COUNTRY_SQL = coded_sql(x.PLACE, "008", 18, x.country(CODE))
-RECORD_TYPE_SQL = coded_sql(x.RECORD_TYPE, "LDR", 7, "raw")
+LANGUAGE_SQL = coded_sql("SELECT org, language AS raw, sum(n) AS n FROM fixed_fields WHERE chars >= 38 GROUP BY ALL", CODE)
+COUNTRY_SQL = coded_sql("SELECT org, place AS raw, sum(n) AS n FROM fixed_fields WHERE chars >= 18 GROUP BY ALL", x.country(CODE))
+RECORD_TYPE_SQL = coded_sql(
+    f"SELECT org, {x.piece(x.RECORD_TYPE)} AS raw, count(*) AS n\n"
+    "      FROM records WHERE tag = 'LDR' AND length(value) >= 7 GROUP BY ALL",
+    "raw",
+)
 
 
 def lc_class_sql(serials_only: bool = False) -> str:
@@ -55,16 +55,24 @@ FROM (
 GROUP BY ALL"""
 
 
+def language_counts(lake: Lake) -> DataFrame:
+    return lake.counts("language", LANGUAGE_SQL, fixed_fields=fixed_fields(lake))
+
+
+def country_counts(lake: Lake) -> DataFrame:
+    return lake.counts("country", COUNTRY_SQL, fixed_fields=fixed_fields(lake))
+
+
 def lang_matrix(lake: Lake) -> DataFrame:
-    return _top(lake, "language", LANGUAGE_SQL)
+    return _top(lake, language_counts(lake))
 
 
 def country_matrix(lake: Lake) -> DataFrame:
-    return _top(lake, "country", COUNTRY_SQL)
+    return _top(lake, country_counts(lake))
 
 
 def record_type_matrix(lake: Lake) -> DataFrame:
-    return _top(lake, "record_type", RECORD_TYPE_SQL)
+    return _top(lake, lake.counts("record_type", RECORD_TYPE_SQL))
 
 
 def lc_class(lake: Lake) -> DataFrame:
@@ -78,16 +86,15 @@ def lc_class_serial(lake: Lake) -> DataFrame:
     return matrix(counts, lake.params.threshold)
 
 
-def _top(lake: Lake, name: str, text: str) -> DataFrame:
-    p = lake.params
-    return matrix(lake.counts(name, text), p.threshold, top_k=p.compare_top_k)
+def _top(lake: Lake, counts: DataFrame) -> DataFrame:
+    return matrix(counts, lake.params.threshold, top_k=lake.params.compare_top_k)
 
 
 def decade_sql(p: Params) -> str:
     low, high = p.publication_years
     return f"""\
-SELECT org, {x.decade('published')} AS decade, count(*) AS records
-FROM (SELECT org, {x.year(x.piece(x.DATE_1))} AS published FROM records WHERE tag = '008')
+SELECT org, {x.decade('published')} AS decade, sum(n) AS records
+FROM (SELECT org, {x.year('date1')} AS published, n FROM fixed_fields)
 WHERE published BETWEEN {low} AND {high}
 GROUP BY ALL"""
 
@@ -98,7 +105,7 @@ def publication_decade(lake: Lake) -> DataFrame:
     org with no decade and ``is_other`` set.
     """
     folded = fold_small(
-        lake.sql(decade_sql(lake.params)),
+        lake.sql(decade_sql(lake.params), fixed_fields=fixed_fields(lake)),
         threshold=lake.params.threshold,
         by=["org"],
         label="decade",

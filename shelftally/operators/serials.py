@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 
 from shelftally.functions import exprs as x
 from shelftally.functions import vocab
+from shelftally.operators.fixed_fields import fixed_fields
 from shelftally.params import Params
 from shelftally.plans.matrix import fixed_axis, matrix, org_totals
 from shelftally.sources.lake import Lake
@@ -33,14 +34,14 @@ def active_sql(p: Params) -> str:
     Serials published in each year. Runs are counted before they are spread over years,
     so a row is expanded per distinct run, not per serial.
     """
-    first, last = x.year(x.piece(x.DATE_1)), x.piece(x.DATE_2)
     return f"""\
 WITH run AS (
-  SELECT org, {first} AS first_year,
-         CASE WHEN {last} = '9999' OR {x.piece(x.DATE_TYPE)} = 'c' THEN {p.now_year}
-              WHEN {x.piece(x.DATE_TYPE)} = 'd' THEN {x.year(last)} END AS last_year,
-         count(*) AS n
-  FROM {of_serials("tag = '008' AND length(value) >= 15")}
+  SELECT org, {x.year('date1')} AS first_year,
+         CASE WHEN date2 = '9999' OR kind = 'c' THEN {p.now_year}
+              WHEN kind = 'd' THEN {x.year('date2')} END AS last_year,
+         sum(n) AS n
+  FROM fixed_fields
+  WHERE is_serial AND chars >= 15
   GROUP BY ALL
 )
 SELECT org, year, sum(n) AS records
@@ -56,11 +57,8 @@ GROUP BY org, year"""
 def start_decade_sql(p: Params) -> str:
     low, high = p.serial_start_years
     return f"""\
-SELECT org, {x.decade('began')} AS decade, count(*) AS records
-FROM (
-  SELECT org, {x.year(x.piece(x.DATE_1))} AS began
-  FROM {of_serials("tag = '008' AND length(value) >= 11")}
-)
+SELECT org, {x.decade('began')} AS decade, sum(n) AS records
+FROM (SELECT org, {x.year('date1')} AS began, n FROM fixed_fields WHERE is_serial AND chars >= 11)
 WHERE began BETWEEN {low} AND {high}
 GROUP BY ALL"""
 
@@ -85,15 +83,19 @@ GROUP BY ALL"""
 
 
 def status_sql() -> str:
-    status = x.piece(x.DATE_TYPE)
     return f"""\
-SELECT org, {status} AS category, count(*) AS n
-FROM {of_serials(f"tag = '008' AND {status} IN {x.in_list(vocab.SERIAL_STATUSES)}")}
+SELECT org, kind AS category, sum(n) AS n
+FROM fixed_fields
+WHERE is_serial AND kind IN {x.in_list(vocab.SERIAL_STATUSES)}
 GROUP BY ALL"""
 
 
-def _sql(lake: Lake, text: str) -> DataFrame:
-    return lake.sql(text, serial_records=serial_records(lake))
+def _of_fields(lake: Lake, text: str) -> DataFrame:
+    return lake.sql(text, fixed_fields=fixed_fields(lake))
+
+
+def _statuses(lake: Lake) -> DataFrame:
+    return lake.counts("serial_status", status_sql(), fixed_fields=fixed_fields(lake))
 
 
 def _counts(lake: Lake, name: str, text: str) -> DataFrame:
@@ -101,11 +103,11 @@ def _counts(lake: Lake, name: str, text: str) -> DataFrame:
 
 
 def serials_active(lake: Lake) -> DataFrame:
-    return _sql(lake, active_sql(lake.params))
+    return _of_fields(lake, active_sql(lake.params))
 
 
 def serials_start_decade(lake: Lake) -> DataFrame:
-    return _sql(lake, start_decade_sql(lake.params))
+    return _of_fields(lake, start_decade_sql(lake.params))
 
 
 def serials_total(lake: Lake) -> DataFrame:
@@ -131,12 +133,12 @@ def succession_type(lake: Lake) -> DataFrame:
 
 def serial_status(lake: Lake) -> DataFrame:
     """Still published, ceased or unknown, ranked by consortium total."""
-    return matrix(_counts(lake, "serial_status", status_sql()), lake.params.threshold, top_k=lake.params.compare_top_k)
+    return matrix(_statuses(lake), lake.params.threshold, top_k=lake.params.compare_top_k)
 
 
 def serial_status_ordered(lake: Lake) -> DataFrame:
     """The same cells in the fixed order still published, ceased, unknown."""
-    counts = _counts(lake, "serial_status", status_sql())
+    counts = _statuses(lake)
     axis = fixed_axis(lake.spark, vocab.SERIAL_STATUSES).join(
         counts.select("category").distinct(), "category", "left_semi"
     )

@@ -21,6 +21,7 @@ from shelftally.operators import (
     channels,
     comparison,
     coverage,
+    fixed_fields,
     links,
     overlap,
     probe,
@@ -110,14 +111,14 @@ ARTIFACTS = (
         "publication_decade",
         "Records of each org by decade of publication.",
         {"per_org": comparison.publication_decade},
-        lambda lake: [("Records by decade", comparison.decade_sql(lake.params))],
+        lambda lake: [*fixed_fields.steps(), ("Records by decade", comparison.decade_sql(lake.params))],
     ),
     Artifact(
         "serials_timeline",
         "Serials of each org published in each year, and by starting decade.",
         {"active": serials.serials_active, "start_decade": serials.serials_start_decade},
         lambda lake: [
-            *serials.steps(),
+            *fixed_fields.steps(),
             ("Serials active per year", serials.active_sql(lake.params)),
             ("Serials by starting decade", serials.start_decade_sql(lake.params)),
         ],
@@ -148,6 +149,7 @@ ARTIFACTS = (
         },
         lambda lake: [
             *archives.steps(),
+            *fixed_fields.steps(),
             ("Archival records per org", archives.TOTAL_SQL),
             ("Archival records by material", archives.TYPE_SQL),
             ("Archival records by genre term", archives.GENRE_SQL),
@@ -209,6 +211,7 @@ ARTIFACTS = (
             "serial_status": serials.serial_status,
         },
         lambda lake: [
+            *fixed_fields.steps(),
             ("Language", comparison.LANGUAGE_SQL),
             ("Place of publication", comparison.COUNTRY_SQL),
             ("Type of record", comparison.RECORD_TYPE_SQL),

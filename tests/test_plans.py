@@ -48,11 +48,22 @@ def test_release_leaves_nothing_behind(spark, tmp_path):
 
 
 def test_tag_filter_reaches_the_scan(stored):
-    text = plan(stored.sql(comparison.LANGUAGE_SQL))
-    assert "EqualTo(tag,008)" in text
+    text = plan(stored.sql(comparison.RECORD_TYPE_SQL))
+    assert "EqualTo(tag,LDR)" in text
     assert "ReadSchema: struct<tag:string,value:string>" in text
 
 
+def test_field_008_is_read_once(stored):
+    from shelftally.operators import archives, fixed_fields
+
+    text = plan(stored.sql(fixed_fields.FIXED_SQL))
+    assert "In(tag, [008,LDR])" in text and text.count("Exchange hashpartitioning(org") == 3
+    fixed_fields.fixed_fields(stored).count()
+    reports = (comparison.lang_matrix, comparison.country_matrix, comparison.publication_decade, archives.archive_decade)
+    for report in (*reports, serials.serials_active, serials.serials_start_decade, serials.serial_status):
+        assert "EqualTo(tag,008)" not in plan(report(stored))
+
+
 def test_overlap_never_reads_subfields(stored):
     text = plan(stored.sql(overlap.pattern_sql(25), roster=stored.roster))
     assert "record_meta" in text and "/records]" not in text
