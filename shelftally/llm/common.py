@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words, everywhere in this subpackage: space and U+0009 to U+000D.
 SPACE_CODES = (9, 10, 11, 12, 13, 32)
+#: Rows that pass between Spark and Python at a time.
+BATCH_ROWS = 500
 #: Bytes of text that a task turns into arrays at a time; one longer text makes a longer slice.
 SLICE_BYTES = 2 << 20
 
@@ -28,7 +30,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, wherever the driver runs."""
+    """Send this package to the executors once per application, wherever the driver runs.
+
+    Also keeps the batches between Spark and Python small: whole texts travel in them, and
+    buffers on both sides stay as large as the largest batch.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

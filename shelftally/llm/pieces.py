@@ -274,7 +274,7 @@ def _decode_bytewise(model: Pieces, ids: np.ndarray) -> bytes:
 TOKENS = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes of text encoded at a time.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def _each(path: str, batches: Iterator[pa.RecordBatch]):
