@@ -156,6 +156,13 @@ def _namespaces(lake: Lake) -> DataFrame:
     return _names(channels.prefixes(lake).withColumnRenamed("code", "category"), labels.label_namespace)
 
 
+def _labelled(report: Callable[[Lake], DataFrame], column: str, table: dict[str, str]) -> Callable[[Lake], DataFrame]:
+    """The categories of a report with their names."""
+    return lambda lake: _names(
+        report(lake).select(F.col(column).alias("category")), lambda df: labels.label(df, "category", table)
+    )
+
+
 OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     # overlap
     "corpus_totals": overlap.corpus_totals,
@@ -252,6 +259,16 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "labelled_place": lambda lake: _names(
         comparison.country_counts(lake), lambda df: labels.label(df, "category", labels.PLACE)
     ),
+    "labelled_record_type": _labelled(comparison.record_type_matrix, "category", labels.RECORD_TYPE),
+    "labelled_lc_class": _labelled(comparison.lc_class, "category", labels.LC_CLASS),
+    "labelled_serial_status": _labelled(serials.serial_status, "category", labels.SERIAL_STATUS),
+    "labelled_succession_link": _labelled(serials.succession_link, "category", labels.SUCCESSION_LINK),
+    "labelled_succession_type": _labelled(serials.succession_type, "category", labels.SUCCESSION_TYPE),
+    "labelled_destination": _labelled(archives.archive_destination, "category", labels.DESTINATION),
+    "labelled_bucket": _labelled(provenance.cat_mix, "bucket", labels.SOURCE_BUCKET),
+    "labelled_depth": _labelled(provenance.cat_mod_depth, "category", labels.MOD_DEPTH),
+    "labelled_field": _labelled(coverage.coverage, "field", labels.COVERAGE_FIELD),
+    "labelled_channel": _labelled(channels.channel_coverage, "channel", labels.CHANNEL),
     "labelled_agency": _agencies,
     "labelled_namespace": _namespaces,
     "labelled_orgs": lambda lake: lake.roster.select("org", labels.org_label().alias("label")),

@@ -321,7 +321,55 @@ FROM used u WHERE u.prefix IN (
 USED = f"{NUMBERS},\nused AS (SELECT org, prefix, count(DISTINCT record_id) AS n FROM numbers WHERE prefix <> '' GROUP BY ALL)"
 
 
+# Names as a reader expects them, written out here so that a wrong one can be found:
+# labelled query -> (the report, its column, names by code).
+LABELLED = {
+    "labelled_record_type": ("record_type_matrix", "category", {
+        "a": "Language material", "c": "Notated music", "d": "Manuscript music", "e": "Cartographic",
+        "f": "Manuscript cartographic", "g": "Projected medium", "i": "Nonmusical sound", "j": "Musical sound",
+        "k": "Two-dimensional image", "m": "Computer file", "o": "Kit", "p": "Mixed material",
+        "r": "Three-dimensional object", "t": "Manuscript language material",
+    }),
+    "labelled_lc_class": ("lc_class", "category", {
+        "b": "Philosophy & Religion", "d": "World History", "p": "Language & Literature", "q": "Science",
+    }),
+    "labelled_serial_status": ("serial_status", "category", {"c": "Still published", "d": "Ceased", "u": "Status unknown"}),
+    "labelled_succession_link": ("succession_link", "category", {
+        "pred": "Continues an earlier title (780)", "succ": "Continued by a later title (785)",
+    }),
+    "labelled_succession_type": ("succession_type", "category", {
+        "0": "Continued by", "1": "Continued in part by", "2": "Superseded by", "3": "Superseded in part by",
+        "4": "Absorbed by", "5": "Absorbed in part by", "6": "Split into", "7": "Merged to form", "8": "Changed back to",
+    }),
+    "labelled_destination": ("archive_destination", "category", {
+        "finding_aid": "Finding-aid platform", "aggregator": "Aggregator (OAC, ArchiveGrid)",
+        "resolver": "Persistent-ID resolver", "repository": "Digital repository", "vendor": "Vendor / licensed", "other": "Other",
+    }),
+    "labelled_bucket": ("cat_mix", "bucket", {
+        "lc": "Library of Congress", "self": "This institution", "pod": "Another member", "other": "Some other agency",
+        "none": "No agency given",
+    }),
+    "labelled_depth": ("cat_mod_depth", "category", {"no_040": "No 040 field", "0": "None"}),
+    "labelled_field": ("coverage", "field", {
+        "isbn": "ISBN (020)", "subjects": "Subjects (6xx)", "author": "Author (1xx)", "online": "Online access (856)",
+        "phys_desc": "Physical description (300)", "lc_classification": "LC classification",
+    }),
+    "labelled_channel": ("channel_coverage", "channel", {
+        "any_system": "Any system number", "oclc": "OCLC / WorldCat", "rlin": "RLIN (RLG, pre-2006)",
+        "alma_cz": "Ex Libris Community Zone", "local_system": "A local library system", "pod_system": "Another member's system",
+    }),
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    """Every text; those of labelled reports name the categories of the report's own text."""
+    texts = reports()
+    for name, (report, column, names) in LABELLED.items():
+        texts[name] = named(f"SELECT {column} AS category FROM ({texts[report]})", "category", names, False)
+    return texts
+
+
+def reports() -> dict[str, str]:
     from shelftally.functions import labels
 
     field_text = """\

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelftally.functions import labels
 from shelftally.operators import (
     archives,
     channels,
@@ -260,6 +261,24 @@ def manifest(lake: Lake, generated_at: str, artifacts=ARTIFACTS) -> DataFrame:
     return lake.spark.createDataFrame(rows, MANIFEST)
 
 
+# The column of a section that holds codes, and the names shown beside them.
+NAMES = {
+    "serials_succession/succession_link": ("category", labels.SUCCESSION_LINK),
+    "serials_succession/succession_type": ("category", labels.SUCCESSION_TYPE),
+    "archives/material_type": ("category", labels.RECORD_TYPE),
+    "archives/link_destination": ("category", labels.DESTINATION),
+    "coverage/per_org": ("field", labels.COVERAGE_FIELD),
+    "cataloging_source/mix": ("bucket", labels.SOURCE_BUCKET),
+    "cataloging_source/mod_depth": ("category", labels.MOD_DEPTH),
+    "cataloging_source/timeline": ("bucket", labels.SOURCE_BUCKET),
+    "record_channels/coverage": ("channel", labels.CHANNEL),
+    "comparison/language": ("category", labels.LANGUAGE),
+    "comparison/country": ("category", labels.PLACE),
+    "comparison/record_type": ("category", labels.RECORD_TYPE),
+    "comparison/classification": ("category", labels.LC_CLASS),
+    "comparison/serial_classification": ("category", labels.LC_CLASS),
+    "comparison/serial_status": ("category", labels.SERIAL_STATUS),
+}
 # Sections that are read largest first.
 LARGEST_FIRST = {"overlap_pairwise/pairs": "shared", "uniqueness/per_org": "unique_titles"}
 
@@ -308,7 +327,10 @@ def write_artifacts(
 
     def write(artifact: Artifact) -> None:
         for section, build in artifact.sections.items():
-            table = build(lake).withColumn("generated_at", F.lit(stamp))
+            table = build(lake)
+            if f"{artifact.name}/{section}" in NAMES:
+                table = labels.label(table, *NAMES[f"{artifact.name}/{section}"])
+            table = table.withColumn("generated_at", F.lit(stamp))
             _write(table, f"{out}/{artifact.name}/{section}", fmt, f"{artifact.name}/{section}")
 
     with ThreadPoolExecutor(at_once) as pool:
