@@ -132,10 +132,11 @@ def test_country_roll_up(spark):
 
 
 def test_position_number_orders_as_its_parts(spark):
-    rows = [(p, f, s) for p in (0, 6) for f in (0, 1, 70000) for s in (None, 0, 3, 70000)]
+    rows = [(p, f, s) for p in (0, 6) for f in (None, -7, 0, 2**24, 2**31 - 1) for s in (None, -1, 0, 2**31 - 1)]
     df = spark.createDataFrame(rows, "p int, field_seq int, subfield_seq int")
     got = df.orderBy(F.expr(x.place_in_record(top="p"))).collect()
-    key = lambda r: (r[0], r[1], r[2] or 0)
+    last = 2**31  # rows without a position come after all others
+    key = lambda r: (r[0], last if r[1] is None else r[1], last if r[2] is None else r[2])
     assert [key(r) for r in got] == sorted(key(r) for r in rows)
 
 
