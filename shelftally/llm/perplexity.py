@@ -219,7 +219,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             lower = F.col("lower")
         p = F.greatest(c - F.col("less"), F.lit(0.0)) / F.col("all") + F.col("rest") * lower
         below = rows.select("model", "gram", "c", p.alias("p"))
-        if n >= ORDER - 1:
+        if n == ORDER - 1:  # read by the order above and by the result; the highest order only once
             below = common.cut(below)
         values.append(below.select("model", F.lit(n).alias("kind"), "gram", F.log("p").alias("value"), F.col("c").alias("weight")))
         values.append(context.select(F.col("m").alias("model"), F.lit(ORDER + n).alias("kind"), F.col("h").alias("gram"), F.log("rest").alias("value"), F.col("all").alias("weight")))
