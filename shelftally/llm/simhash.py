@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -228,6 +229,14 @@ def links(prints: DataFrame) -> DataFrame:
     return lists.mapInArrow(_compare_sorted, "x long, y long")
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """Every distinct ``print`` of ``rows`` (``id``, ``print``): its smallest id, ``least``, and its
+    ``component``, named by the smallest print, which is never null."""
+    classes = common.cut(rows.groupBy("print").agg(F.min("id").alias("least")))
+    found = components(links(classes.select("print")).withColumnsRenamed({"x": "a", "y": "b"}))
+    return classes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``): its fingerprint and component.
 
@@ -236,9 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows come out as often. Other columns are not read.
     """
     rows = common.cut(fingerprints(docs))
-    classes = common.cut(rows.groupBy("print").agg(F.min("id").alias("least")))
-    found = components(links(classes.select("print")).withColumnsRenamed({"x": "a", "y": "b"}))
-    named = classes.join(found, F.col("print") == F.col("node"), "left").withColumn("component", F.coalesce("component", "print"))
+    named = _classes(rows)
     least = named.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "k")
     named = named.join(least, F.col("component") == F.col("k")).select(F.col("print").alias("key"), "component_id")
     return rows.join(named, F.col("print") == F.col("key")).select(
@@ -246,9 +253,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _print_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches, "text"):
+        prints = np.array([fingerprint(part.text(i)) for i in range(part.n)], np.uint64)
+        yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(prints.view(np.int64))], [*part.rows.schema.names, "__print"])
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` of each component, that of its smallest id, with all its columns."""
-    found = near_duplicates(docs)
-    keep = found.groupBy("component_id").count().select(F.col("component_id").alias("__component"))
-    kept = docs.join(keep, common.same(F.col("doc_id").cast("long"), F.col("__component")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of ``docs`` of each component, that of its smallest id, with all its columns.
+
+    Ids only choose within a component: a null id comes last, and an id that stands in several
+    components has a row in each of them. Rows alike in id and fingerprint are repeats, of
+    which any one stays.
+    """
+    # of each component one pair of print and id, which are what a row is found by
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "print")).alias("first")
+    keep = _classes(common.cut(fingerprints(docs))).groupBy("component").agg(first).select(
+        F.col("first.print").alias("__print"), F.coalesce("first.least", F.lit(0)).alias("__id"), F.col("first.none").alias("__none")
+    )
+    schema = T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())])
+    number = F.col("doc_id").cast("long")
+    rows = docs.mapInArrow(_print_beside, schema).withColumns({"__id": F.coalesce(number, F.lit(0)), "__none": number.isNull()})
+    key = ["__print", "__id", "__none"]
+    # repeats go before the shuffle, so that a long group of them meets in no task
+    return rows.dropDuplicates(key).join(keep, key, "left_semi").drop(*key)

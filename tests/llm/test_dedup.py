@@ -144,6 +144,14 @@ def test_near_duplicates_defined_cases(spark):
     assert simhash.drop_near_duplicates(docs(spark, rows)).count() == 4
 
 
+def test_every_component_keeps_a_row_whatever_its_ids(spark):
+    """Unrelated texts without an id, and one id on unrelated texts, are components of their own."""
+    near = "the cat sat on the mat and looked at the dog"
+    rows = [(None, "one quite lonely text"), (None, "another sort of words entirely"), (None, near), (6, near.upper()), (5, "first text of five"), (5, "something else that five has"), (5, "something else that five has"), (0, "zero is an id")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([*rows[:2], *rows[3:6], rows[7]], key=repr)
+
+
 @pytest.mark.parametrize("tile", [8, 1024])
 def test_links_with_full_lists(spark, monkeypatch, tile):
     """Many prints that share blocks: lists are split into cells, and no link is lost."""
