@@ -4,28 +4,34 @@ Quality rules: base counts of words and repeats, and n-gram perplexity within ba
 The language model is modified Kneser-Ney over UTF-8 bytes (white space counts as a space), so
 it has no vocabulary to cut off and an n-gram packs exactly into a long. Spark counts the
 n-grams of all documents. A document is scored by the model of the other half of the corpus,
-so that a text that occurs once cannot vouch for itself. A finished model is one sorted array
-of hashes with its values beside it; hashes have ``HASH_BITS`` bits, so it has at most
-``2 ** HASH_BITS`` entries of 8 bytes whatever the corpus, and may be broadcast. N-grams that
-share a hash share the mean of their values.
+so that a text that occurs once cannot vouch for itself.
+
+The model stays in Spark under exact keys. All that the probability of a byte needs of orders
+above two lies with the two bytes before it, so model and documents are dealt to shards by
+those: documents as blocks of their distinct n-grams with counts. A shard sums up log
+probabilities by document, and the sums of all shards are added. Orders one and two, which
+have at most 256 and 65,536 n-grams in any corpus, are sent to every shard.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 5
-HASH_BITS = 25
 HALVES = 2
+#: Orders whose values every shard has.
+LOW = 2
 #: A band reaches so many interquartile ranges beyond the quartiles of its language.
 REACH = 2.5
 #: A text is judged as if it had so many more bytes at the median of its language, since a
@@ -229,59 +235,58 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return out
 
 
-def hash_grams(kind: int, gram: np.ndarray) -> np.ndarray:
-    """The hash under which a value is kept."""
-    return (common.mix(gram.astype(np.uint64) | np.uint64(kind << 56)) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+def _keyed(values: DataFrame) -> DataFrame:
+    """``model``, ``kind``, ``gram``, ``value``, and ``at``: the first three as one number."""
+    return values.select("model", "kind", "gram", "value", F.shiftleft(F.col("kind").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("model").cast("long"), 63)).bitwiseOR(F.col("gram")).alias("at"))
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        model, kind, gram, value, weight = (c.to_numpy() for c in batch.columns)
-        at = common.mix(gram.astype(np.uint64) | (kind.astype(np.uint64) << np.uint64(56))) >> np.uint64(64 - HASH_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(model), pa.array(at.astype(np.int64)), pa.array(value), pa.array(weight)], ["model", "at", "value", "weight"])
+def _is_low() -> Column:
+    return F.col("kind").isin(*range(1, LOW + 1), *range(ORDER + 1, ORDER + LOW + 1))
 
 
 class Model:
-    """Sorted hashes, and their values."""
+    """Sorted keys (half, kind and n-gram), and their values."""
 
     def __init__(self, at: np.ndarray, value: np.ndarray):
-        self.at, self.value = at, value
+        order = np.argsort(at, kind="stable")
+        self.at, self.value = at[order], value[order]
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.at):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
-        place = np.minimum(np.searchsorted(self.at, hashes), len(self.at) - 1)
-        return self.at[place] == hashes, self.value[place]
+            return np.zeros(len(at), bool), np.zeros(len(at))
+        place = np.minimum(np.searchsorted(self.at, at), len(self.at) - 1)
+        return self.at[place] == at, self.value[place]
 
-    def log_probability(self, keys: np.ndarray) -> np.ndarray:
+    def log_probability(self, keys: np.ndarray, half: np.ndarray | int = 0) -> np.ndarray:
         """Of the last byte of each n-gram of ORDER: the longest known n-gram, after the weights that unknown ones left."""
         out = np.zeros(len(keys))
         open_ = np.arange(len(keys))
+        side = np.broadcast_to(np.asarray(half).astype(np.uint64) << np.uint64(63), len(keys))
         for n in range(ORDER, 0, -1):
             gram = keys[open_] & np.uint64((1 << 8 * n) - 1)
-            known, value = self.find(hash_grams(n, gram))
+            known, value = self.find(side[open_] | np.uint64(n << 56) | gram)
             out[open_[known]] += value[known]
             open_, gram = open_[~known], gram[~known]
-            known, value = self.find(hash_grams(ORDER + n, gram >> np.uint64(8)))
+            known, value = self.find(side[open_] | np.uint64(ORDER + n << 56) | gram >> np.uint64(8))
             out[open_[known]] += value[known]
         out[open_] += log(1 / 256)
         return out
 
 
+def _collected(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = values.select("at", "value").toArrow()
+    at, value = (rows.column(i).to_numpy() for i in range(2))
+    return at.astype(np.int64).view(np.uint64), value.astype(np.float64)
+
+
 def train(docs: DataFrame) -> list[Model]:
-    """A model for each half of ``docs`` (``text``, ``half``), counted over the other documents."""
-    counts = common.cut(count_grams(docs))
-    hashed = kneser_ney(counts).mapInArrow(_hash, "model int, at long, value double, weight long")
-    mean = F.sum(F.col("value") * F.col("weight")) / F.sum("weight")
-    kept = hashed.groupBy("model", "at").agg(mean.cast("float").alias("value"))
-    rows = kept.toArrow()
-    model, at, value = (rows.column(i).to_numpy() for i in range(3))
-    out = []
-    for half in range(HALVES):
-        mine = np.flatnonzero(model == half)
-        mine = mine[np.argsort(at[mine])]
-        out.append(Model(at[mine].astype(np.uint32), value[mine]))
-    return out
+    """A model for each half of ``docs`` (``text``, ``half``), counted over the other documents, whole in memory.
+
+    For small corpora; ``score`` does not collect the model.
+    """
+    at, value = _collected(_keyed(kneser_ney(common.cut(count_grams(docs)))))
+    half = at >> np.uint64(63)
+    return [Model(at[half == h] & np.uint64((1 << 63) - 1), value[half == h]) for h in range(HALVES)]
 
 
 # -- scoring ----------------------------------------------------------------------------
@@ -352,21 +357,206 @@ def _in_groups(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return twice, later
 
 
-def score(docs: DataFrame, models: list[Model]) -> DataFrame:
-    """Base counts and log probability of every row of ``docs`` (``doc_id``, ``text``, ``lang``, ``half``)."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    shared = spark.sparkContext.broadcast([(m.at, m.value) for m in models])
+# A pair of n-gram and document is one number: the two bytes that name the shard, mixed, the
+# other bytes, the half, and the number of the row in its chunk.
+ROW_BITS = 23
+_MIX = 40503
+_UNMIX = pow(_MIX, -1, 1 << 16)
+#: Bytes of text whose pairs a task packs at a time; one longer text makes a longer chunk.
+CHUNK_BYTES = 8 << 20
+#: Log probabilities are added as whole numbers of this part, so that sums do not depend on their order.
+UNIT = 2.0**-24
+
+
+def _pairs(keys: np.ndarray, half: np.ndarray, row: np.ndarray) -> np.ndarray:
+    two = ((keys >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(_MIX)) & np.uint64(0xFFFF)
+    rest = (keys >> np.uint64(24) << np.uint64(8)) | (keys & np.uint64(0xFF))
+    gram = (two << np.uint64(24) | rest) << np.uint64(1) | half.astype(np.uint64)
+    return gram << np.uint64(ROW_BITS) | row.astype(np.uint64)
+
+
+def _grams_of(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams and halves that ``_pairs`` made numbers of."""
+    gram = mixed >> np.uint64(1)
+    two = ((gram >> np.uint64(24)) * np.uint64(_UNMIX)) & np.uint64(0xFFFF)
+    keys = (gram >> np.uint64(8) & np.uint64(0xFFFF)) << np.uint64(24) | two << np.uint64(8) | gram & np.uint64(0xFF)
+    return keys, mixed & np.uint64(1)
+
+
+def _shard_of(two: Column, shards: int) -> Column:
+    return F.shiftright((two * _MIX).bitwiseAND(0xFFFF) * shards, 16).cast("int")
+
+
+def _shards(spark) -> int:
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+
+
+def _pack_all(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers of 0 or more, byte place by byte place, without empty places."""
+    parts = []
+    for a in arrays:
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        places = np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width]
+        parts.append(len(a).to_bytes(8, "little") + bytes([width]) + places.T.tobytes())
+    return zlib.compress(b"".join(parts), 1)
+
+
+def _unpack_all(data: bytes) -> list[np.ndarray]:
+    data, at, out = zlib.decompress(data), 0, []
+    while at < len(data):
+        n, width = int.from_bytes(data[at : at + 8], "little"), data[at + 8]
+        places = np.zeros((n, 8), np.uint8)
+        places[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 9).reshape(width, n).T
+        out.append(places.view(np.uint64).ravel())
+        at += 9 + n * width
+    return out
+
+
+def _blocks_of(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Shards and their blocks: distinct n-grams, in how many rows each is, those rows, and counts in them."""
+    if not len(pairs):
+        return
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    counts = np.diff(np.r_[first, len(pairs)])
+    pairs = pairs[first]
+    shard = ((pairs >> np.uint64(ROW_BITS + 25)) * np.uint64(shards)) >> np.uint64(16)
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    for a, b in zip(edges, np.r_[edges[1:], len(pairs)], strict=True):
+        gram = pairs[a:b] >> np.uint64(ROW_BITS)
+        begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        rows = pairs[a:b] & np.uint64((1 << ROW_BITS) - 1)
+        yield int(shard[a]), _pack_all(np.diff(gram[begin], prepend=np.uint64(0)), np.diff(np.r_[begin, b - a]), rows, counts[a:b])
+
+
+#: ``side`` orders the rows of a shard: values of the model, facts of chunks, blocks of pairs.
+_DEALT = "shard int, side int, at long, value double, block binary"
+_VALUE, _FACTS, _PAIRS = range(3)
+
+
+def _deal(shards: int):
+    """Documents as blocks by shard; their ids, languages and base counts as one more block of each chunk (``at``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Model(*m) for m in shared.value]
+        place = TaskContext.get().partitionId()
+        held: list[np.ndarray] = []
+        facts: list[pa.RecordBatch] = []
+        rows, size, chunk = 0, 0, place << 32
+
+        def whole() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, facts[0].schema) as writer:
+                for batch in facts:
+                    writer.write_batch(batch)
+            made = [(chunk % shards, _FACTS, zlib.compress(out.getvalue(), 1))]
+            made += [(shard, _PAIRS, block) for shard, block in _blocks_of(np.concatenate(held), shards)]
+            shard, side, block = zip(*made, strict=True)
+            columns = [pa.array(shard, pa.int32()), pa.array(side, pa.int32()), pa.array([chunk] * len(made), pa.int64()), pa.nulls(len(made), pa.float64()), pa.array(block, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _DEALT.split(", ")])
+
         for part in common.slices(batches, "text"):
-            half = part.rows.column(3).to_numpy()
+            if rows and (size + len(part.data) > CHUNK_BYTES or rows + part.n > 1 << ROW_BITS):
+                yield whole()
+                held, facts, rows, size, chunk = [], [], 0, 0, chunk + 1
+            keys, row = grams(part)
+            held.append(_pairs(keys, part.rows.column(3).to_numpy()[row], row + rows))
             columns = [part.rows.column(0), part.rows.column(2), *(pa.array(v, pa.int64()) for v in base_counts(part).values())]
-            columns += [pa.array(np.diff(part.offsets), pa.int64()), pa.array(log_probabilities(part, half, known))]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")])
+            columns.append(pa.array(np.diff(part.offsets), pa.int64()))
+            facts.append(pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")[:-1]]))
+            rows, size = rows + part.n, size + len(part.data)
+        if rows:
+            yield whole()
+
+    return run
+
+
+_SUMMED = "chunk long, side int, block binary"
+
+
+def _sum_shards(low):
+    """Rows by shard and side: the sums of each chunk's documents in the shard; facts go on as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low_at, low_value = low.value
+        at, value, now, model = [], [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, side, number, worth, block = batch.columns
+            shard, side = shard.to_numpy(), side.to_numpy()
+            edges = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (side[1:] != side[:-1])])
+            made: list[tuple[int, int, bytes]] = []
+            for a, b in zip(edges, np.r_[edges[1:], len(shard)], strict=True):
+                if shard[a] != now:
+                    at, value, now, model = [low_at], [low_value], shard[a], None
+                if side[a] == _VALUE:
+                    at.append(number.slice(a, b - a).to_numpy().view(np.uint64))
+                    value.append(worth.slice(a, b - a).to_numpy())
+                elif side[a] == _FACTS:
+                    made += [(number[i].as_py(), _FACTS, block[i].as_py()) for i in range(a, b)]
+                else:
+                    if model is None:
+                        model = Model(np.concatenate(at), np.concatenate(value))
+                        at, value = [], []
+                    made += [(number[i].as_py(), _PAIRS, _summed(model, block[i].as_py())) for i in range(a, b)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in _SUMMED.split(", ")])
+
+    return run
+
+
+def _summed(model: Model, block: bytes) -> bytes:
+    gram, spread, rows, counts = _unpack_all(block)
+    units = np.rint(model.log_probability(*_grams_of(np.cumsum(gram, dtype=np.uint64))) / UNIT).astype(np.int64)
+    sums = np.zeros(int(rows.max(initial=0)) + 1, np.int64)
+    np.add.at(sums, rows.astype(np.int64), np.repeat(units, spread.astype(np.int64)) * counts.astype(np.int64))
+    met = np.flatnonzero(sums)
+    # logarithms of probabilities are 0 or less
+    return _pack_all(np.diff(met, prepend=0), -sums[met])
+
 
-    return docs.select("doc_id", "text", "lang", "half").mapInArrow(run, SCORES)
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by chunk and side: facts of its documents with the sums of all shards."""
+    facts, sums, now = None, None, None
+
+    def whole() -> pa.RecordBatch:
+        columns = [*facts.columns, pa.array(sums * UNIT)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")])
+
+    for batch in batches:
+        for chunk, side, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chunk != now:
+                if facts is not None:
+                    yield whole()
+                facts, now = None, chunk
+            if side == _FACTS:
+                table = pa.ipc.open_stream(zlib.decompress(block)).read_all().combine_chunks()
+                facts = table.to_batches()[0]
+                sums = np.zeros(facts.num_rows, np.int64)
+            else:
+                step, less = _unpack_all(block)
+                sums[np.cumsum(step).astype(np.int64)] -= less.astype(np.int64)
+    if facts is not None:
+        yield whole()
+
+
+def score(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """Base counts and log probability of every row of ``docs`` (``doc_id``, ``text``, ``lang``, ``half``) by ``kneser_ney``'s values.
+
+    A partition of ``docs`` that is computed again has to give its rows in the same order.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    shards = _shards(spark)
+    keyed = _keyed(values)
+    low = spark.sparkContext.broadcast(_collected(keyed.where(_is_low())))
+    # the two bytes before the last: of an n-gram, or the end of a context
+    two = F.when(F.col("kind") > ORDER, F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(0xFFFF)
+    model = keyed.where(~_is_low()).select(_shard_of(two, shards).alias("shard"), F.lit(_VALUE).alias("side"), "at", "value", F.lit(None).cast("binary").alias("block"))
+    dealt = docs.select("doc_id", "text", "lang", "half").mapInArrow(_deal(shards), _DEALT)
+    by_shard = model.unionAll(dealt).repartition("shard").sortWithinPartitions("shard", "side")
+    sums = by_shard.mapInArrow(_sum_shards(low), _SUMMED)
+    return sums.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(_sum_chunks, SCORES)
 
 
 def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
@@ -379,7 +569,7 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """
     half = F.pmod(F.xxhash64("doc_id"), F.lit(HALVES)).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), half.alias("half"))
-    rows = common.cut(score(docs, train(docs)))
+    rows = common.cut(score(docs, kneser_ney(common.cut(count_grams(docs)))))
     loss = -F.col("log_probability")
     middle = rows.groupBy("lang").agg(F.percentile_approx(F.when(F.col("n_bytes") > 0, loss / F.col("n_bytes")), 0.5, 10_000).alias("middle"))
     middle = middle.withColumnRenamed("lang", "middle_lang")

@@ -107,6 +107,30 @@ def test_model_against_dictionaries(spark):
     assert got.tolist() == pytest.approx(want, rel=1e-3, abs=1e-3)
 
 
+def test_scores_from_shards_are_exact(spark, monkeypatch):
+    """Every n-gram has its own value, in whichever shard and chunk, with the model left in Spark."""
+    monkeypatch.setattr(perplexity, "CHUNK_BYTES", 700)
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.choice([*range(32, 127), 0xE9, 0x65E5])) for _ in range(rng.randrange(400))) for _ in range(120)] + ["", None, "a" * 5000]
+    rows = [(7, t, "x", i % 2) for i, t in enumerate(texts)]
+    frame = docs(spark, rows).repartition(3)
+    plain = [Plain([t for _, t, _, half in rows if half != h]) for h in (0, 1)]
+    got = perplexity.score(frame, perplexity.kneser_ney(common.cut(perplexity.count_grams(frame)))).collect()
+    want = sorted((len((t or "").encode()), plain[h].log_probability(t)) for _, t, _, h in rows)
+    found = sorted((r["n_bytes"], r["log_probability"]) for r in got)
+    assert [n for n, _ in found] == [n for n, _ in want]
+    assert [p for _, p in found] == pytest.approx([p for _, p in want], rel=1e-6, abs=1e-4)
+
+
+def test_no_two_grams_share_a_value():
+    """Keys that fell into one of 2**25 slots before: a known n-gram does not answer for an unknown one."""
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(1 << 32, 1 << 40, 200_000, dtype=np.uint64))
+    model = perplexity.Model(known | np.uint64(perplexity.ORDER << 56), np.full(len(known), -1.0))
+    other = np.setdiff1d(rng.integers(1 << 32, 1 << 40, 50_000, dtype=np.uint64), known)
+    assert (model.log_probability(other) == math.log(1 / 256)).all() and (model.log_probability(known) == -1).all()
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     frame = docs(spark, [(i, f"some text {i} and more of it", "x", i % 2) for i in range(40)])
     model = perplexity.train(frame)[0]
