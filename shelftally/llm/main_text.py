@@ -40,7 +40,8 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in a class or id that mark something else than the article, also in its midst.
+#: Words in a class or id that mark something else than the article, also in its midst, unless
+#: another class or the id names content.
 NAMES_OUT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " disqus dropdown footer login menu modal nav navbar navigation newsletter pagination pager popup promo promotion"
@@ -49,6 +50,8 @@ NAMES_OUT = frozenset(
 #: Words that do so unless a word for content stands beside them.
 NAMES_DOUBTFUL = frozenset("alert header masthead notice notices notification overlay warning".split())
 NAMES_CONTENT = frozenset("article blog body content entry main page post story text".split())
+#: A class that begins so tells what a page has or is filed under, not what the element is.
+NAMES_ABOUT = frozenset("category has no tag with without".split())
 ROLES_OUT = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _TOKEN = re.compile(
@@ -60,21 +63,30 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _WORD = re.compile(r"[a-z]+")
 
 
-def _left_out(name: str, rest: str) -> bool:
-    """Whether an element is no part of an article, by its name and attributes."""
+#: Why an element is no part of an article: by what it is, or only by a name given to it.
+_BY_KIND, _BY_NAME = 1, 2
+
+
+def _left_out(name: str, rest: str) -> int:
+    """Whether (not 0) and why an element is no part of an article, by its name and attributes."""
     if name in LEFT_OUT:
-        return True
+        return _BY_KIND
     if "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return 0
     found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(rest)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return _BY_KIND
     if name in ("html", "body", "main"):
-        return False
+        return 0
     if found.get("role", "").lower() in ROLES_OUT:
-        return True
-    words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    return bool(words & NAMES_OUT) or bool(words & NAMES_DOUBTFUL and not words & NAMES_CONTENT)
+        return _BY_KIND
+    if name == "article":
+        return 0
+    given = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')}\n{found.get('id', '')}".replace(" ", "\n")).lower()
+    names = [w for w in map(_WORD.findall, given.split("\n")) if w and not (w[0] in NAMES_ABOUT and len(w) > 1)]
+    words = {w for name in names for w in name}
+    content = any(not NAMES_CONTENT.isdisjoint(name) and NAMES_OUT.isdisjoint(name) for name in names)
+    return _BY_NAME if words & NAMES_OUT and not content or words & NAMES_DOUBTFUL and not words & NAMES_CONTENT else 0
 
 
 class Page:
@@ -82,15 +94,18 @@ class Page:
 
     def __init__(self, html: str):
         self.names, self.parents, self.out = ["#page"], [0], [False]
-        self.blocks, self.links = [0], [False]
+        self.blocks, self.links, self.why = [0], [False], [0]
         #: (node, text), or (node, None) where a block begins or ends.
         self.texts: list[tuple[int, str | None]] = []
         self._read(html)
+        self._settle()
 
     def _open(self, name: str, parent: int, rest: str) -> int:
         node = len(self.names)
         inside_article = name == "header" and any(self.names[a] in ("article", "main") for a in self._ancestors(parent))
-        out = self.out[parent] or _left_out(name, rest) or name == "header" and not inside_article
+        why = _BY_KIND if name == "header" and not inside_article else _left_out(name, rest)
+        out = self.out[parent] or why == _BY_KIND
+        self.why.append(why)
         self.names.append(name)
         self.parents.append(parent)
         self.out.append(out)
@@ -133,6 +148,27 @@ class Page:
         if at < len(html):
             self.texts.append((stack[-1], html[at:]))
 
+    def _settle(self) -> None:
+        """Leave out what has a name for it, but for a container of most of the page's text.
+
+        That is one with over half of the text outside links and with the page's h1, article or
+        main, or with over nine tenths; long comments alone are none.
+        """
+        if _BY_NAME not in self.why:
+            return
+        n = len(self.names)
+        prose, head = [0] * n, [name in ("h1", "article", "main") for name in self.names]
+        for node, text in self.texts:
+            if text is not None and not self.out[node] and not self.links[node]:
+                prose[node] += len(text.strip())
+        for node in range(n - 1, 0, -1):
+            above = self.parents[node]
+            prose[above] += prose[node]
+            head[above] |= head[node] and not self.out[node]
+        for node in range(1, n):
+            named = self.why[node] == _BY_NAME and not (2 * prose[node] > prose[0] and head[node] or 10 * prose[node] > 9 * prose[0])
+            self.out[node] = self.out[node] or self.out[self.parents[node]] or named
+
     def _imply(self, stack: list[int], kinds: set[str], borders: set[str]) -> None:
         """Close the nearest open element of ``kinds``; without borders, only across inline elements."""
         for depth in range(len(stack) - 1, 0, -1):

@@ -47,6 +47,21 @@ def test_noise_around_and_inside(noise):
     assert main_text(page) == f"Title\n{PROSE}\nEnd."
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<div class='content with-sidebar'>{}</div>", "<div id='page' class='site has-sidebar'>{}</div>", "<div class='with-comments'>{}</div>",
+        "<article class='post category-social tag-newsletter'>{}</article>", "<article class='post has-comments'>{}</article>",
+        "<div class='category-social'>{}</div>", "<div class=promo><h1>T</h1>{}</div>",
+    ],
+)
+def test_wrappers_with_names_of_other_things(wrapper):
+    body = wrapper.format(f"<p>{PROSE}</p><div class=comments>{PROSE[:40]}</div><p>End.</p>")
+    want = ("T\n" if "<h1>" in wrapper else "") + f"{PROSE}\nEnd."
+    assert main_text(f"<body><nav>menu</nav>{body}<div class=sidebar>{PROSE[:40]}</div></body>") == want
+    assert main_text(f"<body><div class=content><p>{PROSE}</p></div><div class='comment-content'>{PROSE * 4}</div></body>") == PROSE
+
+
 def test_siblings_and_parts_of_an_article():
     page = f"<body><div><h1>Head</h1><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>{PROSE}</p></div><p><a href=y>more</a></p></div></body>"
     assert main_text(page) == "\n".join(["Head", PROSE, PROSE, PROSE])
