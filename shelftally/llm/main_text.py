@@ -4,7 +4,8 @@ Main text of web pages by tree scoring.
 A page is read into a tree. Parts that are never article text are left out by their element,
 role or name. Every remaining block of text passes points for its length and commas to its
 ancestors, fewer the further up, discounted by the share of link text. The container with the
-best score is kept, with the siblings that score well beside it.
+best score is kept, with the siblings that are prose or stand among it, and so on up the tree as
+long as prose stands beside.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body center dd div html main section table tbody td tr ul ol dl fieldset details li blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Siblings that are part of an article where they are prose or follow some.
+PARTS = HEADINGS | frozenset("p pre blockquote div section hgroup ul ol dl table figure details center main article".split())
 #: An element that opens ends an open element of these kinds, up to the given borders.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -208,10 +211,11 @@ class Page:
             commas[block] += text.count(",")
             if self.links[node]:
                 linked[block] += size
-        total, link_total, points = own[:], linked[:], [0.0] * n
+        total, link_total, comma_total, points = own[:], linked[:], commas[:], [0.0] * n
         for node in range(n - 1, 0, -1):
             total[self.parents[node]] += total[node]
             link_total[self.parents[node]] += link_total[node]
+            comma_total[self.parents[node]] += comma_total[node]
         for block in range(1, n):
             if not own[block] or self.out[block]:
                 continue
@@ -231,13 +235,7 @@ class Page:
                 best = above
         chosen = {best}
         if best:
-            beside = [i for i in range(1, n) if self.parents[i] == self.parents[best] and i != best and not self.out[i] and total[i]]
-            for i in beside:
-                density = link_total[i] / total[i]
-                prose = self.names[i] in ("p", "pre", "blockquote", "div", "section") and density < 0.25 and commas[i] + own[i] / 100 >= 1
-                title = self.names[i] in ("h1", "h2", "hgroup") and i < best and density < 0.25
-                if score[i] >= max(1.0, 0.2 * score[best]) or prose or title:
-                    chosen.add(i)
+            self._beside(best, chosen, total, link_total, comma_total, max(1.0, 0.2 * score[best]), score)
         kept = [not best] * n
         for i in range(1, n):
             kept[i] = (i in chosen or kept[self.parents[i]]) and not self.out[i]
@@ -248,6 +246,36 @@ class Page:
             kept[i] = kept[i] and (heading[i] or not header[i])
         return kept
 
+    def _beside(self, best: int, chosen: set[int], total: list[int], links: list[int], commas: list[int], enough: float, score: list[float]) -> None:
+        """Add to ``chosen`` what belongs to the article beside its best container and, where that is prose, beside its ancestors.
+
+        Siblings are judged by all that is in them. Few links are under a quarter of the text.
+        Before the first prose only headings of the page are taken; from there on all parts
+        with few links, short ones, headings, lists and tables too. Beside an article or main
+        element only prose and headings are taken, and nothing further up.
+        """
+        children: dict[int, list[int]] = {}
+        for i in range(1, len(self.names)):
+            children.setdefault(self.parents[i], []).append(i)
+        node, whole = best, self.names[best] in ("article", "main")
+        while node:
+            beside = [i for i in children[self.parents[node]] if i != node and not self.out[i] and total[i]]
+            few = [i for i in beside if self.names[i] in PARTS and links[i] < 0.25 * total[i]]
+            prose = {i for i in few if self.names[i] not in HEADINGS and commas[i] + total[i] / 100 >= 1}
+            if node == best:
+                chosen.update(i for i in beside if score[i] >= enough)
+            elif not any(5 * total[i] >= total[node] for i in prose):
+                node = self.parents[node]
+                continue  # nothing of weight stands beside this ancestor
+            chosen |= prose
+            if not whole:
+                first = min([node, *prose])
+                chosen.update(i for i in few if i > first)
+            chosen.update(i for i in few if self.names[i] in ("h1", "h2", "hgroup") and i < node)
+            if whole:
+                return
+            node = self.parents[node]
+
     def text(self) -> str:
         kept, blocks, line = self.kept(), [], []
 

@@ -70,6 +70,18 @@ def test_siblings_and_parts_of_an_article():
     assert main_text(f"<article><header><h1>T</h1><p>by X</p></header><p>{PROSE}</article>") == f"T\n{PROSE}"
 
 
+def test_parts_beside_the_best_container():
+    long = "<p>" + PROSE * 4 + "</p>"
+    links = "<ul><li><a href=x>more of this</a></ul>"
+    page = f"<body>{links}<div class=content><section>{long * 10}</section><section><h2>B</h2><p>A last section of about sixty characters without any comma</p></section></div>{links}</body>"
+    assert main_text(page) == "\n".join([PROSE * 4] * 10 + ["B", "A last section of about sixty characters without any comma"])
+    page = f"<body><div><div>{long * 3}</div><h2>More</h2><ul><li>one<li>two</ul><table><tr><td>1<td>2</table><p>The end.</p>{links}</div></body>"
+    assert main_text(page) == "\n".join([PROSE * 4] * 3 + ["More", "one", "two", "1", "2", "The end."])
+    page = f"<body><div><div><div>{long * 5}</div></div><div><div>{long * 2}</div><p>Short.</p></div></div>{links}</body>"
+    assert main_text(page) == "\n".join([PROSE * 4] * 7 + ["Short."])
+    assert main_text(f"<body><article>{long}</article><p>Not of it.</p></body>") == PROSE * 4
+
+
 def test_markup_that_is_not_well_formed():
     assert main_text("<p>a &amp; b &lt;c&gt; &eacute;&#33;<p>x\n\t y <b>z<br>w") == "a & b <c> é!\nx y z w"
     assert main_text("<body><p>one</b></p></i>two</div></span><p>1 < 2") == "one\ntwo\n1 < 2"
