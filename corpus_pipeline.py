@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelftally.llm import exact_dedup, language, mixing, pieces, simhash
-from shelftally.llm.common import read, remainder
+from shelftally.llm.common import cut, read, remainder
 from shelftally.llm.queries import model_path
 
 #: Documents whose most likely language is less likely than this are rejected.
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each is computed once, and read by the next one from the shared folder."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs

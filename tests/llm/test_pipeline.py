@@ -96,6 +96,27 @@ def test_whole_run(spark, stages):
     assert got == sorted((r["doc_id"], len(r["ids"])) for r in stages["sentencepiece"][1].collect())
 
 
+def test_each_stage_is_computed_once(spark, monkeypatch):
+    """A later stage that reads its rows twice finds the same ones, not rows computed again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def first(spark, docs, sf_dir):
+        return docs.select("doc_id").mapInArrow(counted, "doc_id long")
+
+    def second(spark, docs, sf_dir):
+        docs.agg({"doc_id": "max"}).collect()
+        return docs.agg({"doc_id": "min"})
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", first), ("second", second)])
+    corpus_pipeline.run(spark, SF).collect()
+    assert seen.value == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_nulls_and_nothing(spark):
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "the same words of a text " * 9, "en", "a", 1), (2, "the same words of a text " * 9, None, None, None), (None, None, None, None, None), (None, "andere Worte " * 9, "de", "a", 2), (5, "", "en", "b", 0)]
