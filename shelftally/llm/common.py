@@ -6,7 +6,7 @@ import io
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -87,6 +87,35 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salt
     return rows.withColumn("__salt", salt).join(copies, [key, "__salt"]).drop("__salt")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: Column, share: int = 1000, salts: int = 64) -> DataFrame:
+    """``rows`` left joined with ``facts``, which has at most one row for each ``key``.
+
+    A key with more than one in ``share`` of the rows is dealt over ``salts`` places by
+    ``spread``. There are fewer than ``share`` such keys whatever the input, so they are
+    broadcast. ``rows`` is read twice and should be cut. Rows with a null key have no fact.
+    """
+    salt, hot = free_names([*rows.columns, *facts.columns], "salt", "hot")
+    total = rows.count()
+    many = rows.groupBy(key).agg(F.count("*").alias(hot)).where(F.col(hot) * share > max(total, share * share)).select(key, F.lit(True).alias(hot))
+    many = F.broadcast(many.where(F.col(key).isNotNull()))
+    place = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    dealt = rows.join(many, key, "left").withColumn(salt, F.when(F.col(hot) | F.col(key).isNull(), place).otherwise(0)).drop(hot)
+    copies = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(facts.join(many, key, "left").withColumn(salt, F.explode(copies)).drop(hot), [key, salt], "left").drop(salt)
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names that no column has, whatever its case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"{name}_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Number of runs of characters other than white space (null: 0)."""
     blank = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)

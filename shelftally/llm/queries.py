@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, main_text, mixing, perplexity, pieces, quality_classifier, simhash, warc
+from . import (
+    chat,
+    exact_dedup,
+    language,
+    main_text,
+    mixing,
+    perplexity,
+    pieces,
+    quality_classifier,
+    simhash,
+    url_filter,
+    warc,
+)
 from .common import read
 
 
@@ -62,6 +74,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.reported(pages), url_filter.RULES).drop("possible")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_mix_sources,
         op10_exact_dedup,
+        op11_url_filter,
     )
 }
 
@@ -121,4 +139,32 @@ WITH d AS (
   FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    "op11_url_filter": r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id,
+         CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages
+), h AS (
+  SELECT r, page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                               lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))) AS asked
+  FROM p
+), c AS (
+  SELECT *, CASE WHEN host <> '' THEN
+           regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || rtrim(path, '/')
+           || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical
+  FROM h
+), listed AS (
+  SELECT DISTINCT canonical FROM c
+  WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fit AS (
+  SELECT r, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY r ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS place
+  FROM c, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fit ON fit.r = c.r AND place = 1 LEFT JOIN listed ON listed.canonical = c.canonical""",
 }
