@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from functools import cache
 from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written to the shared folder and read back; deleted at the end of a ``with`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[str] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/table-{uuid4().hex}"
+        self._paths.append(path)
+        # rows may be megabytes long: few of them in a row group
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self._paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop())
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that holds between nulls too."""
     return left.eqNullSafe(right)

@@ -10,6 +10,7 @@ from . import (
     chat,
     conversation_repair,
     exact_dedup,
+    filter_audit,
     language,
     main_text,
     mixing,
@@ -80,6 +81,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.reported(pages), url_filter.RULES).drop("possible")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(read(spark, sf_dir, "conversations"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mix_sources,
         op10_exact_dedup,
         op11_url_filter,
+        op12_filter_audit,
         op13_conversation_repair,
     )
 }
@@ -173,4 +179,40 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN fit ON fit.r = c.r AND place = 1 LEFT JOIN listed ON listed.canonical = c.canonical""",
+    "op12_filter_audit": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t
+), f AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, first IS NOT NULL AND coalesce(doc_id > first, TRUE) AS e
+  FROM w
+), known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS failed,
+         coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, count(*) AS n
+  FROM f LEFT JOIN known USING (doc_id) GROUP BY ALL
+), l(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT p1.letter || p2.letter || p3.letter || p4.letter || p5.letter AS filter_order, [p1.bit, p2.bit, p3.bit, p4.bit, p5.bit] AS bits
+  FROM l p1, l p2, l p3, l p4, l p5 WHERE p1.bit | p2.bit | p3.bit | p4.bit | p5.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)
+), x AS (
+  SELECT part, filter_order, step, bit,
+         CAST(coalesce(sum(n) FILTER (failed & bit = 0 AND failed & before = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (failed & bit <> 0 AND failed & before = 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (failed & bit <> 0 AND failed & before <> 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (failed = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n) FILTER (failed & bit <> 0 AND failed & before = 0 AND good), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n) FILTER (failed & bit <> 0 AND failed & before = 0 AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM cells, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM x""",
 }
