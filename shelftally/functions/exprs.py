@@ -110,10 +110,7 @@ def destination(host: str) -> str:
 
 def country(place: str) -> str:
     """A place code rolled up to its country where the roll-up lists it."""
-    arms = " ".join(
-        f"WHEN {place} IN {in_list(c.upper() for c in codes.split())} THEN '{name}'"
-        for name, codes in vocab.PLACE_ROLLUP
-    )
+    arms = " ".join(f"WHEN {place} IN {in_list(codes)} THEN '{name}'" for name, codes in vocab.PLACE_ROLLUP.items())
     return f"CASE {arms} ELSE {place} END"
 
 
@@ -169,35 +166,36 @@ def sequence(column: str) -> str:
 
 
 def origin_bucket(code: str, owner: str, holder: str) -> str:
-    """Who made the description, as seen from the holder."""
-    return (
-        f"CASE WHEN {code} IS NULL THEN 'none'"
-        f" WHEN {code} = 'DLC' OR startswith({code}, 'DLC-') THEN 'lc'"
-        f" WHEN {owner} = {holder} THEN 'self'"
-        f" WHEN {owner} IS NOT NULL THEN 'pod'"
-        f" ELSE 'other' END"
-    )
+    """Who made the description, as seen from the holder: the first bucket whose test holds."""
+    tests = {
+        "none": f"{code} IS NULL",
+        "lc": f"split_part({code}, '-', 1) = {literal(vocab.NATIONAL_AGENCY)}",
+        "self": f"{owner} = {holder}",
+        "pod": f"{owner} IS NOT NULL",
+    }
+    named = ", ".join(f"if({test}, '{bucket}', NULL)" for bucket, test in tests.items())
+    return f"coalesce({named}, 'other')"
 
 
 def modification_depth(has_field: str, agencies: str) -> str:
-    return (
-        f"CASE WHEN NOT {has_field} THEN 'no_040'"
-        f" WHEN {agencies} >= 10 THEN '10+' WHEN {agencies} >= 5 THEN '5-9'"
-        f" WHEN {agencies} >= 3 THEN '3-4' ELSE CAST({agencies} AS STRING) END"
-    )
+    """The deepest bucket whose floor the number of agencies reaches."""
+    names = ", ".join(map(literal, vocab.DEPTH_FLOORS))
+    reached = " + ".join(f"CAST({agencies} >= {floor} AS INT)" for floor in vocab.DEPTH_FLOORS.values())
+    return f"if({has_field}, element_at(array({names}), {reached}), {literal(vocab.NO_FIELD)})"
 
 
 def channel_tests(prefix: str, owner: str, holder: str) -> dict[str, str]:
-    """One overlapping test per channel a control number can show."""
-    return {
-        "oclc": f"startswith({prefix}, 'OCOLC')",
-        "rlin": f"{prefix} = 'CSTRLIN'",
-        "alma_cz": f"{prefix} IN ('EXLCZ', 'CKB')",
-        "local_system": f"coalesce({owner} = {holder}, false)"
-        f" OR {prefix} IN {in_list(vocab.LOCAL_SYSTEMS)}",
-        "pod_system": f"coalesce({owner} <> {holder}, false)",
-        "any_system": f"{prefix} <> ''",
-    }
+    """One test per channel a control number can show; they overlap."""
+
+    def test(channel: str) -> str:
+        ways = []
+        if channel in vocab.CHANNEL_NAMESPACES:
+            ways.append(f"{prefix} LIKE ANY {in_list(vocab.CHANNEL_NAMESPACES[channel])}")
+        if channel in vocab.CHANNEL_OWNERS:
+            ways.append(f"coalesce({owner} {vocab.CHANNEL_OWNERS[channel]} {holder}, false)")
+        return " OR ".join(ways)
+
+    return {channel: test(channel) for channel in vocab.CHANNELS}
 
 
 # --- published numbers -------------------------------------------------------

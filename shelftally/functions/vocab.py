@@ -29,18 +29,24 @@ DESTINATION_ORDER = (
     "other",
 )
 
-# Place codes that roll up to a country, and fills that mean "unknown".
-PLACE_ROLLUP = (
-    (
-        "XXU",
-        "xxu alu aku azu aru cau cou ctu dcu deu flu gau hiu idu ilu inu iau ksu kyu lau "
-        "meu mdu mau miu mnu msu mou mtu nbu nvu nhu nju nmu nyu ncu ndu ohu oku oru pau "
-        "riu scu sdu tnu txu utu vtu vau wau wvu wiu wyu",
+# Place codes of a country's parts, by the code of the country, and fills that mean "unknown".
+PLACE_ROLLUP = {
+    "XXU": (
+        "XXU", "ALU", "AKU", "AZU", "ARU", "CAU", "COU", "CTU", "DCU", "DEU", "FLU", "GAU",
+        "HIU", "IDU", "ILU", "INU", "IAU", "KSU", "KYU", "LAU", "MEU", "MDU", "MAU", "MIU",
+        "MNU", "MSU", "MOU", "MTU", "NBU", "NVU", "NHU", "NJU", "NMU", "NYU", "NCU", "NDU",
+        "OHU", "OKU", "ORU", "PAU", "RIU", "SCU", "SDU", "TNU", "TXU", "UTU", "VTU", "VAU",
+        "WAU", "WVU", "WIU", "WYU",
     ),
-    ("XXC", "xxc abc bcc mbc nkc nfc nsc ntc nuc onc pic quc snc ykc"),
-    ("XXK", "xxk enk stk wlk nik uik"),
-    ("XX", "uuu"),
-)
+    "XXC": (
+        "XXC", "ABC", "BCC", "MBC", "NKC", "NFC", "NSC", "NTC", "NUC", "ONC", "PIC", "QUC",
+        "SNC", "YKC",
+    ),
+    "XXK": (
+        "XXK", "ENK", "STK", "WLK", "NIK", "UIK",
+    ),
+    "XX": ("UUU",),
+}
 
 ARCHIVE_TYPES = ("t", "d", "f", "p")
 ARCHIVE_LEVELS = ("c", "d")
@@ -49,9 +55,22 @@ SUCCESSION_LINKS = {"pred": "780", "succ": "785"}
 SUCCESSION_TYPES = ("0", "1", "2", "3", "4", "5", "6", "7", "8")
 
 ORIGIN_BUCKETS = ("lc", "self", "pod", "other", "none")
-DEPTH_BUCKETS = ("no_040", "0", "1", "2", "3-4", "5-9", "10+")
+# The agency that counts as lc, its branches behind a hyphen included.
+NATIONAL_AGENCY = "DLC"
+# The least number of modifying agencies of each depth.
+DEPTH_FLOORS = {"0": 0, "1": 1, "2": 2, "3-4": 3, "5-9": 5, "10+": 10}
+NO_FIELD = "no_040"
+DEPTH_BUCKETS = (NO_FIELD, *DEPTH_FLOORS)
 CHANNELS = ("oclc", "rlin", "alma_cz", "local_system", "pod_system", "any_system")
-LOCAL_SYSTEMS = ("SIRSI", "PUVOYAGERBIBID")
+# Namespaces that show a channel, as LIKE patterns, and how their owner may stand to the holder.
+CHANNEL_NAMESPACES = {
+    "oclc": ("OCOLC%",),
+    "rlin": ("CSTRLIN",),
+    "alma_cz": ("EXLCZ", "CKB"),
+    "local_system": ("SIRSI", "PUVOYAGERBIBID"),
+    "any_system": ("_%",),
+}
+CHANNEL_OWNERS = {"local_system": "=", "pod_system": "<>"}
 
 # Field coverage measures: what makes a row count for each, call numbers apart.
 COVERAGE_FIELDS = {

@@ -29,6 +29,7 @@ from shelftally.operators import (
     provenance,
     serials,
 )
+from shelftally.plans import disclosure
 from shelftally.sources.lake import ROSTER_SQL, Lake
 
 Steps = list[tuple[str, str]]
@@ -80,13 +81,13 @@ def _provenance_sql(lake: Lake) -> Steps:
 ARTIFACTS = (
     Artifact(
         "overview",
-        "Corpus totals and per-org record and title counts.",
+        "How large the lake is: records, distinct titles and orgs, then records, titles and last sync org by org.",
         {"totals": overlap.corpus_totals, "per_org": overlap.org_totals},
         _overview_sql,
     ),
     Artifact(
         "overlap_histogram",
-        "Titles held by exactly N orgs (rarity curve).",
+        "One row for each possible number of holders, with the titles that have just that many.",
         {"held_by": overlap.overlap_histogram},
         lambda lake: [
             *_patterns(lake),
@@ -95,13 +96,13 @@ ARTIFACTS = (
     ),
     Artifact(
         "overlap_pairwise",
-        "Shared titles between each pair of orgs.",
+        "The titles of each org, and for two orgs at a time how many of them both own.",
         {"titles": overlap.org_titles, "pairs": overlap.overlap_pairwise},
         _pairwise_sql,
     ),
     Artifact(
         "uniqueness",
-        "Titles held by a single org alone.",
+        "What would leave the consortium with an org: titles that no other one owns.",
         {"per_org": overlap.uniqueness},
         lambda lake: [
             *_patterns(lake),
@@ -110,13 +111,13 @@ ARTIFACTS = (
     ),
     Artifact(
         "publication_decade",
-        "Records of each org by decade of publication.",
+        "When the holdings were published: first dates of field 008 by decade, thin decades in one remainder.",
         {"per_org": comparison.publication_decade},
         lambda lake: [*fixed_fields.steps(), ("Records by decade", comparison.decade_sql(lake.params))],
     ),
     Artifact(
         "serials_timeline",
-        "Serials of each org published in each year, and by starting decade.",
+        "Serials over time: titles that were appearing in a year, and first years by decade.",
         {"active": serials.serials_active, "start_decade": serials.serials_start_decade},
         lambda lake: [
             *fixed_fields.steps(),
@@ -126,7 +127,7 @@ ARTIFACTS = (
     ),
     Artifact(
         "serials_succession",
-        "Serial succession: links to earlier and later titles, kinds of change.",
+        "What became of serials: those that name a predecessor or successor, and the relation named in 785.",
         {
             "succession_link": serials.succession_link,
             "succession_type": serials.succession_type,
@@ -140,7 +141,7 @@ ARTIFACTS = (
     ),
     Artifact(
         "archives",
-        "Archives and manuscripts: material, genre, vintage, online links.",
+        "Archival and manuscript records by kind, genre heading and first decade, and where their links lead.",
         {
             "material_type": archives.archive_type,
             "genre": archives.archive_genre,
@@ -161,19 +162,19 @@ ARTIFACTS = (
     ),
     Artifact(
         "electronic",
-        "Top hosts each org links to.",
+        "Which web hosts stand in the links of field 856, the most frequent of each org and the rest together.",
         {"hosts": links.link_hosts},
         lambda lake: [("Link hosts", links.HOST_SQL)],
     ),
     Artifact(
         "coverage",
-        "Share of each org's records that carry selected fields.",
+        "Completeness: how many records have an identifier, subject, author, link, extent or call number.",
         {"per_org": coverage.coverage},
         lambda lake: [("Records carrying each field", coverage.coverage_sql())],
     ),
     Artifact(
         "cataloging_source",
-        "Who catalogued each org's records: mix, agencies, flow, depth, by year, code map.",
+        "Origin of descriptions in field 040: by kind of agency, by agency, between members, by later hands and by year of entry, with the code map behind it.",
         {
             "mix": provenance.cat_mix,
             "agency": provenance.cat_agency,
@@ -188,7 +189,7 @@ ARTIFACTS = (
     ),
     Artifact(
         "record_channels",
-        "How records reached each org: control-number channels and namespaces.",
+        "Ways that records came in, read off the namespaces of their control numbers, and those namespaces themselves.",
         {
             "coverage": channels.channel_coverage,
             "namespace": channels.channel_namespace,
@@ -202,7 +203,7 @@ ARTIFACTS = (
     ),
     Artifact(
         "comparison",
-        "Matrices across orgs: language, place, format, subject class, serial status.",
+        "Org beside org by coded values: languages, countries, types of record, classes of all records and of serials, serial status.",
         {
             "language": comparison.lang_matrix,
             "country": comparison.country_matrix,
@@ -279,6 +280,16 @@ NAMES = {
     "comparison/serial_classification": ("category", labels.LC_CLASS),
     "comparison/serial_status": ("category", labels.SERIAL_STATUS),
 }
+# Sections whose total is the sum of their categories, by the name under which they are audited.
+SUMMED = {
+    "comparison/language": "language",
+    "comparison/country": "country",
+    "comparison/record_type": "record_type",
+    "comparison/classification": "lc_class",
+    "comparison/serial_classification": "lc_class_serial",
+    "comparison/serial_status": "serial_status",
+    "cataloging_source/mod_depth": "mod_depth",
+}
 # Sections that are read largest first.
 LARGEST_FIRST = {"overlap_pairwise/pairs": "shared", "uniqueness/per_org": "unique_titles"}
 
@@ -318,16 +329,22 @@ def write_artifacts(
     generated_at: str | None = None,
     artifacts=ARTIFACTS,
     at_once: int = 4,
+    second_pass: bool = False,
 ) -> DataFrame:
     """
     Write every section of every artifact under ``out``, then the manifest; return it.
     A few artifacts are written at once: their last stages are too small to fill a cluster.
+    With ``second_pass`` more is withheld where a total would give a small count away.
     """
     stamp = generated_at or datetime.now(UTC).isoformat()
+    audited = disclosure.margins(lake)
 
     def write(artifact: Artifact) -> None:
         for section, build in artifact.sections.items():
             table = build(lake)
+            summed = SUMMED.get(f"{artifact.name}/{section}")
+            if second_pass and summed:
+                table = disclosure.protected(table, lake.params.threshold, audited[summed].longest_axis)
             if f"{artifact.name}/{section}" in NAMES:
                 table = labels.label(table, *NAMES[f"{artifact.name}/{section}"])
             table = table.withColumn("generated_at", F.lit(stamp))
