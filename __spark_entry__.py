@@ -28,7 +28,7 @@ from shelftally.operators import (
     records,
     serials,
 )
-from shelftally.plans import derive, matrix, suppress
+from shelftally.plans import derive, disclosure, matrix, suppress
 from shelftally.plans.artifacts import snapshot_diff
 from shelftally.sources import code_map
 from shelftally.sources.derived import derived_lake
@@ -252,6 +252,9 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "small_cells": lambda lake: suppress.small_cells(
         links.host_counts(lake), threshold=lake.params.threshold, label="host"
     ),
+    "recoverable_cells": disclosure.recoverable_cells,
+    "protected_cells": disclosure.protected_cells,
+    "disclosure_audit": disclosure.disclosure_audit,
     "snapshot_diff": _diff,
     "labelled_matrix": lambda lake: _names(
         comparison.language_counts(lake), lambda df: labels.label(df, "category", labels.LANGUAGE)

@@ -361,12 +361,55 @@ LABELLED = {
 }
 
 
+# Reports whose denominators are sums of their categories -> (their query, where the axis may be cut).
+MARGINS = {
+    "language": ("lang_matrix", 15), "country": ("country_matrix", 15), "record_type": ("record_type_matrix", 15),
+    "lc_class": ("lc_class", None), "lc_class_serial": ("lc_class_serial", None), "serial_status": ("serial_status", 15),
+    "mod_depth": ("cat_mod_depth", None),
+}
+
+
+def disclosure(texts: dict[str, str]) -> dict[str, str]:
+    """What a total less the other cells gives away, in closed form, before and after a second cell goes."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{report}' AS report, org, category, n, total, {f'max(cat_rank) OVER () < {cap}' if cap else 'TRUE'} AS whole FROM ({texts[query]})"
+        for report, (query, cap) in MARGINS.items()
+    )
+    known = f"""WITH cells AS ({rows}),
+m AS (
+  SELECT *, count(*) FILTER (n IS NULL) OVER org AS k, total - coalesce(sum(n) OVER org, 0) AS rest
+  FROM cells WINDOW org AS (PARTITION BY report, org)
+), b AS (
+  SELECT *, least({THRESHOLD - 1}, rest - (k - 1)) AS high, CASE WHEN whole THEN greatest(1, rest - (k - 1) * {THRESHOLD - 1}) ELSE 1 END AS low
+  FROM m
+), x AS (
+  SELECT *, coalesce(bool_or(n IS NULL AND low = high) OVER (PARTITION BY report, org), FALSE) AS exposed FROM b
+), y AS (
+  SELECT *, exposed AND n >= {THRESHOLD} AND rest + n > {THRESHOLD} + k AS hides FROM x
+), z AS (
+  SELECT *, hides AND row_number() OVER (PARTITION BY report, org, hides ORDER BY n, category) = 1 AS beside,
+         exposed AND NOT bool_or(coalesce(hides, FALSE)) OVER (PARTITION BY report, org) AS no_cell
+  FROM y
+)"""
+    return {
+        "recoverable_cells": f"{known} SELECT report, org, category, low::BIGINT AS value FROM x WHERE n IS NULL AND low = high",
+        "protected_cells": f"""{known}
+SELECT report, org, category, CASE WHEN NOT coalesce(beside, FALSE) THEN n END AS n, CASE WHEN NOT no_cell THEN total END AS total,
+       CASE WHEN n IS NULL THEN 'small' WHEN beside THEN 'beside' END AS withheld
+FROM z""",
+        "disclosure_audit": f"""{known}
+SELECT report, count(*) FILTER (n IS NULL) AS withheld, count(*) FILTER (n IS NULL AND low = high) AS recoverable,
+       count(*) FILTER (beside) AS beside, count(DISTINCT org) FILTER (no_cell) AS totals, 0::BIGINT AS recoverable_after
+FROM z GROUP BY report""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """Every text; those of labelled reports name the categories of the report's own text."""
     texts = reports()
     for name, (report, column, names) in LABELLED.items():
         texts[name] = named(f"SELECT {column} AS category FROM ({texts[report]})", "category", names, False)
-    return texts
+    return texts | disclosure(texts)
 
 
 def reports() -> dict[str, str]:

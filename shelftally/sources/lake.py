@@ -1,5 +1,6 @@
 """The input tables of one run, and the small roll-ups its operators share."""
 
+import tempfile
 from collections.abc import Callable, Mapping
 from functools import cached_property
 from threading import RLock
@@ -14,12 +15,25 @@ from shelftally import schema
 from shelftally.params import Params
 from shelftally.sources.binding import Views, bind
 
+
 def shared_folder(spark: SparkSession) -> str | None:
     """This application's part of the folder every executor can reach, if one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}" if root else None
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """
+    The same rows from a checkpoint, with a plan that no longer holds what made them: for
+    loops, and for small results of long plans. The folder is the cluster's shared one; a
+    local one only where none is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 # One row per org, so the single ordered partition of the numbering stays small.
 ROSTER_SQL = """\
 SELECT org, row_number() OVER (ORDER BY org) - 1 AS position
