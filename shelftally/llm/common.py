@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -181,16 +183,32 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """Consecutive rows whose texts together stay near ``limit`` bytes."""
-    for batch in batches:
-        data, offsets = flat(batch.column(batch.schema.get_field_index(column)))
-        start, n = 0, batch.num_rows
-        while start < n:
-            end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), n)
-            at = offsets[start : end + 1]
-            yield Texts(batch.slice(start, end - start), data[at[0] : at[-1]], at - at[0])
-            start = end
+    """Consecutive rows whose texts together stay near ``limit`` bytes.
+
+    At the end of a task freed memory goes back to the machine: workers live on between tasks.
+    """
+    try:
+        for batch in batches:
+            data, offsets = flat(batch.column(batch.schema.get_field_index(column)))
+            start, n = 0, batch.num_rows
+            while start < n:
+                end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
+                end = min(max(end, start + 1), n)
+                at = offsets[start : end + 1]
+                yield Texts(batch.slice(start, end - start), data[at[0] : at[-1]], at - at[0])
+                start = end
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that Python and Arrow have freed but still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(marked: bytes | tuple[int, ...]) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bloom import with_passes
 
 #: Deleted before texts are compared.
 REMOVED = "\t\n\x0b\x0c\r "
@@ -216,20 +217,42 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    mine = {"id": "__id", "length": "__length", "digest": "__digest"}
-    keep = groups(digests(docs)).select(*(F.col(k).alias(f"{v}_kept") for k, v in mine.items()))
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Groups are found on narrow rows. A text that equals no other stays where it is: only rows
+    that a filter of the repeated digests lets pass are shuffled, once, to meet the row that
+    stays of their group. A digest that many of them share is dealt over salts. Of rows alike in
+    id, length and text any one stays.
+    """
+    digest, length, number, possible, id_, size, again = common.free_names(
+        docs.columns, "digest", "length", "id", "possible", "kept_id", "kept_length", "repeats"
+    )
+    rows = common.cut(digests(docs))
+    repeats = rows.groupBy("digest", "length", "id").agg(F.count("*").alias("repeats")).withColumnsRenamed({"digest": "d", "length": "n", "id": "i"})
+    best = groups(rows).where("rows > 1").drop("rows")
+    on = (F.col("digest") == F.col("d")) & (F.col("length") == F.col("n")) & common.same(F.col("id"), F.col("i"))
+    kept = best.join(repeats, on).select(
+        F.col("digest").alias(digest), F.col("id").alias(id_), F.col("length").alias(size), F.col("repeats").alias(again)
+    )
+    kept = common.cut(kept)
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns(
         {
-            "__id": F.col("doc_id").cast("long"),
-            "__length": F.length(text).cast("long"),
-            "__digest": F.unhex(F.sha2(F.translate(text, REMOVED, ""), 256)),
+            number: F.col("doc_id").cast("long"),
+            length: F.length(text).cast("long"),
+            digest: F.unhex(F.sha2(F.translate(text, REMOVED, ""), 256)),
         }
     )
-    on = (F.col("__digest") == F.col("__digest_kept")) & (F.col("__length") == F.col("__length_kept"))
-    kept = marked.join(keep, on & common.same(F.col("__id"), F.col("__id_kept")), "left_semi")
-    return kept.dropDuplicates(["__digest"]).drop(*mine.values())
+    asked = with_passes(marked, digest, kept, possible)
+    shared = common.cut(asked.where(F.col(possible)))
+    met = common.join_hot(shared, kept, digest, F.xxhash64(number, length))
+    stays = F.col(again).isNull() | ((F.col(length) == F.col(size)) & common.same(F.col(number), F.col(id_)))
+    met = met.where(stays)
+    once = met.where(F.coalesce(F.col(again), F.lit(1)) == 1)
+    repeated = met.where(F.col(again) > 1).dropDuplicates([digest])
+    alone = asked.where(~F.col(possible))
+    out = [df.select(*(F.col(f"`{c}`") for c in docs.columns)) for df in (alone, once, repeated)]
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
 # -- a standing index -------------------------------------------------------------------

@@ -1,11 +1,9 @@
 """
 URL filters: rules by host and path, and a blocked Bloom filter before an exact join.
 
-Listed URLs are kept under a canonical form. Their Bloom filter has blocks of 512 bits: a key
-belongs to one block and sets one bit in each of its eight words, so a probe is one look-up of
-a row and eight tests. It is small enough to be sent to every task and passes possible hits
-only; these meet the list in a hash join on the canonical form, which removes false positives.
-All of it is DataFrame expressions.
+Listed URLs are kept under a canonical form. Their Bloom filter (``bloom``) is small enough to
+be sent to every task and passes possible hits only; these meet the list in a hash join on the
+canonical form, which removes false positives. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -17,14 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bloom import with_passes
 
 #: Query parameters that do not change the page.
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref)(=|$)"
-WORDS = 8
-BITS_PER_KEY = 16
-#: The filter is broadcast, so it never exceeds 32 MB of words; beyond about 16 million keys
-#: it passes more false positives on to the exact join.
-MOST_BLOCKS = 1 << 19
 #: Rules are a policy that people write; they travel in the plan.
 MOST_RULES = 1000
 ALLOW, BLOCK = "allow", "block"
@@ -96,40 +90,6 @@ def longest_rule(rules: Sequence[Rule], of_host: Column, of_path: Column) -> Col
     return F.when(F.size(fits) > 0, F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-# -- the blocked Bloom filter -----------------------------------------------------------
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _bit(key: Column, word: int) -> Column:
-    """One of the 64 bits of a word, drawn from six bits of a second hash."""
-    at = F.shiftrightunsigned(F.xxhash64(F.lit(1), key), 6 * word).bitwiseAND(F.lit(63)).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """The filter of ``keys`` (``key``): ``block`` and its words ``w0`` to ``w7``; blocks without a key are absent."""
-    words = [F.bit_or(_bit(F.col("key"), i)).alias(f"w{i}") for i in range(WORDS)]
-    return keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(*words)
-
-
-def blocks_for(keys: int) -> int:
-    """About ``BITS_PER_KEY`` bits for each key, up to the size that is broadcast."""
-    return max(1, min(MOST_BLOCKS, -(-keys * BITS_PER_KEY // (64 * WORDS))))
-
-
-def maybe_listed(rows: DataFrame, listed: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` (``key``, not null, and others) that the filter of ``listed`` (``key``) lets pass."""
-    passed = F.lit(True)
-    for i in range(WORDS):
-        passed = passed & (F.col(f"w{i}").bitwiseAND(_bit(F.col("key"), i)) != 0)
-    filters = F.broadcast(bloom(listed, blocks))
-    found = rows.withColumn("block", _block(F.col("key"), blocks)).join(filters, "block", "left")
-    return found.withColumn("possible", F.coalesce(passed, F.lit(False))).drop("block", *(f"w{i}" for i in range(WORDS)))
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
     """Every row of ``pages`` (``page_id``, ``url``) with its verdict.
 
@@ -149,7 +109,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = ()) -> Da
         longest_rule(rules, host(F.col("url")), path(F.col("url"))).alias("ruled"),
     )
     open_to_list = F.col("ruled").isNull() & F.col("key").isNotNull()
-    asked = maybe_listed(rows.withColumn("key", F.when(open_to_list, F.col("key"))), keys, blocks_for(keys.count()))
+    asked = with_passes(rows.withColumn("key", F.when(open_to_list, F.col("key"))), "key", keys, "possible")
     columns = ["page_id", "host", "path", "ruled", "possible", "key"]
     # possible hits alone are shuffled; a URL that many of them share is dealt over salts
     hits = common.cut(asked.where("possible").select(*columns))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelftally.llm import common, queries, url_filter
+from shelftally.llm import bloom, common, queries, url_filter
 from shelftally.llm.url_filter import Rule
 
 SF = "/root/testdata/sf0.01"
@@ -100,14 +100,13 @@ def test_defined_cases(spark):
 def test_filter_passes_every_key_and_few_others(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     others = spark.range(20_000).select(F.concat(F.lit("o"), "id").alias("key"))
-    blocks = url_filter.blocks_for(20_000)
-    assert url_filter.maybe_listed(keys, keys, blocks).where("NOT possible").count() == 0
-    assert url_filter.maybe_listed(others, keys, blocks).where("possible").count() < 200
-    assert url_filter.blocks_for(10**10) == url_filter.MOST_BLOCKS and url_filter.blocks_for(0) == 1
+    assert bloom.with_passes(keys, "key", keys, "possible").where("NOT possible").count() == 0
+    assert bloom.with_passes(others, "key", keys, "possible").where("possible").count() < 200
+    assert bloom.blocks_for(10**10) == bloom.MOST_BLOCKS and bloom.blocks_for(0) == 1
 
 
 def test_a_full_filter_still_gives_exact_verdicts(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 1)
+    monkeypatch.setattr(bloom, "MOST_BLOCKS", 1)
     seen = [f"http://a.net/{i}" for i in range(3000)]
     got = {r[0] for r in judged(spark, seen, seen[::3], []) if r[4] == "block"}
     assert got == set(range(0, 3000, 3))
