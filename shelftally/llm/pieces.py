@@ -3,8 +3,9 @@ SentencePiece BPE, encoded by vectorised merge rounds.
 
 Texts are flat arrays of symbols. They are divided into words where no piece can cross, equal
 words are merged once, and every round merges in all words at the same time: the best pair of
-each word, at its leftmost places, until no word has a pair left. The model file only supplies
-pieces and scores; neither encoding nor decoding calls the library.
+each word, at its leftmost places, until no word has a pair left. A long word whose merges
+have to go one at a time leaves the rounds for a queue of its pairs. The model file only
+supplies pieces and scores; neither encoding nor decoding calls the library.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ class Pieces:
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
         self._check(model)
+        self._asked: dict[int, tuple[int, int]] = {}
         kinds = proto.ModelProto.SentencePiece
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         usable = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
@@ -106,6 +109,17 @@ class Pieces:
         if missing:
             raise ValueError(f"pieces with characters that are no pieces: {missing[:5]} and {max(0, len(missing) - 5)} more")
 
+    def pair(self, left: int, right: int) -> tuple[int, int]:
+        """``pairs`` of one pair; the pairs that were asked for are remembered."""
+        key = left * self.size + right
+        if key not in self._asked:
+            if len(self._asked) >= MOST_ASKED:
+                self._asked.clear()
+            at = min(int(np.searchsorted(self.pair_keys, key)), len(self.pair_keys) - 1)
+            found = self.pair_keys[at] == key
+            self._asked[key] = (int(self.pair_rank[at]), int(self.pair_made[at])) if found else (int(_NONE), -1)
+        return self._asked[key]
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (the largest number where it makes no piece), and the piece it makes."""
         key = np.where((left < 0) | (right < 0), -1, left * self.size + right)
@@ -123,6 +137,51 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+#: Pairs whose look-up a worker remembers.
+MOST_ASKED = 500_000
+#: Symbols of a word above which merges that have to go one at a time leave the rounds.
+LONG = 64
+
+
+def merge_in_order(model: Pieces, symbols: np.ndarray) -> np.ndarray:
+    """Merge one word, the best pair first and of equal ones the leftmost, by a queue of pairs.
+
+    What rounds do in a time that grows with the square of the word where every round may
+    merge but one pair: a long run of spaces or dashes, or words without white space.
+    """
+    rank, made = (a.tolist() for a in model.pairs(symbols[:-1], symbols[1:]))
+    queue = [(r, i, m) for i, (r, m) in enumerate(zip(rank, made, strict=True)) if m >= 0]
+    heapify(queue)
+    now, n = symbols.tolist(), len(symbols)
+    #: The piece that the pair at a place makes; entries of the queue that say otherwise are old.
+    making = [*made, -1]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def look(left: int) -> None:
+        right = after[left]
+        making[left] = -1
+        if right < n and now[left] >= 0 and now[right] >= 0:
+            r, m = model.pair(now[left], now[right])
+            if m >= 0:
+                making[left] = m
+                heappush(queue, (r, left, m))
+
+    while queue:
+        _, i, m = heappop(queue)
+        if making[i] != m:
+            continue
+        gone = after[i]
+        now[i], making[gone] = m, -1
+        after[i] = after[gone]
+        if after[i] < n:
+            before[after[i]] = i
+        now[gone] = None
+        look(i)
+        if before[i] >= 0:
+            look(before[i])
+    return np.array([s for s in now if s is not None], symbols.dtype)
+
+
 def merge_words(model: Pieces, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge until no pair remains. ``word`` numbers the word of each symbol, ascending."""
     done_symbols, done_words = [], []
@@ -156,6 +215,16 @@ def merge_words(model: Pieces, symbols: np.ndarray, word: np.ndarray) -> tuple[n
             group = np.cumsum(first) - 1
             single = np.zeros(group[-1] + 1, bool)
             np.logical_or.at(single, group[alone], True)
+            long = single & (sizes > LONG)
+            if long.any():
+                ends = np.cumsum(sizes)
+                for begin, end in zip((ends - sizes)[long], ends[long], strict=True):
+                    merged = merge_in_order(model, symbols[begin:end])
+                    done_symbols.append(merged)
+                    done_words.append(np.full(len(merged), word[begin]))
+                short = np.repeat(~long, sizes)
+                symbols, word, rank, made = symbols[short], word[short], rank[short], made[short]
+                continue
             keep = np.where(single[group], first, keep)
         at = at[keep]
         symbols[at] = made[at]

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from shelftally.llm import pieces
 
@@ -78,3 +81,27 @@ def test_decode_of_any_ids(library):
         ids = rng.integers(3, 600, rng.integers(1, 12))
         got = pieces.decode(model, ids, np.array([0, len(ids)]))[0].decode()
         assert got == library.decode(ids.tolist()), ids
+
+
+@pytest.mark.parametrize("size", [65, 20_001, 200_000])
+def test_long_words_take_no_square_of_their_length(library, size):
+    """Runs of one character and words without white space, alone and beside short words."""
+    rng = random.Random(size)
+    joined = "".join(rng.choice(["the", "ing", "tion", "Hello", "sch", "über", "123", "----", "ooo", "=", "_"]) for _ in range(size // 4))
+    start = time.perf_counter()
+    for text in (" " * size, "-" * size, " -" * (size // 2), joined, f"a b{' ' * size}c {joined} d"):
+        model = pieces.load(PATH)
+        ids, _ = pieces.encode(model, [text])
+        assert ids.tolist() == library.encode(text)
+    assert time.perf_counter() - start < 60
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from(" -=_aeth.▁0é"), max_size=300))
+def test_queue_and_rounds_agree(text):
+    """The queue alone gives what the rounds give."""
+    model = pieces.load(PATH)
+    points = model.by_char[[ord(c) for c in text]] if text else np.zeros(0, np.int64)
+    rounds, _ = pieces.merge_words(model, points.copy(), np.zeros(len(points), np.int64))
+    if len(points):
+        assert pieces.merge_in_order(model, points.copy()).tolist() == rounds.tolist()
