@@ -31,27 +31,37 @@ def steps() -> list[tuple[str, str]]:
 
 def active_sql(p: Params) -> str:
     """
-    Serials published in each year. Runs are counted before they are spread over years,
-    so a row is expanded per distinct run, not per serial.
+    Serials published in each year, by a sweep over the years: a run adds its titles in its
+    first year and takes them back after its last, and a running sum is what is published.
+    Runs are only added up by their ends; years are filled in between the few that see a change.
     """
     return f"""\
 WITH run AS (
   SELECT org, {x.year('date1')} AS first_year,
          CASE WHEN date2 = '9999' OR kind = 'c' THEN {p.now_year}
               WHEN kind = 'd' THEN {x.year('date2')} END AS last_year,
-         sum(n) AS n
+         n
   FROM fixed_fields
   WHERE is_serial AND chars >= 15
+),
+change AS (
+  SELECT org, coalesce(first_year, last_year + 1) AS year, sum(if(is_last, -n, n)) AS n
+  FROM (
+    SELECT org, first_year, last_year, grouping(first_year) = 1 AS is_last, sum(n) AS n
+    FROM run
+    WHERE first_year BETWEEN {p.serial_active_from} AND {p.now_year}
+      AND last_year BETWEEN first_year AND {p.now_year}
+    GROUP BY GROUPING SETS ((org, first_year), (org, last_year))
+  )
   GROUP BY ALL
 )
-SELECT org, year, sum(n) AS records
+SELECT org, explode(sequence(year, until - 1)) AS year, records
 FROM (
-  SELECT org, n, explode(sequence(first_year, last_year)) AS year
-  FROM run
-  WHERE first_year BETWEEN {p.serial_active_from} AND {p.now_year}
-    AND last_year BETWEEN first_year AND {p.now_year}
+  SELECT org, year, sum(n) OVER (PARTITION BY org ORDER BY year) AS records,
+         lead(year) OVER (PARTITION BY org ORDER BY year) AS until
+  FROM change
 )
-GROUP BY org, year"""
+WHERE records > 0"""
 
 
 def start_decade_sql(p: Params) -> str:

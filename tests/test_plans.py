@@ -83,10 +83,12 @@ def test_call_numbers_and_coverage_aggregate_without_sorting(stored):
         assert "SortAggregate" not in plan(stored.sql(text))
 
 
-def test_runs_are_counted_before_they_are_spread(stored):
+def test_runs_are_never_spread_over_years(stored):
+    """Years are filled in above the running sum; below it runs are only added up."""
     text = plan(serials.serials_active(stored))
     spread = text.index("Generate explode")
-    assert "HashAggregate" in text[spread:]
+    assert "Window [" in text[spread:] and text.count("Generate") == 1
+    assert "Expand" in text[text.index("Window [") :]
 
 
 def test_top_lists_limit_before_the_shuffle(stored):
