@@ -3,8 +3,8 @@ Who made each record's description, from the agency codes of field 040.
 
 The lake is read once into a roll-up: counts per holder, year the record entered the
 catalogue, original agency, its owner, origin bucket and modification depth. One grouping-sets
-pass over it makes the few thousand cells that all views are cut from. The cells lie in one
-partition, so a view needs no exchange: sums, windows and one explode.
+pass over it makes the few thousand cells that all views are cut from: sums, windows by org
+and one explode.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,58 +17,81 @@ from shelftally.params import Params
 from shelftally.plans.matrix import matrix_of_cells, without_totals
 from shelftally.plans.suppress import fold_columns, require_reconciled
 from shelftally.sources.code_map import OWNER_SQL, owners, require_mapped
-from shelftally.sources.lake import Lake
+from shelftally.sources.lake import DEAL, Lake
 
 # --- the roll-up -------------------------------------------------------------
 
 
-def counts_sql(p: Params) -> str:
-    """
-    Per-record facts in one exchange of the field slices and no join: ``record_meta`` and
-    the two slices meet in a single grouping by record. ``copies`` weighs a record by its
-    rows in ``record_meta`` and drops field rows of records that have none there. The
-    original agency is the first non-blank $a, the entry date the first 008.
+FIRST_AGENCY = f"named_struct('field_seq', {x.sequence('field_seq')}, 'subfield_seq', {x.sequence('subfield_seq')}, 'agency', agency)"
+FIRST_STAMP = f"named_struct('field_seq', {x.sequence('field_seq')}, 'stamp', {x.piece(x.ENTERED)})"
 
-    String aggregates are sorted, so rows are spread and led by a hash of the record: one
-    sort serves every aggregate, and eight bytes order rows without comparing the long
-    common prefixes of record ids. Rows without a record id, of which there may be many,
-    belong to no record and are counted apart.
-    """
-    return f"""\
-WITH slice AS (
+DEALT_SQL = f"""\
+slice AS (
   SELECT org, record_id, 1L AS copies, false AS is_040,
          CAST(NULL AS STRUCT<field_seq: INT, subfield_seq: INT, agency: STRING>) AS origin,
          CAST(NULL AS STRING) AS modifier,
          CAST(NULL AS STRUCT<field_seq: INT, stamp: STRING>) AS entered
   FROM record_meta WHERE record_id IS NOT NULL
   UNION ALL
-  SELECT org, NULL, count(*), false, NULL, NULL, NULL
-  FROM record_meta WHERE record_id IS NULL GROUP BY org
-  UNION ALL
   SELECT org, record_id, 0L, true,
-         CASE WHEN code = 'a' AND agency <> ''
-              THEN named_struct('field_seq', {x.sequence('field_seq')}, 'subfield_seq', {x.sequence('subfield_seq')}, 'agency', agency) END,
+         CASE WHEN code = 'a' AND agency <> '' THEN {FIRST_AGENCY} END,
          CASE WHEN code = 'd' AND agency <> '' THEN agency END,
          NULL
   FROM (SELECT org, record_id, code, field_seq, subfield_seq, {x.agency_code()} AS agency
         FROM records WHERE tag = '040' AND record_id IS NOT NULL)
   UNION ALL
-  SELECT org, record_id, 0L, false, NULL, NULL,
-         named_struct('field_seq', {x.sequence('field_seq')}, 'stamp', {x.piece(x.ENTERED)})
+  SELECT org, record_id, 0L, false, NULL, NULL, {FIRST_STAMP}
   FROM records WHERE tag = '008' AND record_id IS NOT NULL
 ),
 per_record AS (
-  SELECT org, record_id, sum(copies) AS copies, bool_or(is_040) AS has_040,
+  SELECT org, sum(copies) AS copies, bool_or(is_040) AS has_040,
          min(origin).agency AS source_code, count(DISTINCT modifier) AS agencies,
          min(entered).stamp AS stamp
-  FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM slice))
+  FROM (SELECT {DEAL}* FROM (SELECT xxhash64(org, record_id) AS h, * FROM slice))
   GROUP BY h, org, record_id
-)
+)"""
+
+IN_PLACE_SQL = f"""\
+facts AS (
+  SELECT org, record_id, bool_or(tag = '040') AS has_040,
+         min(CASE WHEN tag = '040' AND code = 'a' AND agency <> '' THEN {FIRST_AGENCY} END).agency AS source_code,
+         count(DISTINCT CASE WHEN tag = '040' AND code = 'd' AND agency <> '' THEN agency END) AS agencies,
+         min(CASE WHEN tag = '008' THEN {FIRST_STAMP} END).stamp AS stamp
+  FROM (SELECT org, record_id, tag, code, field_seq, subfield_seq, value, {x.agency_code()} AS agency
+        FROM records WHERE tag IN ('040', '008') AND record_id IS NOT NULL)
+  GROUP BY org, record_id
+),
+per_record AS (
+  SELECT org, copies, coalesce(has_040, false) AS has_040, source_code, coalesce(agencies, 0L) AS agencies, stamp
+  FROM (SELECT org, record_id, count(*) AS copies FROM record_meta WHERE record_id IS NOT NULL GROUP BY org, record_id)
+    LEFT JOIN facts USING (org, record_id)
+)"""
+
+
+def counts_sql(p: Params, by_record: bool = False) -> str:
+    """
+    Per-record facts in one exchange of the field slices and no join: ``record_meta`` and
+    the two slices meet in a single grouping by record. ``copies`` weighs a record by its
+    rows in ``record_meta`` and drops field rows of records that have none there. The
+    original agency is the first non-blank $a, the entry date the first 008.
+
+    String aggregates are sorted, so rows are spread and led by a hash of the record: one
+    sort serves every aggregate, and eight bytes order rows without comparing the long
+    common prefixes of record ids. Rows without a record id, of which there may be many,
+    belong to no record and are counted apart.
+
+    In a lake bucketed ``by_record`` the slices are grouped and joined where they lie.
+    """
+    return f"""\
+WITH {IN_PLACE_SQL if by_record else DEALT_SQL}
 SELECT org, {x.entered_year('stamp', p.now_year)} AS entered_year, source_code,
        {x.modification_depth('has_040', 'agencies')} AS mod_depth,
        sum(copies) AS n
-FROM per_record
-WHERE copies > 0
+FROM (
+  SELECT * FROM per_record WHERE copies > 0
+  UNION ALL
+  SELECT org, count(*), false, NULL, 0L, NULL FROM record_meta WHERE record_id IS NULL GROUP BY org
+)
 GROUP BY ALL"""
 
 
@@ -104,7 +127,7 @@ def steps(p: Params) -> list[tuple[str, str]]:
 
 def cataloging_source(lake: Lake) -> DataFrame:
     """The roll-up itself. The code map is only met after records are counted away."""
-    counts = lake.table("cataloging_counts", lambda: lake.sql(counts_sql(lake.params)))
+    counts = lake.table("cataloging_counts", lambda: lake.sql(counts_sql(lake.params, lake.by_record)))
 
     def build() -> DataFrame:
         codes = counts.select(F.col("source_code").alias("code")).where("code IS NOT NULL").distinct()
@@ -135,7 +158,7 @@ def cells(lake: Lake) -> DataFrame:
 
     def build() -> DataFrame:
         require_mapped(lake)
-        return lake.sql(CELLS_SQL, cataloging_source=cataloging_source(lake)).coalesce(1)
+        return lake.sql(CELLS_SQL, cataloging_source=cataloging_source(lake))
 
     return lake.keep("provenance_cells", build)
 
@@ -187,11 +210,9 @@ def cat_agency(lake: Lake) -> DataFrame:
     """
     own = Window.partitionBy("org")
     place = F.row_number().over(own.orderBy(F.desc("n"), "source_code"))
-    ranked = _agencies(lake).withColumns({"place": place, "total": F.sum("n").over(own)})
-    best = F.min("place").over(Window.partitionBy("source_code"))
-    picked = ranked.withColumn("best", best).where(F.col("best") <= lake.params.agencies_per_org)
-    counts = picked.select("org", F.col("source_code").alias("category"), "n", "total")
-    return matrix_of_cells(counts, lake.params.threshold)
+    top = _agencies(lake).withColumn("place", place).where(F.col("place") <= lake.params.agencies_per_org)
+    named = _agencies(lake).withColumn("total", F.sum("n").over(own)).join(top.select("source_code").distinct(), "source_code", "left_semi")
+    return matrix_of_cells(named.select("org", F.col("source_code").alias("category"), "n", "total"), lake.params.threshold)
 
 
 def cat_flow(lake: Lake) -> DataFrame:
@@ -199,11 +220,11 @@ def cat_flow(lake: Lake) -> DataFrame:
     Holder by credited member, square over every org in the map or in the lake, the
     diagonal included. No totals: the categories exhaust them.
     """
-    listed = F.when(F.col("facet").isin("member", "held"), F.col("org"))
-    members = F.array_sort(F.collect_set(listed).over(Window.partitionBy()))
-    rows = cells(lake).withColumn("axis", members).where("facet = 'agency' AND source_org IS NOT NULL")
-    counts = rows.groupBy("org", F.col("source_org").alias("category")).agg(F.sum("n").alias("n"), F.first("axis").alias("axis"))
-    return without_totals(matrix_of_cells(counts, lake.params.threshold, axis=F.col("axis")))
+    listed = cells(lake).where(F.col("facet").isin("member", "held"))
+    axis = listed.agg(F.array_sort(F.collect_set("org"))).scalar()
+    credited = _facet(lake, "agency").where("source_org IS NOT NULL")
+    counts = credited.groupBy("org", F.col("source_org").alias("category")).agg(F.sum("n").alias("n"))
+    return without_totals(matrix_of_cells(counts, lake.params.threshold, axis=axis))
 
 
 def flow_off_diagonal(lake: Lake) -> DataFrame:

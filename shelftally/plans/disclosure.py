@@ -117,7 +117,7 @@ def published(lake: Lake) -> DataFrame:
             whole = F.lit(True) if margin.longest_axis is None else shown < margin.longest_axis
             rows = rows.select(F.lit(report).alias("report"), "org", F.col("category").cast("string").alias("category"), "n", "total", whole.alias("whole"))
             out = rows if out is None else out.unionAll(rows)
-        return cut(out)
+        return out
 
     return lake.keep("published_cells", build)
 

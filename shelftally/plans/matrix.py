@@ -80,26 +80,22 @@ def matrix(
 
 def matrix_of_cells(counts: DataFrame, threshold: int, *, axis: Column | None = None) -> DataFrame:
     """
-    The same shape from counts that lie in one partition, ``(org, category, n)`` with or
-    without ``total``: an org's cells become a map and the axis an array beside it, so one
-    explode makes the grid. ``axis`` is an array of categories, the same in every row;
-    without it, categories by total, largest first, ties by code.
+    The same shape from held counts, ``(org, category, n)`` with or without ``total``: an
+    org's cells become a map, and one explode of the axis makes the grid. ``axis`` is an array
+    of categories; without it, categories by total, largest first, ties by code. Axes are
+    published, and so short enough to travel as one value.
     """
-    everywhere = Window.partitionBy()
     if "total" not in counts.columns:
         counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("org")))
     if axis is None:
-        sized = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("category")))
-        ranks = F.array_sort(F.collect_set(F.struct(-F.col("_all"), F.col("category"))).over(everywhere))
-        counts = sized.withColumn("_axis", F.transform(ranks, lambda r: r["category"]))
-    else:
-        counts = counts.withColumn("_axis", axis)
+        sized = counts.groupBy("category").agg(F.sum("n").alias("all"))
+        ranks = F.array_sort(F.collect_list(F.struct(-F.col("all"), F.col("category"))))
+        axis = sized.agg(F.transform(ranks, lambda r: r["category"])).scalar()
     by_org = counts.groupBy("org").agg(
         F.first("total").cast("long").alias("total"),
-        F.first("_axis").alias("_axis"),
         F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("_cells"),
     )
-    cells = by_org.select("org", "total", "_cells", F.posexplode("_axis").alias("_place", "category"))
+    cells = by_org.withColumn("_axis", axis).select("org", "total", "_cells", F.posexplode("_axis").alias("_place", "category"))
     shown = F.expr(exprs.published("n", threshold))
     return (
         cells.withColumn("n", F.coalesce(F.col("_cells")[F.col("category")], F.lit(0)))
