@@ -28,9 +28,9 @@ from shelftally.operators import (
     records,
     serials,
 )
-from shelftally.plans import derive, disclosure, matrix, suppress
+from shelftally.plans import artifacts, derive, disclosure, matrix, refresh, suppress
 from shelftally.plans.artifacts import snapshot_diff
-from shelftally.sources import code_map
+from shelftally.sources import bucketed, code_map
 from shelftally.sources.derived import derived_lake
 from shelftally.sources.lake import Lake, shared_folder
 
@@ -48,6 +48,8 @@ else:
         LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 _lakes: dict[tuple[str, str], Lake] = {}
+# the same lakes in other layouts, by the lake and the layout
+_others: dict[tuple[Lake, str], Lake] = {}
 
 
 def _lake(spark: SparkSession, sf_dir: str) -> Lake:
@@ -117,22 +119,40 @@ def _top_hosts(lake: Lake) -> DataFrame:
     )
 
 
-def _diff(lake: Lake) -> DataFrame:
-    """One report of the lake and of the lake before a correction of first years."""
+def _scratch(lake: Lake, name: str) -> str:
+    """A new folder that every executor reaches, deleted when the lake is released."""
+    folder = f"{shared_folder(lake.spark) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    lake.own(folder)
+    return folder
+
+
+def _versions(lake: Lake) -> tuple[DataFrame, DataFrame]:
+    """One report of the lake before and after a correction of first years."""
     misread = F.expr("tag = '008' AND substring(value, 36, 3) = 'fre' AND substring(value, 8, 2) = '19'")
     earlier = F.expr("concat(substring(value, 1, 7), '18', substring(value, 10))")
     records = lake.records.withColumn("value", F.when(misread, earlier).otherwise(F.col("value")))
     before = Lake(lake.spark, records, lake.record_meta, lake.code_map, params=lake.params)
-    return snapshot_diff(
+    return (
         serials.serials_start_decade(before).withColumn("generated_at", F.lit("earlier")),
         serials.serials_start_decade(lake).withColumn("generated_at", F.lit("later")),
     )
 
 
+def _diff(lake: Lake) -> DataFrame:
+    return snapshot_diff(*_versions(lake))
+
+
+def _diff_by_digests(lake: Lake) -> DataFrame:
+    """The same difference between two stored versions, of which only unequal buckets are read."""
+    folders = [_scratch(lake, "snapshot") for _ in range(2)]
+    for version, folder in zip(_versions(lake), folders, strict=True):
+        artifacts.write_snapshot(version, folder, buckets=64)
+    return artifacts.diff_snapshots(lake.spark, *folders)
+
+
 def _code_map_read(lake: Lake) -> DataFrame:
     """The map written as the CSV that people edit, and read back with its checks."""
-    folder = f"{shared_folder(lake.spark) or tempfile.mkdtemp()}/code-map-{uuid.uuid4().hex}"
-    lake.own(folder)
+    folder = _scratch(lake, "code-map")
     marc = F.when(F.col("is_marc"), F.col("code"))
     oclc = F.when(~F.col("is_marc"), F.concat(F.lit(" "), F.lower("code"), F.lit("\u00a0")))
     rows = lake.code_map.repartition(1).sortWithinPartitions("seq", "code", "org")
@@ -143,6 +163,86 @@ def _code_map_read(lake: Lake) -> DataFrame:
         return code_map.read_code_map(lake.spark, folder)
 
 
+def _artifact_read(lake: Lake) -> DataFrame:
+    """An artifact as it is published, read back with its stamp."""
+    out = _scratch(lake, "artifacts")
+    chosen = [a for a in artifacts.ARTIFACTS if a.name == "uniqueness"]
+    artifacts.write_artifacts(lake, out, generated_at="2026-08-22", artifacts=chosen)
+    return lake.spark.read.json(f"{out}/uniqueness/per_org", schema="org string, unique_titles long, generated_at string")
+
+
+def _reading_order(lake: Lake) -> DataFrame:
+    """The lines of a published file in their order."""
+    out = _scratch(lake, "artifacts")
+    chosen = [a for a in artifacts.ARTIFACTS if a.name == "uniqueness"]
+    artifacts.write_artifacts(lake, out, generated_at="2026-08-22", artifacts=chosen)
+    lines = lake.spark.read.text(f"{out}/uniqueness/per_org").coalesce(1)  # it is one file
+    row = F.from_json("value", "org string, unique_titles long")
+    return lines.select((F.monotonically_increasing_id() + 1).alias("line"), row.alias("r")).select("line", "r.*")
+
+
+def _published_sql(lake: Lake) -> DataFrame:
+    """The statements that an artifact publishes, run as they stand on tables of the names they use."""
+    listing = artifacts.manifest(lake, "2026-08-22", [a for a in artifacts.ARTIFACTS if a.name == "overlap_histogram"])
+    texts = [step["sql"] for step in listing.first()["sql"]]
+    before = {t.name for t in lake.spark.catalog.listTables() if t.isTemporary}
+    lake.records.createOrReplaceTempView("records")
+    lake.record_meta.createOrReplaceTempView("record_meta")
+    try:
+        for text in texts:
+            result = lake.spark.sql(text)
+        return result
+    finally:
+        for t in lake.spark.catalog.listTables():
+            if t.isTemporary and t.name not in before:
+                lake.spark.catalog.dropTempView(t.name)
+
+
+def _probe_read(lake: Lake) -> DataFrame:
+    """The probe as the CSV that people read, read back."""
+    out = _scratch(lake, "probe")
+    artifacts.write_probe(lake, out)
+    return lake.spark.read.csv(out, header=True, schema=probe.code_probe(lake).schema)
+
+
+def _bucketed(report: Callable[[Lake], DataFrame]) -> Callable[[Lake], DataFrame]:
+    """A report over the lake written in buckets by record and declared again."""
+
+    def run(lake: Lake) -> DataFrame:
+        key = (lake, "bucketed")
+        if key not in _others:
+            out = _scratch(lake, "bucketed")
+            bucketed.write_bucketed(lake, out, buckets=8)
+            _others[key] = bucketed.bucketed_lake(lake.spark, out, lake.params)
+        return report(_others[key])
+
+    return run
+
+
+def _refreshed(report: Callable[[Lake], DataFrame]) -> Callable[[Lake], DataFrame]:
+    """A report from stored roll-ups that were built before two orgs changed, and then refreshed."""
+
+    def run(lake: Lake) -> DataFrame:
+        key = (lake, "refreshed")
+        if key not in _others:
+            changed = F.col("org").isin("nation_3", "nation_11")
+            # then they had fewer records, some under other titles, and two of one title more
+            gone = changed & (F.expr("abs(hash(record_id)) % 3") == 0)
+            renamed = F.when(changed & (F.expr("abs(hash(record_id)) % 5") == 1), F.concat("title_key", F.lit("-old"))).otherwise(F.col("title_key"))
+            meta = lake.record_meta.where(~gone | F.col("record_id").isNull()).withColumn("title_key", renamed)
+            records = lake.records.where(~gone | F.col("record_id").isNull())
+            dates = lake.roster.select("org", F.lit("2026-01-01").cast("timestamp").alias("last_modified"))
+            later = dates.withColumn("last_modified", F.when(changed, F.lit("2026-02-01").cast("timestamp")).otherwise(F.col("last_modified")))
+            store = refresh.RollupStore(lake.spark, _scratch(lake, "rollups"))
+            store.refresh(Lake(lake.spark, records, meta, lake.code_map, dates, lake.params))
+            now = Lake(lake.spark, lake.records, lake.record_meta, lake.code_map, later, lake.params)
+            store.refresh(now)
+            _others[key] = store.serve(now)
+        return report(_others[key])
+
+    return run
+
+
 def _names(counts: DataFrame, name: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return name(counts.select("category").distinct()).select("category", "label")
 
@@ -256,6 +356,19 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "protected_cells": disclosure.protected_cells,
     "disclosure_audit": disclosure.disclosure_audit,
     "snapshot_diff": _diff,
+    "snapshot_diff_by_digests": _diff_by_digests,
+    # what is published, read back
+    "artifact_read": _artifact_read,
+    "reading_order": _reading_order,
+    "published_sql": _published_sql,
+    "probe_read": _probe_read,
+    # other layouts of the same lake
+    "bucketed_coverage": _bucketed(coverage.coverage),
+    "bucketed_cat_mix": _bucketed(provenance.cat_mix),
+    "bucketed_record_text": _bucketed(lambda lake: records.to_text(records.reconstitute(lake))),
+    "refreshed_histogram": _refreshed(overlap.overlap_histogram),
+    "refreshed_cat_mix": _refreshed(provenance.cat_mix),
+    "refreshed_channels": _refreshed(channels.channel_coverage),
     "labelled_matrix": lambda lake: _names(
         comparison.language_counts(lake), lambda df: labels.label(df, "category", labels.LANGUAGE)
     ),

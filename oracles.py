@@ -404,11 +404,29 @@ FROM z GROUP BY report""",
     }
 
 
+# Queries that come to the result of another by other ways.
+AGAIN = {
+    "snapshot_diff_by_digests": "snapshot_diff",
+    "published_sql": "overlap_histogram",
+    "probe_read": "code_probe",
+    "bucketed_coverage": "coverage",
+    "bucketed_cat_mix": "cat_mix",
+    "bucketed_record_text": "record_nested_text",
+    "refreshed_histogram": "overlap_histogram",
+    "refreshed_cat_mix": "cat_mix",
+    "refreshed_channels": "channel_coverage",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """Every text; those of labelled reports name the categories of the report's own text."""
     texts = reports()
     for name, (report, column, names) in LABELLED.items():
         texts[name] = named(f"SELECT {column} AS category FROM ({texts[report]})", "category", names, False)
+    for name, report in AGAIN.items():
+        texts[name] = texts[report]
+    texts["artifact_read"] = f"SELECT *, '2026-08-22' AS generated_at FROM ({texts['uniqueness']})"
+    texts["reading_order"] = f"SELECT row_number() OVER (ORDER BY unique_titles DESC, org) AS line, * FROM ({texts['uniqueness']})"
     return texts | disclosure(texts)
 
 

@@ -75,10 +75,10 @@ def field_pivot(lake: Lake, fields: dict[str, tuple[str, str]]) -> DataFrame:
     so rows are dealt and led by a hash of the record, as above: one exchange, one sort.
     """
     tags = sorted({tag for tag, _ in fields.values()})
+    rows = lake.records.where(F.col("tag").isin(tags) & F.col("org").isNotNull() & F.col("record_id").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("org", "record_id"))
     return (
-        lake.records.where(F.col("tag").isin(tags) & F.col("org").isNotNull() & F.col("record_id").isNotNull())
-        .withColumn("h", F.xxhash64("org", "record_id"))
-        .repartition("h")
+        (rows if lake.by_record else rows.repartition("h"))
         .groupBy("h", "org", "record_id")
         .agg(
             *[

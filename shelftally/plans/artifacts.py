@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -384,11 +384,67 @@ def snapshot_diff(old: DataFrame, new: DataFrame, audit=("generated_at",)) -> Da
     return moved.withColumn("_copy", copies).select(change.alias("change"), *keys)
 
 
+# --- snapshots compared by digests ---------------------------------------------
+
+#: Buckets that share one digest of the upper level.
+FAN_OUT = 64
+
+
+def write_snapshot(df: DataFrame, path: str, *, buckets: int = 256, audit=("generated_at",)) -> None:
+    """
+    Store a version of a table in folders by bucket of its rows' hash, beside a digest of each
+    bucket: how many rows, and sums of two hashes of them, which do not depend on their order.
+    """
+    keys = sorted(c for c in df.columns if c not in audit)
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in keys)) if keys else F.lit(0).cast("long")
+    dealt = df.withColumn("_bucket", F.pmod(row, F.lit(buckets)).cast("int"))
+    dealt.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    hashes = [F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in keys)) for seed in (1, 2)]
+    # halves of hashes are summed, since sums of whole ones overflow
+    halves = [half for h in hashes for half in (F.pmod(h, F.lit(1 << 32)), F.shiftrightunsigned(h, 32))]
+    sums = [F.sum(half).alias(f"sum_{i}") for i, half in enumerate(halves)]
+    stored.groupBy("_bucket").agg(F.count("*").alias("rows"), *sums).coalesce(1).write.parquet(f"{path}/digests")
+
+
+def _above(leaves: DataFrame) -> DataFrame:
+    """The digests of groups of buckets."""
+    together = F.xxhash64(F.array_sort(F.collect_list(F.struct(*sorted(leaves.columns)))).cast("string"))
+    return leaves.groupBy(F.floor(F.col("_bucket") / FAN_OUT).alias("_bucket")).agg(together.alias("digest"))
+
+
+def unequal_buckets(spark: SparkSession, old: str, new: str) -> list[int]:
+    """Buckets whose rows differ between two snapshots, from their digests alone: groups first, then those below."""
+    before, after = (spark.read.parquet(f"{path}/digests") for path in (old, new))
+
+    def differing(left: DataFrame, right: DataFrame) -> list[int]:
+        signed = left.unionAll(right)
+        columns = signed.columns
+        odd = signed.groupBy(*columns).count().where("count = 1").select("_bucket").distinct()
+        return sorted(r["_bucket"] for r in odd.collect())
+
+    groups = differing(_above(before), _above(after))
+    if not groups:
+        return []
+    below = F.floor(F.col("_bucket") / FAN_OUT).isin(groups)
+    return differing(before.where(below), after.where(below))
+
+
+def diff_snapshots(spark: SparkSession, old: str, new: str, audit=("generated_at",)) -> DataFrame:
+    """``snapshot_diff`` of two stored versions with the same number of buckets: only buckets that differ are read."""
+    odd = unequal_buckets(spark, old, new)
+    before, after = (spark.read.parquet(f"{path}/rows").where(F.col("_bucket").isin(odd)).drop("_bucket") for path in (old, new))
+    return snapshot_diff(before, after, audit)
+
+
 __all__ = [
     "ARTIFACTS",
     "Artifact",
     "manifest",
+    "diff_snapshots",
     "snapshot_diff",
+    "unequal_buckets",
     "write_artifacts",
     "write_probe",
+    "write_snapshot",
 ]

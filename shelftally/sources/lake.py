@@ -34,6 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# In a query: rows are dealt by a hash of the record, which a lake bucketed by record makes needless.
+DEAL = "/*+ REPARTITION(h) */ "
+
 # One row per org, so the single ordered partition of the numbering stays small.
 ROSTER_SQL = """\
 SELECT org, row_number() OVER (ORDER BY org) - 1 AS position
@@ -54,8 +57,14 @@ class Lake:
         code_map: DataFrame | None = None,
         harvest_state: DataFrame | None = None,
         params: Params | None = None,
+        *,
+        by_record: bool = False,
     ):
         self.spark = spark
+        #: The rows of a record lie in one bucket of the tables, and need not be dealt by record.
+        self.by_record = by_record
+        #: Names of tables that stand for the lake's files, dropped on release.
+        self.declared: list[str] = []
         self.params = params or Params()
         self.records = schema.conform(records, schema.RECORDS, "records")
         self.record_meta = schema.conform(record_meta, schema.RECORD_META, "record_meta")
@@ -134,6 +143,8 @@ class Lake:
 
     def sql(self, text: str, **extra: DataFrame) -> DataFrame:
         """Run Spark SQL over ``records``, ``record_meta``, ``code_map`` and ``extra``."""
+        if self.by_record:
+            text = text.replace(DEAL, "")
         tables = {"records": self.records, "record_meta": self.record_meta}
         if self.code_map is not None:
             tables["code_map"] = self.code_map
@@ -149,10 +160,13 @@ class Lake:
             return self._locks.setdefault(name, RLock())
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Build a roll-up once and hold it for every operator that reads it."""
+        """
+        Build a roll-up once and hold it for every operator that reads it. It is cut off from
+        what made it, so that the plans of its readers stay as small as it is.
+        """
         with self._lock(name):
             if name not in self._kept:
-                self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
+                self._kept[name] = cut(build()).persist(StorageLevel.MEMORY_AND_DISK)
             return self._kept[name]
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -192,6 +206,24 @@ class Lake:
                 df.count()
             return df
 
+    def adopt(self, name: str, df: DataFrame) -> None:
+        """Take a roll-up that was built elsewhere in place of building it."""
+        with self._lock(name):
+            self._kept[name] = df
+
+    def only(self, orgs) -> "Lake":
+        """The lake of some orgs: a filter that reaches folders by org."""
+        mine = F.col("org").isin(list(orgs))
+        return Lake(
+            self.spark,
+            self.records.where(mine),
+            self.record_meta.where(mine),
+            self.code_map,
+            self.harvest_state,
+            self.params,
+            by_record=self.by_record,
+        )
+
     def own(self, folder: str) -> None:
         """Delete a folder when the lake is released."""
         self._written.append(folder)
@@ -206,6 +238,8 @@ class Lake:
         while self._written:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._written.pop())
             path.getFileSystem(hadoop).delete(path, True)
+        while self.declared:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.declared.pop()}")
         self.checked.clear()
         self.__dict__.pop("org_count", None)
 

@@ -1,0 +1,214 @@
+"""Lakes bucketed by record, look-ups in them, and roll-ups refreshed by org."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelftally import Lake, schema
+from shelftally.operators import channels, comparison, coverage, overlap, provenance, records, serials
+from shelftally.plans import refresh
+from shelftally.plans.refresh import RollupStore
+from shelftally.sources.bucketed import bucketed_lake, write_bucketed
+from shelftally.sources.derived import derived_lake
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    return derived_lake(spark, SF)
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, plain, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("bucketed"))
+    write_bucketed(plain, out, buckets=4, row_group_bytes=64 << 10)
+    lake = bucketed_lake(spark, out)
+    yield lake
+    lake.release()
+
+
+BY_RECORD = {
+    "S1": lambda lake: lake.record_meta.join(lake.records.where("tag = '245'"), ["org", "record_id"]),
+    "J2": lambda lake: lake.sql(f"SELECT count(*) AS n FROM records LEFT SEMI JOIN ({serials.SUBSET_SQL}) USING (org, record_id) WHERE tag = '785'"),
+    "A19": lambda lake: lake.sql(coverage.coverage_sql()),
+    "A21": lambda lake: lake.sql(provenance.counts_sql(lake.params, lake.by_record)),
+    "A30": lambda lake: lake.sql(channels.PATTERNS_SQL),
+    "A36": lambda lake: lake.sql(comparison.lc_class_sql()),
+    "N1": records.reconstitute,
+}
+
+
+@pytest.fixture
+def large(spark):
+    """Sessions as for large lakes: no side of a join by record is broadcast, and buckets by record do for it."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+@pytest.mark.usefixtures("large")
+@pytest.mark.parametrize("name", BY_RECORD)
+def test_work_on_records_shuffles_no_record(spark, plain, bucketed, name):
+    """Joins and groupings by record read buckets; what is shuffled after them are counts by org."""
+    text = plan(BY_RECORD[name](bucketed))
+    assert "Bucketed: true" in text
+    keyed = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and ("record_id" in line or "(h#" in line)]
+    assert not keyed, keyed
+    assert rows(BY_RECORD[name](bucketed)) == rows(BY_RECORD[name](plain))
+
+
+def test_reports_agree(spark, plain, bucketed):
+    for report in (coverage.coverage, provenance.cat_mix, channels.channel_namespace, comparison.lc_class_serial, overlap.overlap_histogram):
+        assert rows(report(bucketed)) == rows(report(plain))
+
+
+def test_a_look_up_reads_one_bucket_of_one_org(spark, plain, bucketed):
+    org, record = plain.record_meta.where("org = 'nation_3'").select("org", "record_id").first()
+    found = records.reconstitute(bucketed, org=org, record_id=record)
+    text = plan(found)
+    assert "SelectedBucketsCount: 1 out of 4" in text and "PartitionFilters: [isnotnull(org" in text
+    assert f"EqualTo(record_id,{record})" in text
+    assert rows(found) == rows(records.reconstitute(plain, org=org, record_id=record))
+
+
+def test_row_groups_have_ranges_and_filters_by_record(spark, bucketed):
+    import pyarrow.parquet as pq
+
+    files = [f.replace("file://", "").replace("file:", "") for f in bucketed.records.where("org = 'nation_3'").inputFiles() if "org=nation_3" in f]
+    assert files
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        column = meta.schema.to_arrow_schema().get_field_index("record_id")
+        for i in range(meta.num_row_groups):
+            found = meta.row_group(i).column(column).statistics
+            assert found.has_min_max or not found.num_values
+        # within a tag, records are in order, so a row group spans few of them
+        table = pq.read_table(file, columns=["tag", "record_id"]).to_pylist()
+        keys = [(r["tag"], r["record_id"] or "") for r in table]
+        assert keys == sorted(keys)
+
+
+# --- refresh -----------------------------------------------------------------
+
+
+def day(n):
+    return dt.datetime(2026, 1, n)
+
+
+class Consortium:
+    """Records by org, and when each org last changed."""
+
+    def __init__(self, spark, code_map):
+        self.spark, self.code_map = spark, code_map
+        self.orgs = {}
+
+    def put(self, org, changed, titles, agency="DLC"):
+        self.orgs[org] = (changed, titles, agency)
+
+    def lake(self):
+        meta, fields = [], []
+        for org, (_, titles, agency) in self.orgs.items():
+            for i, title in enumerate(titles):
+                meta.append((org, f"{org}:{i}", title))
+                fields.append((org, f"{org}:{i}", "040", 1, " ", " ", "a", 0, agency))
+                fields.append((org, f"{org}:{i}", "035", 2, " ", " ", "a", 0, f"(OCoLC){i}"))
+                fields.append((org, f"{org}:{i}", "008", 3, None, None, None, None, f"260101s{1900 + i}    cau{'':17}eng  "))
+        dates = [(org, changed) for org, (changed, *_) in self.orgs.items()]
+        make = self.spark.createDataFrame
+        return Lake(
+            self.spark, make(fields, schema.RECORDS), make(meta, schema.RECORD_META), make(self.code_map, schema.CODE_MAP),
+            make(dates, schema.HARVEST_STATE),
+        )
+
+
+REPORTS = (overlap.overlap_histogram, overlap.holding_patterns, overlap.corpus_totals, provenance.cat_mix, channels.channel_counts, comparison.lang_matrix)
+
+
+def agree(store, consortium):
+    served = store.serve(consortium.lake())
+    whole = consortium.lake()
+    for report in REPORTS:
+        assert rows(report(served)) == rows(report(whole)), report.__name__
+
+
+def test_refresh_equals_a_rebuild(spark, tmp_path):
+    code_map = [(o, o.upper(), True, None, i) for i, o in enumerate(("a", "b", "c", "d", "007"))]
+    world = Consortium(spark, code_map)
+    world.put("a", day(1), ["t1", "t2", "t2", None, "t3"])
+    world.put("b", day(1), ["t2", "t3"], agency="A")
+    world.put("c", day(1), ["t4", None])
+    store = RollupStore(spark, str(tmp_path / "store"))
+    assert store.refresh(world.lake()) == refresh.Changes(("a", "b", "c"), (), True)
+    agree(store, world)
+    assert not store.refresh(world.lake())
+    # a loses titles and wins one, keeps another with fewer records, and is described anew
+    world.put("a", day(2), ["t2", None, None, "t5"], agency="B")
+    assert store.refresh(world.lake()) == refresh.Changes(("a",), (), False)
+    agree(store, world)
+    # an org without a title left, then one that comes, with a name that looks like a number, and one that goes
+    world.put("c", day(3), [None])
+    store.refresh(world.lake())
+    agree(store, world)
+    world.put("007", day(4), ["t1", "t5"])
+    del world.orgs["b"]
+    assert store.refresh(world.lake()) == refresh.Changes(("007",), ("b",), True)
+    agree(store, world)
+
+
+def test_a_refresh_reads_the_folder_of_the_changed_org(spark, plain, bucketed, tmp_path, monkeypatch):
+    dates = plain.roster.select("org", F.lit(day(1)).alias("last_modified"))
+    store = RollupStore(spark, str(tmp_path / "store"))
+
+    def lake(dates):
+        return Lake(spark, bucketed.records, bucketed.record_meta, bucketed.code_map, dates, by_record=True)
+
+    store.refresh(lake(dates))
+    later = dates.withColumn("last_modified", F.when(F.col("org") == "nation_3", F.lit(day(2))).otherwise(F.col("last_modified")))
+    read = []
+    write = RollupStore._replace
+
+    def seen(self, name, orgs, df):
+        read.append(plan(df))
+        write(self, name, orgs, df)
+
+    monkeypatch.setattr(RollupStore, "_replace", seen)
+    assert store.refresh(lake(later)).fresh == ("nation_3",)
+    assert len(read) == len(refresh.BY_ORG) + 1
+    for text in read:
+        scans = [line for line in text.splitlines() if "FileScan" in line]
+        assert scans and all("nation_3" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in scans)
+
+
+def test_a_refresh_that_failed_is_done_again(spark, tmp_path, monkeypatch):
+    world = Consortium(spark, [("a", "A", True, None, 0), ("b", "B", True, None, 1)])
+    world.put("a", day(1), ["t1", "t2"])
+    world.put("b", day(1), ["t2"])
+    store = RollupStore(spark, str(tmp_path / "store"))
+    store.refresh(world.lake())
+    world.put("a", day(2), ["t2", "t3"])
+    with monkeypatch.context() as m:
+        m.setattr(refresh, "_retracted", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.refresh(world.lake())
+    assert store.changes(world.lake()).fresh == ("a",)
+    store.refresh(world.lake())
+    agree(store, world)
+
+
+def test_a_refresh_needs_dates(spark, plain, tmp_path):
+    with pytest.raises(ValueError, match="sync dates"):
+        RollupStore(spark, str(tmp_path)).refresh(Lake(spark, plain.records, plain.record_meta))
