@@ -11,7 +11,7 @@ long as prose stands beside.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
 from html import unescape
 
 import pyarrow as pa
@@ -50,8 +50,25 @@ NAMES_OUT = frozenset(
     " disqus dropdown footer login menu modal nav navbar navigation newsletter pagination pager popup promo promotion"
     " related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Compound words that do so too: what holds comments or adverts, and what an advert service names.
+NAMES_OUT_LIKE = re.compile(
+    r"(comment|reply|response|discussion|disqus)s?(area|body|box|container|form|item|list|section|stream|thread|tree|wrap|wrapper)"
+    r"|ad(s|vert)?(bar|block|box|container|frame|holder|panel|rail|slot|space|tag|unit|wrap|wrapper|zone|s?by[a-z]+|sense)"
+    r"|(cookie|consent|newsletter|promo|related|share|social|sponsor|subscribe)(bar|bars|block|box|buttons|form|links|list|posts|wrap|wrapper)"
+)
 #: Words that do so unless a word for content stands beside them.
-NAMES_DOUBTFUL = frozenset("alert header masthead notice notices notification overlay warning".split())
+NAMES_DOUBTFUL = frozenset(
+    "alert discussion header masthead notice notices notification overlay reactions responses warning".split()
+)
+#: A heading that names the comments of readers.
+COMMENTS = re.compile(
+    r"\W*(\d+\s+|(all|reader|readers|user|latest|recent)\W*\s+)*(comments?|replies)(\s*\W?\d+\W?)?\W*"
+    r"|\W*(leave|post|write|add) an? (comment|reply)\W*|\W*join the (conversation|discussion)\W*", re.I
+)
+#: A list or box in the article of so many links, which are nearly all its text, leads to other pages.
+LEAST_LINKS = 3
+LINK_SHARE = 0.8
+BOXES = frozenset("ul ol dl div section table aside".split())
 NAMES_CONTENT = frozenset("article blog body content entry main page post story text".split())
 #: A class that begins so tells what a page has or is filed under, not what the element is.
 NAMES_ABOUT = frozenset("category has no tag with without".split())
@@ -89,24 +106,72 @@ def _left_out(name: str, rest: str) -> int:
     names = [w for w in map(_WORD.findall, given.split("\n")) if w and not (w[0] in NAMES_ABOUT and len(w) > 1)]
     words = {w for name in names for w in name}
     content = any(not NAMES_CONTENT.isdisjoint(name) and NAMES_OUT.isdisjoint(name) for name in names)
+    if not content and any(NAMES_OUT_LIKE.fullmatch("".join(name)) or any(map(NAMES_OUT_LIKE.fullmatch, name)) for name in names):
+        return _BY_NAME
     return _BY_NAME if words & NAMES_OUT and not content or words & NAMES_DOUBTFUL and not words & NAMES_CONTENT else 0
 
 
+class Open:
+    """The open elements, and at what depths those of each name are, so that none has to be looked for."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], ["#page"]
+        self.depths: dict[str, list[int]] = {}
+        self.block_depths = [0]
+
+    @property
+    def top(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, node: int, name: str) -> None:
+        depth = len(self.nodes)
+        self.depths.setdefault(name, []).append(depth)
+        if name in BLOCKS:
+            self.block_depths.append(depth)
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def pop_from(self, depth: int) -> list[int]:
+        gone = self.nodes[depth:]
+        for name in reversed(self.names[depth:]):
+            self.depths[name].pop()
+            if name in BLOCKS:
+                self.block_depths.pop()
+        del self.nodes[depth:], self.names[depth:]
+        return gone
+
+    def _deepest(self, names: Iterable[str]) -> int:
+        return max((d[-1] for n in names if (d := self.depths.get(n))), default=0)
+
+    def nearest(self, kinds: set[str], borders: Set[str]) -> int:
+        """The depth of the nearest open element of ``kinds`` if no border is nearer; else beyond all."""
+        kind = self._deepest(kinds)
+        border = self.block_depths[-1] if borders is BLOCKS else self._deepest(borders)
+        return kind if kind and kind >= border else len(self.nodes)
+
+    def to_close(self, name: str) -> int:
+        """The depth that an end tag closes from. One of an inline element does not reach out of its block."""
+        depth = self._deepest((name,))
+        within = name in BLOCKS or depth > self.block_depths[-1]
+        return depth if depth and within else len(self.nodes)
+
+
 class Page:
     """A tree as arrays by node, parents before children, and the texts in page order."""
 
     def __init__(self, html: str):
         self.names, self.parents, self.out = ["#page"], [0], [False]
-        self.blocks, self.links, self.why = [0], [False], [0]
+        self.blocks, self.links, self.why, self.inside = [0], [False], [0], [False]
         #: (node, text), or (node, None) where a block begins or ends.
         self.texts: list[tuple[int, str | None]] = []
+        self._endless: set[str] = set()
         self._read(html)
         self._settle()
 
     def _open(self, name: str, parent: int, rest: str) -> int:
         node = len(self.names)
-        inside_article = name == "header" and any(self.names[a] in ("article", "main") for a in self._ancestors(parent))
-        why = _BY_KIND if name == "header" and not inside_article else _left_out(name, rest)
+        self.inside.append(self.inside[parent] or name in ("article", "main"))
+        why = _BY_KIND if name == "header" and not self.inside[parent] else _left_out(name, rest)
         out = self.out[parent] or why == _BY_KIND
         self.why.append(why)
         self.names.append(name)
@@ -122,34 +187,48 @@ class Page:
             node = self.parents[node]
 
     def _read(self, html: str) -> None:
-        stack, at = [0], 0
-        for found in iter(lambda: _TOKEN.search(html, at), None):
+        """One pass over the tags. Where tags end is known beforehand, so no search runs on to the end in vain."""
+        stack, at = Open(), 0
+        last = html.rfind(">")
+        while at <= last or html.startswith("<!--", at):
+            found = _TOKEN.search(html, at)
+            if not found:
+                break
             if found.start() > at:
-                self.texts.append((stack[-1], html[at : found.start()]))
+                self.texts.append((stack.top, html[at : found.start()]))
             at = found.end()
             name = found["name"]
             if name is None:
                 continue
             name = name.lower()
             if found["close"]:
-                self._close(stack, name)
+                self._cut(stack, stack.to_close(name))
                 continue
             if name in BLOCKS:
-                self._imply(stack, {"p"}, set())
+                self._cut(stack, stack.nearest({"p"}, BLOCKS))
             if name in ENDS:
-                self._imply(stack, *ENDS[name])
-            node = self._open(name, stack[-1], found["rest"])
+                self._cut(stack, stack.nearest(*ENDS[name]))
+            node = self._open(name, stack.top, found["rest"])
             if name in BLOCKS:
                 self.texts.append((node, None))
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = self._end_of(name, html, at)
+                at = end
             elif name == "br":
                 self.texts.append((node, " "))
             elif name not in VOID and not found["rest"].endswith("/") or name in BLOCKS - VOID:
-                stack.append(node)
+                stack.push(node, name)
         if at < len(html):
-            self.texts.append((stack[-1], html[at:]))
+            self.texts.append((stack.top, html[at:]))
+
+    def _end_of(self, name: str, html: str, at: int) -> int:
+        """Where an element of raw text ends; an end that is not there is looked for once."""
+        if name in self._endless:
+            return len(html)
+        end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+        if not end:
+            self._endless.add(name)
+        return end.end() if end else len(html)
 
     def _settle(self) -> None:
         """Leave out what has a name for it, but for a container of most of the page's text.
@@ -172,30 +251,11 @@ class Page:
             named = self.why[node] == _BY_NAME and not (2 * prose[node] > prose[0] and head[node] or 10 * prose[node] > 9 * prose[0])
             self.out[node] = self.out[node] or self.out[self.parents[node]] or named
 
-    def _imply(self, stack: list[int], kinds: set[str], borders: set[str]) -> None:
-        """Close the nearest open element of ``kinds``; without borders, only across inline elements."""
-        for depth in range(len(stack) - 1, 0, -1):
-            name = self.names[stack[depth]]
-            if name in kinds:
-                self._cut(stack, depth)
-                return
-            if name in borders or (not borders and name in BLOCKS):
-                return
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            open_name = self.names[stack[depth]]
-            if open_name == name:
-                self._cut(stack, depth)
-                return
-            if name not in BLOCKS and open_name in BLOCKS:
-                return  # an inline end tag does not reach out of its block
-
-    def _cut(self, stack: list[int], depth: int) -> None:
-        for node in stack[depth:]:
+    def _cut(self, stack: Open, depth: int) -> None:
+        """Close the open elements from a depth on."""
+        for node in stack.pop_from(depth):
             if self.names[node] in BLOCKS:
                 self.texts.append((self.parents[node], None))
-        del stack[depth:]
 
     # -- scores -------------------------------------------------------------------------
 
@@ -236,9 +296,10 @@ class Page:
         chosen = {best}
         if best:
             self._beside(best, chosen, total, link_total, comma_total, max(1.0, 0.2 * score[best]), score)
+        apart = self._apart(chosen, total, link_total)
         kept = [not best] * n
         for i in range(1, n):
-            kept[i] = (i in chosen or kept[self.parents[i]]) and not self.out[i]
+            kept[i] = (i in chosen or kept[self.parents[i]]) and not self.out[i] and i not in apart
         header, heading = [False] * n, [False] * n
         for i in range(1, n):  # of a header inside an article only headings are its text
             header[i] = header[self.parents[i]] or self.names[i] == "header"
@@ -276,6 +337,34 @@ class Page:
                 return
             node = self.parents[node]
 
+    def _apart(self, chosen: set[int], total: list[int], links: list[int]) -> set[int]:
+        """Parts inside what was chosen that are no article: boxes of links with their heading, and comments below one that names them."""
+        n = len(self.names)
+        n_links, spoken = [0] * n, [""] * n
+        for i in range(n - 1, 0, -1):
+            n_links[i] += self.names[i] == "a"
+            n_links[self.parents[i]] += n_links[i]
+        for node, text in self.texts:
+            block = self.blocks[node]
+            if text is not None and self.names[block] in HEADINGS and len(spoken[block]) < 100:
+                spoken[block] += text
+        children: dict[int, list[int]] = {}
+        for i in range(1, n):
+            if total[i] and not self.out[i]:
+                children.setdefault(self.parents[i], []).append(i)
+        apart: set[int] = set()
+        for parent, mine in children.items():
+            for place, i in enumerate(mine):
+                before = mine[place - 1] if place else 0
+                if self.names[i] in BOXES and i not in chosen and n_links[i] >= LEAST_LINKS and links[i] >= LINK_SHARE * total[i]:
+                    apart.add(i)
+                    if self.names[before] in HEADINGS and self.names[before] != "h1":
+                        apart.add(before)
+                if self.names[i] in HEADINGS - {"h1"} and COMMENTS.fullmatch(spoken[i].strip()):
+                    # what follows it, or the whole box that it heads
+                    apart.update(mine[place:])
+        return apart
+
     def text(self) -> str:
         kept, blocks, line = self.kept(), [], []
 

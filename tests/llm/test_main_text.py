@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -90,3 +91,58 @@ def test_markup_that_is_not_well_formed():
     deep = "<div>" * 3000 + PROSE + "</div>" * 3000
     assert main_text(deep) == PROSE
     assert main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
+
+
+QUAY = "The harbour was empty, the boats had left before dawn, and nobody on the quay could say when they would be back. " * 3
+ARTICLE = f"<h1>Harbour</h1><p>{QUAY}</p><p>{QUAY}</p>"
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        "<ol class=commentlist><li>Ann: I was there, it was cold.<li>Bob: So was I, colder.</ol>",
+        "<section class=discussion><p>Ann, Monday: I was there, it was cold.</p><p>Bob: So was I.</p></section>",
+        "<section class=reactions><p>Ann, Monday: I was there, it was cold.</p></section>",
+        "<div><h2>12 Comments</h2><p>Ann, Monday: I was there, it was cold.</p><div><p>Bob: So was I, colder.</p></div></div>",
+        "<h3>Leave a comment</h3><p>Ann, Monday: I was there, it was cold.</p>",
+        "<ins class=adsbygoogle>Cheap boats, call now</ins>",
+        "<div class=adbox><p>Cheap boats, call now</p></div>",
+        "<div class='ad-slot'><p>Cheap boats, call now</p></div>",
+        "<h2>More stories</h2><ul><li><a href=a>One more story</a><li><a href=b>Another story</a><li><a href=c>A third story</a></ul>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<body><article>{}</article></body>", "<main><article>{}</article></main>", "<div class=content>{}</div>"])
+def test_comments_adverts_and_link_lists_inside_an_article(page, extra):
+    want = "\n".join(["Harbour", QUAY.strip(), QUAY.strip()])
+    assert main_text(page.format(ARTICLE + extra)) == want
+
+
+def test_link_list_beside_the_article():
+    more = "<section><h2>More stories</h2><ul>" + "".join(f"<li><a href={i}>Story number {i}</a>" for i in range(6)) + "</ul></section>"
+    assert main_text(f"<main><article>{ARTICLE}</article>{more}</main>") == main_text(f"<main><article>{ARTICLE}</article></main>")
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<h2>Discussion</h2><p>Our results differ, by little.</p>", "<p class=commentary>He said so, twice.</p>", "<ul><li>Rope<li>Anchor, <a href=x>see</a></ul>",
+     "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", "<div class=address><p>Quay 7, Harbour</p></div>"],
+)
+def test_parts_that_only_look_like_them_stay(part):
+    text = main_text(f"<article>{ARTICLE}{part}</article>")
+    assert text.count("\n") > 2 and len(text) > len(main_text(f"<article>{ARTICLE}</article>"))
+
+
+HOSTILE = {
+    "open tags": "<a " * 300_000, "quotes": '<a b="' * 150_000, "inline": "<b>" * 150_000 + "</i>" * 120_000,
+    "headers": "<div><header>" * 60_000, "items": "<div>" * 90_000 + "<li></li>" * 60_000, "comments": "<!--" * 250_000,
+    "declarations": "<!" * 500_000, "scripts": "<script>" * 120_000, "lists": "<li><ul>" * 90_000 + "<li></li>" * 20_000,
+    "paragraphs": "<p>x" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_megabytes_of_broken_markup_take_seconds(name):
+    start = time.perf_counter()
+    main_text(HOSTILE[name])
+    main_text(f"<article>{ARTICLE}</article>{HOSTILE[name]}")
+    assert time.perf_counter() - start < 60
