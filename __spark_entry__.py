@@ -21,6 +21,7 @@ from shelftally.operators import (
     channels,
     comparison,
     coverage,
+    cubes,
     links,
     overlap,
     probe,
@@ -68,11 +69,14 @@ def entry(spark: SparkSession) -> DataFrame:
 GROUP = ["nation_1", "nation_2", "nation_3"]
 
 
-def _masks(lake: Lake, **options) -> DataFrame:
-    rows = overlap.holding_patterns(lake, **options)
+def _spelled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("holders", F.array_join("holders", ","))
 
 
+def _masks(lake: Lake, **options) -> DataFrame:
+    return _spelled(overlap.holding_patterns(lake, **options))
+
+
 def _nation(lake: Lake, sf_dir: str) -> DataFrame:
     return lake.spark.read.parquet(f"{sf_dir}/nation.parquet")
 
@@ -283,6 +287,10 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "closest_shared": lambda lake: overlap.closest_pairs(lake, "shared"),
     "similarity_matrix": overlap.similarity_matrix,
     "containment_matrix": lambda lake: overlap.similarity_matrix(lake, "containment"),
+    # holding patterns by attributes of the titles
+    "pattern_cube": lambda lake: _spelled(cubes.pattern_cube(lake)),
+    "pattern_cube_folded": lambda lake: _spelled(cubes.pattern_cube_folded(lake)),
+    "group_unique_decades": lambda lake: cubes.group_unique_by(lake, GROUP, "decade"),
     # dates
     "publication_decade": comparison.publication_decade,
     "numeric_decades": comparison.numeric_decades,

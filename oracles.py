@@ -361,6 +361,50 @@ LABELLED = {
 }
 
 
+# Per title its holders, and of each attribute the value that most of its records give, the least of equal ones.
+ELECTED = ",\n".join(
+    f"""{a}_votes AS (
+  SELECT title_key, {a}, row_number() OVER (PARTITION BY title_key ORDER BY count(*) DESC, {a}) AS place
+  FROM described WHERE {a} IS NOT NULL GROUP BY title_key, {a})"""
+    for a in ("decade", "language", "format")
+)
+FACETS = f"""\
+first_008 AS (
+  SELECT org, record_id, arg_min(value, coalesce(field_seq, 2147483647)) AS value FROM records WHERE tag = '008' AND record_id IS NOT NULL GROUP BY ALL),
+first_leader AS (
+  SELECT org, record_id, arg_min(value, coalesce(field_seq, 2147483647)) AS value FROM records
+  WHERE tag = 'LDR' AND record_id IS NOT NULL AND length(value) >= 7 GROUP BY ALL),
+described AS (
+  SELECT m.org, m.title_key, CASE WHEN y BETWEEN 1450 AND 2030 THEN y // 10 * 10 END AS decade, language, format
+  FROM (SELECT *, {year("date1")} AS y FROM (
+    SELECT m.org, m.title_key, substr(f.value, 8, 4) AS date1, nullif(upper(trim(substr(f.value, 36, 3))), '') AS language,
+           nullif(trim(l.value[7]), '') AS format
+    FROM record_meta m LEFT JOIN first_008 f USING (org, record_id) LEFT JOIN first_leader l USING (org, record_id)
+    WHERE m.title_key IS NOT NULL)) m),
+{ELECTED},
+facets AS (
+  SELECT holders, k AS n_holders, decade, language, format, count(*) AS titles
+  FROM width
+  LEFT JOIN (SELECT title_key, decade FROM decade_votes WHERE place = 1) USING (title_key)
+  LEFT JOIN (SELECT title_key, language FROM language_votes WHERE place = 1) USING (title_key)
+  LEFT JOIN (SELECT title_key, format FROM format_votes WHERE place = 1) USING (title_key)
+  WHERE title_key IS NOT NULL GROUP BY ALL)"""
+
+
+def folded_facets() -> str:
+    """Level by level: what reaches the threshold is shown, the rest is added up with less told apart."""
+    keys = ["holders", "n_holders", "decade", "language", "format"]
+    steps, shown = ["level4 AS (SELECT *, titles AS n FROM facets)"], []
+    for depth in range(4, 0, -1):
+        kept = keys[: depth + 1]
+        gone = "".join(f", NULL AS {k}" for k in keys[depth + 1 :])
+        shown.append(f"SELECT {', '.join(kept)}{gone}, {depth} AS depth, n::BIGINT AS titles FROM level{depth} WHERE n >= {THRESHOLD}")
+        by = ", ".join(keys[:depth] if depth > 1 else ["n_holders"])
+        steps.append(f"level{depth - 1} AS (SELECT {by}, sum(n) AS n FROM level{depth} WHERE n < {THRESHOLD} GROUP BY ALL)")
+    shown.append("SELECT NULL, n_holders, NULL, NULL, NULL, 0, n::BIGINT FROM level0")
+    return q("\nUNION ALL ".join(shown), HOLDINGS, WIDTH, FACETS, *steps)
+
+
 # Reports whose denominators are sums of their categories -> (their query, where the axis may be cut).
 MARGINS = {
     "language": ("lang_matrix", 15), "country": ("country_matrix", 15), "record_type": ("record_type_matrix", 15),
@@ -425,6 +469,18 @@ def oracle_sql() -> dict[str, str]:
         texts[name] = named(f"SELECT {column} AS category FROM ({texts[report]})", "category", names, False)
     for name, report in AGAIN.items():
         texts[name] = texts[report]
+    parts = "(1 - grouping(decade)) + (1 - grouping(language)) * 2 + (1 - grouping(format)) * 4"
+    texts["pattern_cube"] = q(
+        f"SELECT holders, n_holders, decade, language, format, ({parts})::INT AS parts, sum(titles)::BIGINT AS titles"
+        " FROM facets GROUP BY holders, n_holders, CUBE (decade, language, format)",
+        HOLDINGS, WIDTH, FACETS,
+    )
+    texts["pattern_cube_folded"] = folded_facets()
+    texts["group_unique_decades"] = q(
+        "SELECT c.one AS org, decade, count(*) AS titles FROM chosen c"
+        " LEFT JOIN (SELECT title_key, decade FROM decade_votes WHERE place = 1) d USING (title_key) WHERE c.k = 1 GROUP BY ALL",
+        HOLDINGS, WIDTH, FACETS, IN_GROUP,
+    )
     texts["artifact_read"] = f"SELECT *, '2026-08-22' AS generated_at FROM ({texts['uniqueness']})"
     texts["reading_order"] = f"SELECT row_number() OVER (ORDER BY unique_titles DESC, org) AS line, * FROM ({texts['uniqueness']})"
     return texts | disclosure(texts)
