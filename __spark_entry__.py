@@ -39,8 +39,11 @@ try:  # the training-data operators may be left out
     import corpus_pipeline
     from shelftally.llm import queries as llm_queries
 except ModuleNotFoundError as e:
-    if e.name not in ("corpus_pipeline", "shelftally.llm"):
+    # without them, or on a machine without a library that only they use, the other queries work
+    if (e.name or "").startswith("shelftally.") and not e.name.startswith("shelftally.llm"):
         raise
+    if e.name not in ("corpus_pipeline", "shelftally.llm"):
+        warnings.warn(f"no training-data queries: {e}", stacklevel=1)
     LLM_QUERIES, LLM_SQL = {}, {}
 else:
     LLM_QUERIES = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
@@ -311,6 +314,7 @@ OPERATORS: dict[str, Callable[[Lake], DataFrame]] = {
     "link_share": derive.link_share,
     "archive_destination": archives.archive_destination,
     "link_hosts": links.link_hosts,
+    "link_hosts_summarised": links.link_hosts_summarised,
     "vintage_share": derive.vintage_share,
     # coverage
     "coverage": coverage.coverage,

@@ -450,6 +450,7 @@ FROM z GROUP BY report""",
 
 # Queries that come to the result of another by other ways.
 AGAIN = {
+    "link_hosts_summarised": "link_hosts",
     "snapshot_diff_by_digests": "snapshot_diff",
     "published_sql": "overlap_histogram",
     "probe_read": "code_probe",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelftally.functions import exprs as x
+from shelftally.operators.heavy import top_values
 from shelftally.sources.lake import Lake
 
 HOST_SQL = f"""\
@@ -33,3 +34,12 @@ def link_hosts(lake: Lake) -> DataFrame:
         .where(F.col("host_rank") <= lake.params.hosts_per_org)
     )
     return totals.join(top, "org", "left").select("org", "total", "host", "host_rank", "n")
+
+
+def link_hosts_summarised(lake: Lake) -> DataFrame:
+    """``link_hosts`` for lakes with many hosts: the tail of hosts is neither counted nor shuffled."""
+    links = lake.sql(f"SELECT org, {x.link_host()} AS host FROM records WHERE tag = '856' AND code = 'u' AND {x.is_link()}")
+    totals = links.groupBy("org").agg(F.count("*").alias("total"))
+    p = lake.params
+    top = top_values(links.where("host <> ''"), "org", "host", p.hosts_per_org, p.threshold)
+    return totals.join(top, "org", "left").select("org", "total", "host", F.col("place").alias("host_rank"), "n")
