@@ -399,7 +399,9 @@ def write_snapshot(df: DataFrame, path: str, *, buckets: int = 256, audit=("gene
     row = F.xxhash64(*(F.col(f"`{c}`") for c in keys)) if keys else F.lit(0).cast("long")
     dealt = df.withColumn("_bucket", F.pmod(row, F.lit(buckets)).cast("int"))
     dealt.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows")
-    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    # an empty version has no file that tells its columns
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{path}/columns")
+    stored = _stored_rows(df.sparkSession, path)
     hashes = [F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in keys)) for seed in (1, 2)]
     # halves of hashes are summed, since sums of whole ones overflow
     halves = [half for h in hashes for half in (F.pmod(h, F.lit(1 << 32)), F.shiftrightunsigned(h, 32))]
@@ -407,6 +409,11 @@ def write_snapshot(df: DataFrame, path: str, *, buckets: int = 256, audit=("gene
     stored.groupBy("_bucket").agg(F.count("*").alias("rows"), *sums).coalesce(1).write.parquet(f"{path}/digests")
 
 
+def _stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(T.StructType([*columns.fields, T.StructField("_bucket", T.IntegerType())])).parquet(f"{path}/rows")
+
+
 def _above(leaves: DataFrame) -> DataFrame:
     """The digests of groups of buckets."""
     together = F.xxhash64(F.array_sort(F.collect_list(F.struct(*sorted(leaves.columns)))).cast("string"))
@@ -433,7 +440,7 @@ def unequal_buckets(spark: SparkSession, old: str, new: str) -> list[int]:
 def diff_snapshots(spark: SparkSession, old: str, new: str, audit=("generated_at",)) -> DataFrame:
     """``snapshot_diff`` of two stored versions with the same number of buckets: only buckets that differ are read."""
     odd = unequal_buckets(spark, old, new)
-    before, after = (spark.read.parquet(f"{path}/rows").where(F.col("_bucket").isin(odd)).drop("_bucket") for path in (old, new))
+    before, after = (_stored_rows(spark, path).where(F.col("_bucket").isin(odd)).drop("_bucket") for path in (old, new))
     return snapshot_diff(before, after, audit)
 
 

@@ -21,13 +21,17 @@ def fixed_axis(spark: SparkSession, categories) -> DataFrame:
 
 
 def ranked_axis(counts: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Categories by total over all orgs, largest first, ties by code; optionally the top k."""
-    order = [F.desc("cat_total"), F.asc("category")]
+    """
+    Categories by total over all orgs, largest first, ties by code; optionally the top k,
+    of which each task keeps its own before they meet. What is ranked is an axis to be
+    published, so it travels as one value and no partition has to hold all rows.
+    """
     totals = counts.groupBy("category").agg(F.sum("n").alias("cat_total"))
-    ranked = totals.select(
-        "category", F.row_number().over(Window.orderBy(*order)).alias("cat_rank")
-    )
-    return ranked if top_k is None else ranked.where(F.col("cat_rank") <= top_k)
+    if top_k is not None:
+        totals = totals.orderBy(F.desc("cat_total"), F.asc("category")).limit(top_k)
+    ranks = F.array_sort(F.collect_list(F.struct(-F.col("cat_total"), F.col("category"))))
+    placed = totals.agg(ranks.alias("ranks")).select(F.posexplode("ranks").alias("place", "rank"))
+    return placed.select("rank.category", (F.col("place") + 1).alias("cat_rank"))
 
 
 def org_totals(counts: DataFrame) -> DataFrame:
