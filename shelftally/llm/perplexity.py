@@ -23,7 +23,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -77,7 +77,7 @@ def _tally(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
 
 
 #: Distinct n-grams that a counting task holds before it merges or hands them on.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 def _sum(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +152,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = len(held[0][0]) // 2
     if held:
         yield _counted(*_sum(held))
+    common.give_back()
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -363,7 +364,7 @@ ROW_BITS = 23
 _MIX = 40503
 _UNMIX = pow(_MIX, -1, 1 << 16)
 #: Bytes of text whose pairs a task packs at a time; one longer text makes a longer chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Log probabilities are added as whole numbers of this part, so that sums do not depend on their order.
 UNIT = 2.0**-24
 
@@ -413,10 +414,14 @@ def _unpack_all(data: bytes) -> list[np.ndarray]:
 
 
 def _blocks_of(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Shards and their blocks: distinct n-grams, in how many rows each is, those rows, and counts in them."""
+    """Shards and their blocks: distinct n-grams, in how many rows each is, those rows, and counts in them.
+
+    Of the rows of an n-gram each is kept by its distance from the one before: most pairs
+    belong to n-grams of many rows, whose distances are short.
+    """
     if not len(pairs):
         return
-    pairs = np.sort(pairs)
+    pairs.sort()
     first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
     counts = np.diff(np.r_[first, len(pairs)])
     pairs = pairs[first]
@@ -426,7 +431,9 @@ def _blocks_of(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
         gram = pairs[a:b] >> np.uint64(ROW_BITS)
         begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         rows = pairs[a:b] & np.uint64((1 << ROW_BITS) - 1)
-        yield int(shard[a]), _pack_all(np.diff(gram[begin], prepend=np.uint64(0)), np.diff(np.r_[begin, b - a]), rows, counts[a:b])
+        steps = np.diff(rows, prepend=np.uint64(0))
+        steps[begin] = rows[begin]
+        yield int(shard[a]), _pack_all(np.diff(gram[begin], prepend=np.uint64(0)), np.diff(np.r_[begin, b - a]), steps, counts[a:b])
 
 
 #: ``side`` orders the rows of a shard: values of the model, facts of chunks, blocks of pairs.
@@ -501,12 +508,16 @@ def _sum_shards(low):
                     made += [(number[i].as_py(), _PAIRS, _summed(model, block[i].as_py())) for i in range(a, b)]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in _SUMMED.split(", ")])
+        common.give_back()
 
     return run
 
 
 def _summed(model: Model, block: bytes) -> bytes:
-    gram, spread, rows, counts = _unpack_all(block)
+    gram, spread, steps, counts = _unpack_all(block)
+    first = np.cumsum(spread) - spread
+    so_far = np.cumsum(steps)
+    rows = so_far - np.repeat((so_far - steps)[first.astype(np.int64)], spread.astype(np.int64))
     units = np.rint(model.log_probability(*_grams_of(np.cumsum(gram, dtype=np.uint64))) / UNIT).astype(np.int64)
     sums = np.zeros(int(rows.max(initial=0)) + 1, np.int64)
     np.add.at(sums, rows.astype(np.int64), np.repeat(units, spread.astype(np.int64)) * counts.astype(np.int64))
@@ -559,6 +570,22 @@ def score(docs: DataFrame, values: DataFrame) -> DataFrame:
     return sums.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(_sum_chunks, SCORES)
 
 
+#: Quantiles are taken over bins of this width, so that they do not depend on the order of rows.
+BIN = 1e-4
+
+
+def _quantiles(rows: DataFrame, value: Column, *shares: float) -> DataFrame:
+    """``of`` (a language) and ``q``, an array: for each share the least bin that so many of its values reach.
+
+    Values are logarithms of perplexities, so a language has some tens of thousands of bins.
+    """
+    bins = rows.where(value.isNotNull()).groupBy(F.col("lang").alias("of"), F.round(value / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = bins.withColumns({"below": F.sum("n").over(so_far), "all": F.sum("n").over(Window.partitionBy("of"))})
+    reached = [F.min(F.when(F.col("below") >= F.col("all") * s, F.col("bin"))) * BIN for s in shares]
+    return placed.groupBy("of").agg(F.array(*reached).alias("q"))
+
+
 def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """Counts and verdict of every row of ``docs`` (``doc_id``, ``text``, ``lang``; others are not read).
 
@@ -571,20 +598,18 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), half.alias("half"))
     rows = common.cut(score(docs, kneser_ney(common.cut(count_grams(docs)))))
     loss = -F.col("log_probability")
-    middle = rows.groupBy("lang").agg(F.percentile_approx(F.when(F.col("n_bytes") > 0, loss / F.col("n_bytes")), 0.5, 10_000).alias("middle"))
-    middle = middle.withColumnRenamed("lang", "middle_lang")
-    rows = rows.join(middle, common.same(F.col("lang"), F.col("middle_lang")))
+    middle = _quantiles(rows, F.when(F.col("n_bytes") > 0, loss / F.col("n_bytes")), 0.5).select(F.col("of").alias("middle_lang"), F.col("q")[0].alias("middle"))
+    rows = rows.join(middle, common.same(F.col("lang"), F.col("middle_lang")), "left").drop("middle_lang")
     shrunk = (loss + PRIOR_BYTES * F.col("middle")) / (F.col("n_bytes") + PRIOR_BYTES)
     rows = rows.withColumn("log_perplexity", F.when(F.col("n_bytes") > 0, shrunk))
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = rows.groupBy("lang").agg(quartiles.alias("q")).select(
-        F.col("lang").alias("band_lang"),
+    bands = _quantiles(rows, F.col("log_perplexity"), 0.25, 0.75).select(
+        F.col("of").alias("band_lang"),
         (F.col("q")[0] - reach * (F.col("q")[1] - F.col("q")[0])).alias("lowest"),
         (F.col("q")[1] + reach * (F.col("q")[1] - F.col("q")[0])).alias("highest"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     inside = F.col("log_perplexity").between(F.col("lowest"), F.col("highest"))
-    return rows.join(bands, common.same(F.col("lang"), F.col("band_lang"))).select(
+    return rows.join(bands, common.same(F.col("lang"), F.col("band_lang")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & F.coalesce(inside, F.lit(False))).alias("kept"),
