@@ -153,14 +153,35 @@ SELECT DISTINCT 'member', org, NULL, NULL, NULL, NULL, NULL, 0L FROM code_map"""
 def cells(lake: Lake) -> DataFrame:
     """
     What the views read: counts by ``facet``, the records held by each org, counted apart
-    from the roll-up so that the timeline can be proved against them, and the members.
+    from the roll-up so that the timeline can be proved against them, and the members. They
+    are dealt by org, as the views group them.
     """
 
     def build() -> DataFrame:
         require_mapped(lake)
-        return lake.sql(CELLS_SQL, cataloging_source=cataloging_source(lake))
+        return lake.sql(CELLS_SQL, cataloging_source=cataloging_source(lake)).repartition("org")
 
-    return lake.keep("provenance_cells", build)
+    held = lake.keep("provenance_cells", build)
+    lake.fact("provenance_axes", lambda: _axes(held, lake.params))
+    return held
+
+
+def _axes(held: DataFrame, p: Params) -> dict[str, list[str]]:
+    """
+    The categories that two matrices publish, worked out once beside the cells: every org,
+    and the union of each org's own top agencies by total. Both are bounded by the orgs.
+    """
+    listed = held.where(F.col("facet").isin("member", "held")).select("org").distinct()
+    named = held.where("facet = 'agency' AND source_code IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("org").orderBy(F.desc("n"), "source_code"))
+    best = named.withColumn("place", place).groupBy("source_code").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    top = best.where(F.col("place") <= p.agencies_per_org).orderBy(F.desc("n"), "source_code")
+    return {"members": sorted(r["org"] for r in listed.collect()), "agencies": [r["source_code"] for r in top.collect()]}
+
+
+def axes(lake: Lake) -> dict[str, list[str]]:
+    held = cells(lake)
+    return lake.fact("provenance_axes", lambda: _axes(held, lake.params))
 
 
 def _facet(lake: Lake, name: str) -> DataFrame:
@@ -208,11 +229,10 @@ def cat_agency(lake: Lake) -> DataFrame:
     small org's main agency is not ranked away by a large one's. Shares are of all
     records that name an agency.
     """
-    own = Window.partitionBy("org")
-    place = F.row_number().over(own.orderBy(F.desc("n"), "source_code"))
-    top = _agencies(lake).withColumn("place", place).where(F.col("place") <= lake.params.agencies_per_org)
-    named = _agencies(lake).withColumn("total", F.sum("n").over(own)).join(top.select("source_code").distinct(), "source_code", "left_semi")
-    return matrix_of_cells(named.select("org", F.col("source_code").alias("category"), "n", "total"), lake.params.threshold)
+    total = F.sum("n").over(Window.partitionBy("org"))
+    axis = F.lit(axes(lake)["agencies"])
+    named = _agencies(lake).withColumn("total", total).where(F.array_contains(axis, F.col("source_code")))
+    return matrix_of_cells(named.select("org", F.col("source_code").alias("category"), "n", "total"), lake.params.threshold, axis=axis)
 
 
 def cat_flow(lake: Lake) -> DataFrame:
@@ -220,8 +240,7 @@ def cat_flow(lake: Lake) -> DataFrame:
     Holder by credited member, square over every org in the map or in the lake, the
     diagonal included. No totals: the categories exhaust them.
     """
-    listed = cells(lake).where(F.col("facet").isin("member", "held"))
-    axis = listed.agg(F.array_sort(F.collect_set("org"))).scalar()
+    axis = F.lit(axes(lake)["members"])
     credited = _facet(lake, "agency").where("source_org IS NOT NULL")
     counts = credited.groupBy("org", F.col("source_org").alias("category")).agg(F.sum("n").alias("n"))
     return without_totals(matrix_of_cells(counts, lake.params.threshold, axis=axis))

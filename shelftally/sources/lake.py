@@ -85,6 +85,7 @@ class Lake:
         self._written: list[str] = []
         # statements that make this lake's tables available under the declared names
         self._steps: list[tuple[str, str]] = []
+        self._facts: dict[str, object] = {}
         # guards that have passed for this lake
         self.checked: set[str] = set()
 
@@ -206,6 +207,13 @@ class Lake:
                 df.count()
             return df
 
+    def fact(self, name: str, build: Callable[[], object]):
+        """Something small that is worked out once for this lake, such as a published axis."""
+        with self._lock(name):
+            if name not in self._facts:
+                self._facts[name] = build()
+            return self._facts[name]
+
     def adopt(self, name: str, df: DataFrame) -> None:
         """Take a roll-up that was built elsewhere in place of building it."""
         with self._lock(name):
@@ -233,6 +241,7 @@ class Lake:
         for df in list(self._kept.values()):
             df.unpersist()
         self._kept.clear()
+        self._facts.clear()
         self._views.drop()
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         while self._written:
