@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelftally.llm import exact_dedup, language, mixing, pieces, simhash
-from shelftally.llm.common import cut, read, remainder
+from shelftally.llm.common import cut, free_names, read, remainder
 from shelftally.llm.queries import model_path
 
 #: Documents whose most likely language is less likely than this are rejected.
@@ -16,9 +16,10 @@ LEAST_SURE = 0.5
 def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language is fairly sure; learned outside the held-out fold, as the query is."""
     network = language.train(docs.where(remainder("doc_id", 5) != 0))
-    found = language.with_language(docs, network, "__lang_pred", "__score")
-    sure = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= LEAST_SURE)
-    return found.where(sure).drop("__lang_pred", "__score")
+    lang, score = free_names(docs.columns, "lang_pred", "score")
+    found = language.with_language(docs, network, lang, score)
+    sure = (F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SURE)
+    return found.where(sure).drop(lang, score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,14 +175,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as the mix takes them."""
-    mine = ["__id", "__source", "__size", "__copies"]
+    """The rows of ``docs``, with all their columns, whatever their names, as often as the mix takes them."""
+    *mine, turn = common.free_names(docs.columns, "taken_id", "taken_source", "taken_size", "taken_copies", "turn")
+    id_, source, size, times = mine
     copies = plan(docs, **options).select(*(F.col(c).alias(a) for c, a in zip(("doc_id", "source", "size", "copies"), mine, strict=True)))
     joined = docs.join(
-        copies.where("__copies > 0"),
-        common.same(F.col("doc_id").cast("long"), F.col("__id"))
-        & common.same(F.col("source").cast("string"), F.col("__source"))
-        & (common.words(F.col("text")) == F.col("__size")),
+        copies.where(F.col(times) > 0),
+        common.same(F.col("doc_id").cast("long"), F.col(id_))
+        & common.same(F.col("source").cast("string"), F.col(source))
+        & (common.words(F.col("text")) == F.col(size)),
     )
-    again = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return again.drop(*mine, "__copy")
+    again = joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    return again.drop(*mine, turn)

@@ -12,6 +12,7 @@ count and salt, so no list has to fit into a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -253,10 +254,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _print_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _print_beside(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches, "text"):
         prints = np.array([fingerprint(part.text(i)) for i in range(part.n)], np.uint64)
-        yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(prints.view(np.int64))], [*part.rows.schema.names, "__print"])
+        yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(prints.view(np.int64))], [*part.rows.schema.names, name])
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -264,16 +265,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Ids only choose within a component: a null id comes last, and an id that stands in several
     components has a row in each of them. Rows alike in id and fingerprint are repeats, of
-    which any one stays.
+    which any one stays. Other columns may have any name.
     """
+    key = common.free_names(docs.columns, "print", "least", "none")
+    print_, least, none = key
     # of each component one pair of print and id, which are what a row is found by
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "print")).alias("first")
     keep = _classes(common.cut(fingerprints(docs))).groupBy("component").agg(first).select(
-        F.col("first.print").alias("__print"), F.coalesce("first.least", F.lit(0)).alias("__id"), F.col("first.none").alias("__none")
+        F.col("first.print").alias(print_), F.coalesce("first.least", F.lit(0)).alias(least), F.col("first.none").alias(none)
     )
-    schema = T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())])
     number = F.col("doc_id").cast("long")
-    rows = docs.mapInArrow(_print_beside, schema).withColumns({"__id": F.coalesce(number, F.lit(0)), "__none": number.isNull()})
-    key = ["__print", "__id", "__none"]
+    rows = docs.mapInArrow(partial(_print_beside, print_), schema).withColumns({least: F.coalesce(number, F.lit(0)), none: number.isNull()})
     # repeats go before the shuffle, so that a long group of them meets in no task
     return rows.dropDuplicates(key).join(keep, key, "left_semi").drop(*key)

@@ -123,3 +123,25 @@ def test_nulls_and_nothing(spark):
     for frame in (spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, frame, SF).count() >= 0
+
+
+CLASHING = ["lang_pred", "Score", "print", "LEAST", "none", "taken_id", "taken_size", "turn", "digest", "possible", "__id", "__print", "__lang_pred", "label", "place"]
+
+
+def test_other_columns_may_have_any_name(spark):
+    """Columns with the names that a stage might choose for itself go through, and change nothing."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    words = ["the same plain words of a text", "andere Worte in einem Satz hier", "quelques mots de plus pour le texte"]
+    rows = [(10 * i + k, f"{w} {'abcdefgh'[i]} " * 9, ("en", "de", "fr")[k], "ab"[i % 2], i) for i in range(8) for k, w in enumerate(words)]
+    rows += [(100, rows[0][1], "en", "a", 1), (101, None, None, None, None), (101, None, None, None, None)]
+    plainly = spark.createDataFrame(rows, kinds)
+    clashing = spark.createDataFrame([(*r, *(f"{c} of {r[0]}" for c in CLASHING)) for r in rows], f"{kinds}, {', '.join(f'{c} string' for c in CLASHING)}")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, plainly, SF), stage(spark, clashing, SF)
+        assert got.columns == clashing.columns, name
+        assert sorted(map(repr, got.select(*COLUMNS).collect())) == sorted(map(repr, want.collect())), name
+        for r in got.collect():
+            assert [r[c] for c in CLASHING] == [f"{c} of {r['doc_id']}" for c in CLASHING], name
+        kept.append(got.count())
+    assert kept[1] < len(rows) and all(kept)
