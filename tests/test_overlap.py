@@ -114,6 +114,16 @@ def test_patterns_and_groups(spark):
         overlap.group_shared(lake, ["a", "nowhere"])
 
 
+def test_group_unique_query_lists_only_orgs_with_titles_of_their_own(spark):
+    import __spark_entry__ as entry
+
+    shared = [(org, f"{org}:1", "x") for org in entry.GROUP]
+    query = entry.OPERATORS["group_unique"]
+    assert query(lake_of(spark, shared)).collect() == []
+    alone = [*shared, ("nation_2", "nation_2:2", "y")]
+    assert as_dict(query(lake_of(spark, alone)), "org", "titles") == {"nation_2": 1}
+
+
 def test_similarity(spark):
     meta = [("a", "1", "x"), ("a", "2", "y"), ("a", "3", "z"), ("b", "4", "x"), ("c", "5", "q")]
     lake = lake_of(spark, meta)
