@@ -3,39 +3,38 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelftally.sources.lake import Lake
+from shelftally.sources.lake import DEAL, Lake
 
-# Both groupings use one exchange by a hash of the record, which also leads the sort keys.
-# A row without a subfield code is a leader or control field and carries the value.
-NESTED_SQL = """\
+# One grouping by a hash of the record, which also leads the sort keys; a record's rows, once
+# in order, are cut where the field changes, each row read once. A row without a subfield code
+# is a leader or control field and carries the value.
+NESTED_SQL = f"""\
 SELECT org, record_id,
        transform(
-         array_sort(collect_list(named_struct('field_seq', field_seq, 'f', f))),
-         x -> x.f
+         transform(starts, (s, i) -> slice(ordered, s, coalesce(get(starts, i + 1), size(ordered) + 1) - s)),
+         g -> named_struct(
+           'tag', g[0].tag, 'ind1', g[0].ind1, 'ind2', g[0].ind2,
+           'value', array_max(transform(filter(g, r -> r.code IS NULL),
+                      r -> named_struct('late', r.late, 'subfield_seq', r.subfield_seq, 'value', r.value))).value,
+           'subfields', transform(
+             sort_array(transform(filter(g, r -> r.code IS NOT NULL),
+               r -> named_struct('late', r.late, 'subfield_seq', r.subfield_seq, 'code', r.code, 'value', r.value))),
+             r -> named_struct('code', r.code, 'value', r.value)))
        ) AS fields
 FROM (
-  SELECT h, org, record_id, field_seq,
-         named_struct(
-           'tag', head.tag, 'ind1', head.ind1, 'ind2', head.ind2, 'value', control.value,
-           'subfields', transform(subfields, s -> named_struct('code', s.code, 'value', s.value))
-         ) AS f
+  SELECT org, record_id, ordered,
+         filter(sequence(1, size(ordered)),
+                p -> p = 1 OR NOT (ordered[p - 1].field_seq <=> ordered[p - 2].field_seq)) AS starts
   FROM (
-    SELECT h, org, record_id, field_seq,
-           min(named_struct('late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
-                            'tag', tag, 'ind1', ind1, 'ind2', ind2)) AS head,
-           max(CASE WHEN code IS NULL
-                    THEN named_struct('late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
-                                      'value', value) END) AS control,
-           array_sort(collect_list(
-             CASE WHEN code IS NOT NULL
-                  THEN named_struct('late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
-                                    'code', code, 'value', value) END)) AS subfields
-    FROM (SELECT /*+ REPARTITION(h) */ * FROM (SELECT xxhash64(org, record_id) AS h, * FROM records
-                                            WHERE org IS NOT NULL AND record_id IS NOT NULL))
-    GROUP BY h, org, record_id, field_seq
+    SELECT org, record_id,
+           sort_array(collect_list(named_struct(
+             'field_seq', field_seq, 'late', subfield_seq IS NULL, 'subfield_seq', subfield_seq,
+             'tag', tag, 'ind1', ind1, 'ind2', ind2, 'code', code, 'value', value))) AS ordered
+    FROM (SELECT {DEAL}* FROM (SELECT xxhash64(org, record_id) AS h, * FROM records
+                           WHERE org IS NOT NULL AND record_id IS NOT NULL))
+    GROUP BY h, org, record_id
   )
-)
-GROUP BY h, org, record_id"""
+)"""
 
 
 def reconstitute(lake: Lake, org: str | None = None, record_id: str | None = None) -> DataFrame:

@@ -69,3 +69,19 @@ def test_reads_a_lake_with_other_column_names(spark, tmp_path):
     lake = Lake.read(spark, str(tmp_path / "records"), str(tmp_path / "meta"), rename=names)
     assert lake.records.columns == schema.RECORDS.names
     assert lake.records.first()["tag"] == "LDR" and lake.record_meta.first()["title_key"] == "t"
+
+
+def test_a_large_lake_is_dealt_over_tasks_by_its_records(spark, shelf, monkeypatch):
+    from shelftally.sources import lake as lakes
+
+    for i in range(40):
+        shelf.add("penn", f"r{i}", ("245", "a", f"Title {i}", "1", "0"))
+    small = shelf.lake()
+    assert small.sql(records.NESTED_SQL).count() == 40
+    monkeypatch.setattr(lakes, "DEALT_RECORDS", 2)
+    large = shelf.lake()
+    text = records.reconstitute(large)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and ", 20)" in text
+    # one grouping for each record
+    assert text.count("ObjectHashAggregate") == 2
+    assert sorted(map(tuple, records.to_text(records.reconstitute(large)).collect())) == sorted(map(tuple, records.to_text(records.reconstitute(small)).collect()))
