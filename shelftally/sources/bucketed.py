@@ -11,6 +11,7 @@ and Bloom filters of the row groups leave out the rest.
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelftally import schema
 from shelftally.params import Params
@@ -20,14 +21,25 @@ KEY = "record_id"
 TABLES = {"records": (schema.RECORDS, ["tag", KEY]), "record_meta": (schema.RECORD_META, [KEY])}
 #: Tasks that write the rows without a record id, which would all fall into one bucket's task.
 STRAY_TASKS = 8
+#: Records of all orgs in one bucket, which one task sorts and groups in memory, and the least number of buckets.
+BUCKET_RECORDS = 100_000
+LEAST_BUCKETS = 8
 
 
-def write_bucketed(lake: Lake, out: str, buckets: int, row_group_bytes: int = 64 << 20) -> None:
+def buckets_for(lake: Lake) -> int:
+    """As many buckets as keep each of one size, however large the lake is."""
+    return max(LEAST_BUCKETS, -(-lake.record_count // BUCKET_RECORDS))
+
+
+def write_bucketed(lake: Lake, out: str, buckets: int | None = None, row_group_bytes: int = 64 << 20) -> None:
     """
-    Write a lake's tables under ``out``, each org's records dealt over ``buckets``. A bucket
-    of an org is one file, so choose as many as make files of some hundred megabytes.
+    Write a lake's tables under ``out``, each org's records dealt over ``buckets``, by default
+    as many as the lake's size asks for. A bucket is one task's work, and one file for each org.
     Rows without a record id share one bucket, in files of their own.
     """
+    buckets = buckets or buckets_for(lake)
+    # Bloom filters are sized for the records of a file; unsized, each takes a megabyte
+    largest = lake.record_meta.groupBy("org").count().agg(F.max("count")).first()[0] or 1
     for name, (_, order) in TABLES.items():
         df = getattr(lake, name)
         known = df.where(f"{KEY} IS NOT NULL").repartition(buckets, KEY)
@@ -39,6 +51,7 @@ def write_bucketed(lake: Lake, out: str, buckets: int, row_group_bytes: int = 64
             .option("path", f"{out}/{name}")
             .option("parquet.block.size", row_group_bytes)
             .option(f"parquet.bloom.filter.enabled#{KEY}", True)
+            .option(f"parquet.bloom.filter.expected.ndv#{KEY}", -(-largest // buckets))
             .partitionBy("org")
             .bucketBy(buckets, KEY)
             .sortBy(*order)

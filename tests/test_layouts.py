@@ -102,6 +102,22 @@ def test_row_groups_have_ranges_and_filters_by_record(spark, bucketed):
         assert keys == sorted(keys)
 
 
+def test_buckets_grow_with_the_lake(spark, plain, tmp_path, monkeypatch):
+    from shelftally.sources import bucketed as layout
+
+    assert layout.buckets_for(plain) == layout.LEAST_BUCKETS
+    monkeypatch.setattr(layout, "BUCKET_RECORDS", 100)
+    write_bucketed(plain, str(tmp_path))
+    lake = bucketed_lake(spark, str(tmp_path))
+    try:
+        assert "1 out of 15" in plan(records.reconstitute(lake, record_id="nation_3:1"))
+        assert rows(coverage.coverage(lake)) == rows(coverage.coverage(plain))
+        # a file has no more than some dozen records, and its Bloom filter is as small
+        assert max(f.stat().st_size for f in (tmp_path / "record_meta").rglob("*.parquet")) < 100_000
+    finally:
+        lake.release()
+
+
 # --- refresh -----------------------------------------------------------------
 
 
