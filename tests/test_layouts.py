@@ -118,6 +118,34 @@ def test_buckets_grow_with_the_lake(spark, plain, tmp_path, monkeypatch):
         lake.release()
 
 
+def test_files_of_the_derived_lake_grow_in_number_with_it(spark, plain, tmp_path, monkeypatch):
+    from shelftally.sources import derived
+
+    monkeypatch.setattr(derived, "FILE_RECORDS", 20)
+    derived.write_derived(spark, SF, str(tmp_path))
+    lake = derived.stored_lake(spark, str(tmp_path))
+    held = {r["org"]: r["count"] for r in plain.record_meta.groupBy("org").count().collect()}
+    for org, n in held.items():
+        files = list((tmp_path / "records" / f"org={org}").glob("*.parquet"))
+        assert len(files) == -(-n // 20)
+    # no file holds rows of a record that another one holds
+    known = lake.records.where("record_id IS NOT NULL").withColumn("file", F.input_file_name())
+    assert known.groupBy("org", "record_id").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0
+    assert rows(lake.records) == rows(derived.derived_tables(spark, SF)["records"])
+
+
+def test_records_are_written_when_a_query_first_reads_them(spark, tmp_path):
+    from shelftally.sources import derived
+
+    out = tmp_path / "lake"
+    lake = derived.stored_lake(spark, str(out), write_records=derived.write_all_but_records(spark, SF, str(out)))
+    assert channels.namespace_totals(lake).count() == 25 and overlap.uniqueness(lake).count() > 0
+    assert not (out / "records").exists()
+    assert coverage.coverage(lake).count() == 150
+    assert (out / "records").exists()
+    assert [text.split(" AS")[0].split()[-1] for _, text in lake.steps()] == ["records", "record_meta", "harvest_state"]
+
+
 # --- refresh -----------------------------------------------------------------
 
 
