@@ -255,7 +255,7 @@ def manifest(lake: Lake, generated_at: str, artifacts=ARTIFACTS) -> DataFrame:
             params,
             generated_at,
             list(a.sections),
-            lake.steps() + a.sql(lake),
+            lake.steps(a.sql(lake)) + a.sql(lake),
         )
         for a in artifacts
     ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelftally import Lake, schema
 from shelftally.operators import channels, comparison, coverage, overlap, provenance, records, serials
-from shelftally.plans import refresh
+from shelftally.plans import artifacts, refresh
 from shelftally.plans.refresh import RollupStore
 from shelftally.sources.bucketed import bucketed_lake, write_bucketed
 from shelftally.sources.derived import derived_lake
@@ -140,6 +140,10 @@ def test_records_are_written_when_a_query_first_reads_them(spark, tmp_path):
     out = tmp_path / "lake"
     lake = derived.stored_lake(spark, str(out), write_records=derived.write_all_but_records(spark, SF, str(out)))
     assert channels.namespace_totals(lake).count() == 25 and overlap.uniqueness(lake).count() > 0
+    # nor do published statements about titles need them
+    chosen = [a for a in artifacts.ARTIFACTS if a.name == "uniqueness"]
+    listed = artifacts.manifest(lake, "2026-08-22", chosen).first()["sql"]
+    assert any("VIEW record_meta" in step["sql"] for step in listed) and not any("VIEW records " in step["sql"] for step in listed)
     assert not (out / "records").exists()
     assert coverage.coverage(lake).count() == 150
     assert (out / "records").exists()
