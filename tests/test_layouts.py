@@ -150,6 +150,22 @@ def test_records_are_written_when_a_query_first_reads_them(spark, tmp_path):
     assert [text.split(" AS")[0].split()[-1] for _, text in lake.steps()] == ["records", "record_meta", "harvest_state"]
 
 
+def test_the_derived_lake_stores_its_joins_and_no_records(spark, plain, tmp_path, monkeypatch):
+    """A query makes the rows of its tags from the stored joins: it neither writes nor shuffles the records for it."""
+    from shelftally.sources import derived
+
+    monkeypatch.setattr(derived, "shared_folder", lambda _: str(tmp_path))
+    lake = derived.derived_lake(spark, SF)
+    assert rows(serials.serial_status_ordered(lake)) == rows(serials.serial_status_ordered(plain))
+    assert [f.name for f in next(tmp_path.iterdir()).iterdir()] == ["base"]
+    read = lake.records.where("tag IN ('LDR', '008')")
+    assert "Join" not in plan(read) and "Exchange" not in plan(read)
+    assert all("/base/" in file for file in read.inputFiles())
+    assert rows(lake.records) == rows(plain.records) and rows(lake.record_meta) == rows(plain.record_meta)
+    lake.release()
+    assert not list(tmp_path.iterdir())
+
+
 # --- refresh -----------------------------------------------------------------
 
 
