@@ -15,7 +15,6 @@ have at most 256 and 65,536 n-grams in any corpus, are sent to every shard.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from math import log
@@ -101,14 +100,26 @@ def _folded(tallies: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield _sum(held)
 
 
+#: Blocks are made of places with few and unlike values, which this codec gives less than a bit.
+_CODEC = ("zstd", 6)
+
+
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec(*_CODEC).compress(data, asbytes=True)
+
+
+def _expand(data: bytes) -> bytes:
+    return pa.Codec(*_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted tally in few bytes: differences and counts, byte place by byte place, compressed."""
     both = np.stack([np.diff(keys, prepend=np.uint64(0)), counts.astype(np.uint64)])
-    return zlib.compress(both.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes(), 1)
+    return _squeeze(both.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes())
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 8, -1)
+    places = np.frombuffer(_expand(data), np.uint8).reshape(2, 8, -1)
     both = np.ascontiguousarray(places.transpose(0, 2, 1)).view(np.uint64)[..., 0]
     return np.cumsum(both[0], dtype=np.uint64), both[1].astype(np.int64)
 
@@ -399,11 +410,11 @@ def _pack_all(*arrays: np.ndarray) -> bytes:
         width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
         places = np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width]
         parts.append(len(a).to_bytes(8, "little") + bytes([width]) + places.T.tobytes())
-    return zlib.compress(b"".join(parts), 1)
+    return _squeeze(b"".join(parts))
 
 
 def _unpack_all(data: bytes) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(data), 0, []
+    data, at, out = _expand(data), 0, []
     while at < len(data):
         n, width = int.from_bytes(data[at : at + 8], "little"), data[at + 8]
         places = np.zeros((n, 8), np.uint8)
@@ -417,7 +428,7 @@ def _blocks_of(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
     """Shards and their blocks: distinct n-grams, in how many rows each is, those rows, and counts in them.
 
     Of the rows of an n-gram each is kept by its distance from the one before: most pairs
-    belong to n-grams of many rows, whose distances are short.
+    belong to n-grams of many rows, whose distances are short where rows alike lie together.
     """
     if not len(pairs):
         return
@@ -436,6 +447,15 @@ def _blocks_of(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
         yield int(shard[a]), _pack_all(np.diff(gram[begin], prepend=np.uint64(0)), np.diff(np.r_[begin, b - a]), steps, counts[a:b])
 
 
+def _alike(facts: pa.Table, half: np.ndarray) -> np.ndarray:
+    """
+    An order of a chunk's rows in which the rows of an n-gram lie close: an n-gram is of one
+    half, mostly of one language, and a long text has more of them than a short one.
+    """
+    lang = facts.column("lang").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    return np.lexsort((-facts.column("n_bytes").to_numpy(), lang, half))
+
+
 #: ``side`` orders the rows of a shard: values of the model, facts of chunks, blocks of pairs.
 _DEALT = "shard int, side int, at long, value double, block binary"
 _VALUE, _FACTS, _PAIRS = range(3)
@@ -448,14 +468,20 @@ def _deal(shards: int):
         place = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         facts: list[pa.RecordBatch] = []
+        halves: list[np.ndarray] = []
         rows, size, chunk = 0, 0, place << 32
 
         def whole() -> pa.RecordBatch:
+            table = pa.Table.from_batches(facts).combine_chunks()
+            order = _alike(table, np.concatenate(halves))
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, facts[0].schema) as writer:
-                for batch in facts:
-                    writer.write_batch(batch)
-            made = [(chunk % shards, _FACTS, zlib.compress(out.getvalue(), 1))]
+            with pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table.take(pa.array(order)))
+            number = np.empty(rows, np.uint64)
+            number[order] = np.arange(rows, dtype=np.uint64)
+            for pairs in held:
+                pairs[:] = (pairs >> np.uint64(ROW_BITS) << np.uint64(ROW_BITS)) | number[(pairs & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)]
+            made = [(chunk % shards, _FACTS, _squeeze(out.getvalue().to_pybytes()))]
             made += [(shard, _PAIRS, block) for shard, block in _blocks_of(np.concatenate(held), shards)]
             shard, side, block = zip(*made, strict=True)
             columns = [pa.array(shard, pa.int32()), pa.array(side, pa.int32()), pa.array([chunk] * len(made), pa.int64()), pa.nulls(len(made), pa.float64()), pa.array(block, pa.binary())]
@@ -464,9 +490,10 @@ def _deal(shards: int):
         for part in common.slices(batches, "text"):
             if rows and (size + len(part.data) > CHUNK_BYTES or rows + part.n > 1 << ROW_BITS):
                 yield whole()
-                held, facts, rows, size, chunk = [], [], 0, 0, chunk + 1
+                held, facts, halves, rows, size, chunk = [], [], [], 0, 0, chunk + 1
             keys, row = grams(part)
-            held.append(_pairs(keys, part.rows.column(3).to_numpy()[row], row + rows))
+            halves.append(part.rows.column(3).to_numpy())
+            held.append(_pairs(keys, halves[-1][row], row + rows))
             columns = [part.rows.column(0), part.rows.column(2), *(pa.array(v, pa.int64()) for v in base_counts(part).values())]
             columns.append(pa.array(np.diff(part.offsets), pa.int64()))
             facts.append(pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")[:-1]]))
@@ -541,7 +568,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield whole()
                 facts, now = None, chunk
             if side == _FACTS:
-                table = pa.ipc.open_stream(zlib.decompress(block)).read_all().combine_chunks()
+                table = pa.ipc.open_stream(_expand(block)).read_all().combine_chunks()
                 facts = table.to_batches()[0]
                 sums = np.zeros(facts.num_rows, np.int64)
             else:
@@ -574,12 +601,16 @@ def score(docs: DataFrame, values: DataFrame) -> DataFrame:
 BIN = 1e-4
 
 
+def _bin(value: Column) -> Column:
+    return F.round(value / BIN).cast("long")
+
+
 def _quantiles(rows: DataFrame, value: Column, *shares: float) -> DataFrame:
     """``of`` (a language) and ``q``, an array: for each share the least bin that so many of its values reach.
 
     Values are logarithms of perplexities, so a language has some tens of thousands of bins.
     """
-    bins = rows.where(value.isNotNull()).groupBy(F.col("lang").alias("of"), F.round(value / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = rows.where(value.isNotNull()).groupBy(F.col("lang").alias("of"), _bin(value).alias("bin")).agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = bins.withColumns({"below": F.sum("n").over(so_far), "all": F.sum("n").over(Window.partitionBy("of"))})
     reached = [F.min(F.when(F.col("below") >= F.col("all") * s, F.col("bin"))) * BIN for s in shares]
@@ -608,7 +639,8 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
         (F.col("q")[1] + reach * (F.col("q")[1] - F.col("q")[0])).alias("highest"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    inside = F.col("log_perplexity").between(F.col("lowest"), F.col("highest"))
+    # a text is judged by its bin, as the quartiles are: a band may be one bin
+    inside = (_bin(F.col("log_perplexity")) * BIN).between(F.col("lowest"), F.col("highest"))
     return rows.join(bands, common.same(F.col("lang"), F.col("band_lang")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),

@@ -159,6 +159,18 @@ def test_defined_cases(spark):
     assert perplexity.quality(docs(spark, [])).count() == 0
 
 
+def test_a_band_of_one_bin_holds_its_texts(spark):
+    rows = [(7, f"{' '.join(f'{w}{i}' for w in ('some', 'words', 'of', 'a', 'text'))} and the other words of it", str(i), 0) for i in range(20)]
+    assert all(r["kept"] for r in perplexity.quality(docs(spark, rows)).collect())
+
+
+def test_documents_are_dealt_in_fewer_bytes_than_they_have(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", (F.col("doc_id") % 2).cast("int").alias("half"))
+    size = frame.agg(F.sum(F.octet_length("text"))).first()[0]
+    dealt = frame.coalesce(1).mapInArrow(perplexity._deal(12), perplexity._DEALT)
+    assert dealt.agg(F.sum(F.octet_length("block"))).first()[0] < 0.85 * size
+
+
 def test_outlier_is_rejected(spark):
     rng = random.Random(1)
     words = ["hello", "there", "general", "of", "the", "old", "republic", "we", "meet"]
