@@ -213,8 +213,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND((1 << 8 * n) - 1)
         tables[n] = tables[n + 1].groupBy("model", suffix.alias("gram")).agg(F.count("*").alias("c"))
-        if n == ORDER - 1:
-            tables[n] = common.cut(tables[n])
+        if n <= LOW:  # 65,536 n-grams of a model at most
+            tables[n] = tables[n].repartition(1)
+        tables[n] = common.cut(tables[n])
     c, values, below = F.col("c"), [], None
     for n in range(1, ORDER + 1):
         how_many = tables[n].groupBy("model").agg(*(F.sum((c == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
