@@ -178,3 +178,19 @@ def test_outlier_is_rejected(spark):
     junk = " ".join("".join(rng.choice("0123456789abcdefghijkXYZ") for _ in range(12)) for _ in range(100))
     kept = {r["doc_id"]: r["kept"] for r in perplexity.quality(docs(spark, [*rows, (1000, junk, "en", 0)])).collect()}
     assert not kept[1000] and sum(kept.values()) >= 198
+
+
+def test_low_orders_are_kept_in_one_partition(spark, monkeypatch):
+    kept, cut = [], perplexity.common.cut
+
+    def seen(df):
+        kept.append(cut(df))
+        return kept[-1]
+
+    counts = spark.createDataFrame([(i % 2, i * 7919, 1) for i in range(500)], "model int, gram long, c long").repartition(3)
+    monkeypatch.setattr(perplexity.common, "cut", seen)
+    values = perplexity.kneser_ney(counts)
+    low = [df for df in kept if df.columns == ["model", "gram", "c"]]
+    assert len(low) == perplexity.ORDER - 1
+    assert [df.rdd.getNumPartitions() for df in low[-perplexity.LOW :]] == [1] * perplexity.LOW
+    assert values.where("kind = 1").count() > 0
