@@ -25,6 +25,7 @@ ARCHIVAL = (
     f" OR {x.piece(x.BIB_LEVEL)} IN {x.in_list(vocab.ARCHIVE_LEVELS)})"
 )
 
+# Leaders that are neither serial nor archival change nothing and are left out of the grouping.
 # Rows without a record id have no leader; they are counted where they are read.
 FIXED_SQL = f"""\
 WITH slice AS (
@@ -33,6 +34,7 @@ WITH slice AS (
          CASE WHEN tag = '008' THEN {VALUES} END AS field
   FROM records
   WHERE tag IN ('LDR', '008') AND record_id IS NOT NULL AND value IS NOT NULL
+    AND (tag = '008' OR {SERIAL} OR {ARCHIVAL})
 )
 SELECT org, is_serial, archival, field.*, count(*) AS n
 FROM (

@@ -6,11 +6,14 @@ others stand. Titles cross orgs: each org's titles are kept, what a changed org
 is the difference to what it has now, and only the bits of those titles are taken back or set
 in the stored masks. The lake is read in the folders of the changed orgs alone.
 
+A store keeps all roll-ups, or those named: a report reads one of them, and a store for it
+alone need not pay for the others. Reports on what a store does not keep read the lake.
+
 The table of states is written last, so a refresh that fails is done again by the next one; a
 mark says that masks and titles may not belong together, and they are then put together anew.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,9 @@ BY_ORG: dict[str, Callable[[Lake], str]] = {
     "namespace_patterns": lambda lake: channels.PATTERNS_SQL,
 }
 HOLDINGS = "SELECT org, title_key, count(*) AS records FROM record_meta WHERE org IS NOT NULL GROUP BY org, title_key"
+#: The titles of each org, and the masks of holders put together from them.
+TITLES = "titles"
+ROLLUPS = (*BY_ORG, TITLES)
 STATE = "org string, last_modified timestamp"
 
 
@@ -46,8 +52,15 @@ class Changes:
 class RollupStore:
     """Roll-ups under a folder: one table each in folders by org, the masks of titles, and the state they hold."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, rollups: Iterable[str] = ROLLUPS):
         self.spark, self.path = spark, path.rstrip("/")
+        self.rollups = frozenset(rollups)
+        if self.rollups - set(ROLLUPS):
+            raise ValueError("no such roll-ups: " + ", ".join(sorted(self.rollups - set(ROLLUPS))))
+
+    def _tables(self, rollups: Iterable[str]) -> list[str]:
+        """The stored tables of some roll-ups."""
+        return [name for name in BY_ORG if name in rollups] + (["holdings", "masks"] if TITLES in rollups else [])
 
     # --- files -------------------------------------------------------------
 
@@ -98,13 +111,21 @@ class RollupStore:
     def state(self) -> DataFrame:
         return self.read("state") if self._exists("state") else self.spark.createDataFrame([], STATE)
 
+    def _complete(self) -> bool:
+        """Whether every table to keep is there, and not left half built by a refresh that was to add some."""
+        return not self._exists("growing") and all(self._exists(name) for name in self._tables(self.rollups))
+
     def changes(self, lake: Lake) -> Changes:
-        """Orgs whose date of change differs from the stored one; without a date an org counts as changed."""
+        """
+        Orgs whose date of change differs from the stored one; without a date an org counts as
+        changed, and so does every org where a roll-up to keep is not there yet.
+        """
         if lake.harvest_state is None:
             raise ValueError("a refresh needs the table of sync dates")
         now = lake.roster.select("org").join(lake.harvest_state.groupBy("org").agg(F.max("last_modified").alias("now")), "org", "left")
         both = now.withColumn("here", F.lit(True)).join(self.state().withColumn("stored", F.lit(True)), "org", "full")
-        rows = both.select("org", "here", "stored", F.coalesce(F.col("now") == F.col("last_modified"), F.lit(False)).alias("same")).collect()
+        same = F.coalesce(F.col("now") == F.col("last_modified"), F.lit(False)) & F.lit(self._complete())
+        rows = both.select("org", "here", "stored", same.alias("same")).collect()
         return Changes(
             tuple(sorted(r["org"] for r in rows if r["here"] and not (r["stored"] and r["same"]))),
             tuple(sorted(r["org"] for r in rows if not r["here"])),
@@ -114,21 +135,31 @@ class RollupStore:
     # --- refresh -------------------------------------------------------------
 
     def refresh(self, lake: Lake) -> Changes:
-        """Bring the store up to the lake; what changed is returned. One refresh at a time, and no reader meanwhile."""
+        """
+        Bring the store up to the lake; what changed is returned. One refresh at a time, and no reader
+        meanwhile. Roll-ups that are there but not to be kept would fall behind, and go.
+        """
         found = self.changes(lake)
         if not found:
             return found
         torn = self._exists("pending")
+        if not self._complete():
+            self._mark("growing")
         self._mark("pending")
         both = found.fresh + found.gone
         kept = self.state().where(~F.col("org").isin(list(both)))
         changed = lake.only(found.fresh)
+        for name in self._tables(set(ROLLUPS) - self.rollups):
+            self._delete(name)
         for name, text in BY_ORG.items():
-            self._replace(name, both, changed.sql(text(lake)) if found.fresh else None)
-        self._refresh_titles(lake, changed, found, torn or found.renumbered or not self._exists("masks"))
+            if name in self.rollups:
+                self._replace(name, both, changed.sql(text(lake)) if found.fresh else None)
+        if TITLES in self.rollups:
+            self._refresh_titles(lake, changed, found, torn or found.renumbered or not self._exists("masks"))
         dates = lake.harvest_state.groupBy("org").agg(F.max("last_modified").alias("last_modified"))
         fresh = lake.roster.where(F.col("org").isin(list(found.fresh))).select("org").join(dates, "org", "left")
         self._swap(kept.unionByName(fresh).coalesce(1), "state")
+        self._delete("growing")
         self._delete("pending")
         changed.release()
         return found
@@ -166,7 +197,10 @@ class RollupStore:
     def serve(self, lake: Lake) -> Lake:
         """Let a lake's operators read the stored roll-ups in place of the lake."""
         for name in BY_ORG:
-            lake.adopt(name, self.read(name))
+            if name in self.rollups:
+                lake.adopt(name, self.read(name))
+        if TITLES not in self.rollups:
+            return lake
         words = overlap.masks(lake.org_count)
         keyed = F.col("title_key").isNotNull().alias("keyed")
         masks = self.read("masks").groupBy(*words, keyed).agg(F.count("*").alias("titles"), F.sum("records").alias("records"))

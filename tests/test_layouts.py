@@ -276,3 +276,39 @@ def test_a_refresh_that_failed_is_done_again(spark, tmp_path, monkeypatch):
 def test_a_refresh_needs_dates(spark, plain, tmp_path):
     with pytest.raises(ValueError, match="sync dates"):
         RollupStore(spark, str(tmp_path)).refresh(Lake(spark, plain.records, plain.record_meta))
+
+
+def test_a_store_keeps_the_roll_ups_named(spark, tmp_path, monkeypatch):
+    """One of titles alone reads no records; one opened for more, or for others, never serves what has fallen behind."""
+    world = Consortium(spark, [("a", "A", True, None, 0), ("b", "B", True, None, 1)])
+    world.put("a", day(1), ["t1", "t2"])
+    world.put("b", day(1), ["t2"])
+
+    def unread():
+        raise AssertionError("records were read")
+
+    def titles_alone():
+        whole = world.lake()
+        return Lake(spark, unread, whole.record_meta, whole.code_map, whole.harvest_state)
+
+    path = str(tmp_path / "store")
+    titles = RollupStore(spark, path, [refresh.TITLES])
+    assert titles.refresh(titles_alone()).fresh == ("a", "b")
+    world.put("a", day(2), ["t2", None, "t3"], agency="B")
+    assert titles.refresh(titles_alone()).fresh == ("a",)
+    assert rows(overlap.holding_patterns(titles.serve(titles_alone()))) == rows(overlap.holding_patterns(world.lake()))
+    assert sorted(f.name for f in (tmp_path / "store").iterdir()) == ["holdings", "masks", "state"]
+    # opened for all, it lacks some, also after a refresh that wrote a part of them
+    with monkeypatch.context() as m:
+        m.setattr(RollupStore, "_refresh_titles", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            RollupStore(spark, path).refresh(world.lake())
+    assert RollupStore(spark, path).refresh(world.lake()).fresh == ("a", "b")
+    agree(RollupStore(spark, path), world)
+    # refreshed for titles alone, it drops the rest, which would be of the day before
+    world.put("b", day(3), ["t3"], agency="A")
+    assert titles.refresh(titles_alone()).fresh == ("b",)
+    RollupStore(spark, path).refresh(world.lake())
+    agree(RollupStore(spark, path), world)
+    with pytest.raises(ValueError, match="no such roll-ups"):
+        RollupStore(spark, path, ["masks"])

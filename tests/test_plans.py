@@ -64,6 +64,13 @@ def test_field_008_is_read_once(stored):
         assert "EqualTo(tag,008)" not in plan(report(stored))
 
 
+def test_leaders_that_tell_nothing_are_not_grouped(stored):
+    from shelftally.operators import fixed_fields
+
+    text = plan(stored.sql(fixed_fields.FIXED_SQL))
+    assert any("Filter" in line and "substring(value" in line for line in text.splitlines())
+
+
 def test_overlap_never_reads_subfields(stored):
     text = plan(stored.sql(overlap.pattern_sql(25), roster=stored.roster))
     assert "record_meta" in text and "/records]" not in text
