@@ -312,3 +312,26 @@ def test_a_store_keeps_the_roll_ups_named(spark, tmp_path, monkeypatch):
     agree(RollupStore(spark, path), world)
     with pytest.raises(ValueError, match="no such roll-ups"):
         RollupStore(spark, path, ["masks"])
+
+
+@pytest.mark.parametrize(
+    "name, report, tables",
+    [
+        ("refreshed_channels", channels.channel_coverage, {"namespace_patterns"}),
+        ("refreshed_histogram", overlap.overlap_histogram, {"holdings"}),
+    ],
+)
+def test_a_refreshed_query_keeps_the_roll_up_that_its_report_reads(spark, plain, monkeypatch, name, report, tables):
+    import __spark_entry__ as entry
+
+    written = []
+    write = RollupStore._replace
+
+    def seen(self, table, orgs, df):
+        written.append((table, len(orgs)))
+        write(self, table, orgs, df)
+
+    monkeypatch.setattr(RollupStore, "_replace", seen)
+    assert rows(entry.OPERATORS[name](plain)) == rows(report(plain))
+    # built for every org, then renewed for the two that changed
+    assert {table for table, _ in written} == tables and [n for _, n in written] == [25, 2]
