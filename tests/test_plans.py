@@ -85,6 +85,12 @@ def test_roll_up_shuffles_records_once(stored):
     assert text.count("Exchange ") == 3
 
 
+def test_rows_of_a_record_pass_two_aggregates(stored):
+    """Agencies are collected: counted as DISTINCT, they take every row through four sorted aggregates."""
+    text = plan(stored.sql(provenance.counts_sql(stored.params)))
+    assert "SortAggregate" not in text and text.count("ObjectHashAggregate") == 2
+
+
 def test_call_numbers_and_coverage_aggregate_without_sorting(stored):
     for text in (comparison.lc_class_sql(), coverage.coverage_sql()):
         assert "SortAggregate" not in plan(stored.sql(text))
