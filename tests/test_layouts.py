@@ -150,6 +150,31 @@ def test_records_are_written_when_a_query_first_reads_them(spark, tmp_path):
     assert [text.split(" AS")[0].split()[-1] for _, text in lake.steps()] == ["records", "record_meta", "harvest_state"]
 
 
+def test_the_joins_behind_the_lake_are_done_once(spark, tmp_path, monkeypatch):
+    """They are written as they are made; how records are dealt is counted on what is stored, when records are written."""
+    from shelftally.sources import derived
+
+    counted = []
+    dealing = derived._dealing
+
+    def seen(base):
+        counted.append(plan(base))
+        return dealing(base)
+
+    monkeypatch.setattr(derived, "_dealing", seen)
+    monkeypatch.setattr(derived, "shared_folder", lambda _: str(tmp_path / "shared"))
+    lake = derived.derived_lake(spark, SF)
+    assert channels.channel_coverage(lake).count() == 150 and not counted
+    for file in (tmp_path / "shared").glob("*/base/*.parquet"):
+        held = [tuple(r) for r in spark.read.parquet(str(file)).select("org", "record_id").collect()]
+        assert held == sorted(held)
+    lake.release()
+    write_records = derived.write_all_but_records(spark, SF, str(tmp_path / "lake"))
+    assert not counted
+    write_records()
+    assert len(counted) == 1 and "Join" not in counted[0] and "FileScan" in counted[0]
+
+
 def test_the_derived_lake_stores_its_joins_and_no_records(spark, plain, tmp_path, monkeypatch):
     """A query makes the rows of its tags from the stored joins: it neither writes nor shuffles the records for it."""
     from shelftally.sources import derived
